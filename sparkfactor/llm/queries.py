@@ -27,3 +27,11 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_files import token_documents
 
     return token_documents(spark, table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=2)
+
+
+@query
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece's sequence and offset in sequences of at most 2048 tokens."""
+    from .packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=0, max_len=2048)
