@@ -35,3 +35,24 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
     return pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=0, max_len=2048)
+
+
+@query
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's measures, base test, quality posterior and verdict."""
+    from pyspark.sql import functions as F
+
+    from .quality import quality_rules
+
+    out = quality_rules(table(spark, sf_dir, "documents"))
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return out.select("doc_id", *counts, "base_failed", "kept", F.round("quality", 6).alias("quality"))
+
+
+def _op8_sql() -> str:
+    from .quality import oracle_sql
+
+    return oracle_sql()
+
+
+ORACLE["op8_quality_rules"] = _op8_sql()
