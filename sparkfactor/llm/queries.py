@@ -56,3 +56,11 @@ def _op8_sql() -> str:
 
 
 ORACLE["op8_quality_rules"] = _op8_sql()
+
+
+@query
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's class of near copies, over 2-word shingles at similarity 0.8."""
+    from .neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
