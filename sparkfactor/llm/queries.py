@@ -64,3 +64,11 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .neardup import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
+
+
+@query
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's predicted language and calibrated probability."""
+    from .langid import identify
+
+    return identify(table(spark, sf_dir, "documents"))
