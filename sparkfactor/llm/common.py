@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Fixed value: what separates words, as a class body for Java and Python patterns.
@@ -56,3 +57,15 @@ def ascii_lower(text: Column) -> Column:
 def words_of(text: Column) -> Column:
     """The words of a text in order; none for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), rf"[{SPACE}]+"), lambda w: w != "")
+
+
+def bounded_sample(rows: DataFrame, group: str, key: str, most: int) -> DataFrame:
+    """The ``most`` rows of each group with the least hash of ``key``, as (group, key), for models that learn from a bounded sample.
+
+    Rows are first thinned by a share that leaves about twice as many, so ranking sees few rows even of a hot group.
+    """
+    tie = F.pmod(F.xxhash64(F.xxhash64(F.col(key))), F.lit(1 << 30))
+    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("_size"))
+    few = rows.select(group, key).join(sizes, group).where((F.col("_size") <= 2 * most) | (tie < (1 << 30) * (2.0 * most / F.col("_size"))))
+    first = W.partitionBy(group).orderBy(tie, key)
+    return few.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= most).select(group, key)

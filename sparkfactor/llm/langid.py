@@ -19,10 +19,9 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import crc32_of_id
+from .common import bounded_sample, crc32_of_id
 
 BITS, ORDERS = 15, (1, 2, 3)
 #: Bound of the sample: labelled documents of each language.
@@ -121,12 +120,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, doc_id: str = "doc_id
 
     df = {r.feature: r.n for r in known.select("text").mapInArrow(frequencies, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()}
     tie = F.xxhash64(F.col("doc_id"))
-    # a share of each language that holds the least hashes, so that ranking sees about the rows it keeps even of a hot language
-    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("size"))
-    share = F.pmod(F.xxhash64(tie), F.lit(1 << 30)) < (1 << 30) * (2.0 * per_language / F.col("size"))
-    few = known.select("lang", tie.alias("tie"), "doc_id").join(sizes, "lang").where((F.col("size") <= 2 * per_language) | share)
-    first = W.partitionBy("lang").orderBy(F.pmod(F.xxhash64("tie"), F.lit(1 << 30)), "doc_id")
-    chosen = few.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= per_language).select("doc_id").distinct()
+    chosen = bounded_sample(known, "lang", "doc_id", per_language).select("doc_id").distinct()
     sample = known.join(chosen, "doc_id", "left_semi").select(tie.alias("tie"), "lang", "text")
     rows = sorted(sample.mapInArrow(features, "tie long, lang string, at array<int>, n array<int>").collect(), key=lambda r: (r.tie, r.lang, r.at))
     if not rows:

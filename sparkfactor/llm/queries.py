@@ -72,3 +72,11 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import identify
 
     return identify(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's probability of being toxic, scored on its restored words."""
+    from .toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
