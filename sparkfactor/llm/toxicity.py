@@ -34,7 +34,7 @@ from .common import bounded_sample, crc32_of_id
 #: Bound of the sample: labelled documents of each class.
 PER_CLASS = 3000
 #: A feature is used if so many toxic documents of the sample have it and its log odds reach this.
-LEAST_DOCS, LEAST_ODDS = 3, 1.0
+LEAST_DOCS, LEAST_ODDS = 3, 2.5
 THRESHOLD = 0.3
 #: Letters that a character may stand for, and characters that only separate.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "*": "aeiou"}
@@ -94,19 +94,20 @@ class Speller:
             best = after
         return max((s + self.log[a][b][0], w) for (a, b), (s, w) in best.items())[1]
 
-    def words(self, token: str) -> list[str]:
-        """The words that a token holds."""
-        core = fold(token).strip(EDGE)
+    def words(self, token: str) -> list[tuple[str, bool]]:
+        """The words that a token holds, in lower case, and whether each was restored; restored ones have no accents."""
+        core = TAIL.sub("", HEAD.sub("", token.lower())).strip(EDGE)
         if core.isalpha() and not TRIPLE.search(core):
-            return [core]
-        parts = [p for p in re.split(r"[^\w@$!|+]+", core) if p]
-        out = [p for p in parts if p.isalpha() and len(p) > 2]
+            return [(core, False)]
+        out = [(p, False) for p in re.split(r"[^\w@$!|+]+", core) if p.isalpha() and len(p) > 2]
         letters = sum(c.isalpha() for c in core)
         if 2 <= letters and 3 <= len(core) <= LONGEST and 2 * letters >= len(core) - sum(c in SEPARATORS for c in core):
-            out.append(self.decode(core))
+            out.append((self.decode(fold(core)), True))
         return out
 
 
+#: Runs of symbols at a token's ends are decoration; a single one may stand for a letter.
+HEAD, TAIL = re.compile(r"^[^\w\s]{2,}"), re.compile(r"[^\w\s]{2,}$")
 TRIPLE = re.compile(r"(.)\1\1")
 
 
@@ -115,18 +116,21 @@ def features(word: str) -> list[str]:
 
 
 class Lexicon:
-    """Scores tokens by the strongest feature of their words."""
+    """Scores tokens by the strongest feature of their words. Restored words are looked up without accents."""
 
     def __init__(self, speller: Speller, odds: dict[str, float]):
         self.speller, self.odds, self.known = speller, odds, {}
+        self.plain: dict[str, float] = {}
+        for f, s in odds.items():
+            self.plain[fold(f)] = max(s, self.plain.get(fold(f), 0.0))
 
     def score(self, token: str) -> float:
-        return max((self.odds.get(f, 0.0) for w in self.speller.words(token) for f in features(w)), default=0.0)
+        return max(((self.plain if restored else self.odds).get(f, 0.0) for w, restored in self.speller.words(token) for f in features(w)), default=0.0)
 
     def spaced(self, letters: str) -> float:
         """A run of single characters may hold several words, so each part of it is looked up as a word."""
         word = self.speller.decode(fold(letters)) if len(letters) <= 4 * LONGEST else fold(letters)
-        return max((self.odds.get("w" + word[i : i + n], 0.0) for i in range(len(word)) for n in range(3, 15) if i + n <= len(word)), default=0.0)
+        return max((self.plain.get("w" + word[i : i + n], 0.0) for i in range(len(word)) for n in range(3, 15) if i + n <= len(word)), default=0.0)
 
     def scores(self, tokens: list[str]) -> np.ndarray:
         out = list(map(self.known.get, tokens))
@@ -263,7 +267,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, doc_id:
                 found: set[str] = set()
                 for token in set((t or "").split()):
                     if token not in cache:
-                        cache[token] = [f for w in speller.words(token) for f in features(w)]
+                        cache[token] = [f for w, _ in speller.words(token) for f in features(w)]
                     found.update(cache[token])
                 if len(cache) > KNOWN_TOKENS:
                     cache.clear()
