@@ -80,3 +80,27 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import toxicity
 
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five rows of highest integer inner product for every vec_id that 50 divides, against all rows."""
+    from pyspark.sql import functions as F
+
+    from .bitsliced import build_index, search, usable
+
+    rows = usable(table(spark, sf_dir, "embeddings"))
+    asked = rows.where("vec_id % 50 = 0").groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("v"))
+    return search(build_index(rows), asked, k=5)
+
+
+ORACLE["op4_exact_top_k"] = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings
+  where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select q.vec_id as query_id, c.vec_id as vec_id, list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i]))::bigint as score
+  from v q join v c on len(q.v) = len(c.v) and q.vec_id <> c.vec_id where q.vec_id % 50 = 0)
+select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score
+from s qualify row_number() over (partition by query_id order by score desc, vec_id) <= 5
+"""
