@@ -104,3 +104,19 @@ s as (
 select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score
 from s qualify row_number() over (partition by query_id order by score desc, vec_id) <= 5
 """
+
+
+@query
+def op3_nbest_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four best segmentations of every document over the piece lattice."""
+    from .pieces import segmentations
+
+    return segmentations(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), n=4)
+
+
+@query
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's number of tokens by count-only Viterbi."""
+    from .pieces import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
