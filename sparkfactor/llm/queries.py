@@ -120,3 +120,11 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pieces import token_counts
 
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
+@query
+def op2_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn of all conversations after role repair, with its part of the rendering."""
+    from .chat import repair
+
+    return repair(table(spark, sf_dir, "conversations"))
