@@ -11,7 +11,7 @@ Rows with equal sets become one class first, so copies cost nothing later. Withi
 1. Each bucket has a centre, the member that meets most others over all bands. Members are verified against it, and the links
    give components.
 2. What is left are pairs of a bucket in different components. Small buckets list them. In a larger bucket one of the two, x,
-   is not linked to the centre c, so either the pair shares a shingle outside c, found by a join on (c, shingle), or
+   is not linked to the centre c, so either the pair shares shingles outside c, found by a prefix-filtered join on (c, shingle), or
    |x & c| alone reaches the intersection that the pair needs, which holds for few sizes below |c| and is found by a join on (c, size).
    All these pairs are verified on full sets, and the components are made anew.
 
@@ -172,8 +172,13 @@ def class_links(reps: DataFrame, docs_sets, percent: int) -> DataFrame:
 
     large = left.where(F.col("m") > SMALL_BUCKET).where("id <> c").select("c", "id", "comp").distinct()
     own = F.array_except("items_b", "items_a").alias("own")
-    member = written(_compared(large.select(F.col("c").alias("a"), F.col("id").alias("b"), "comp"), sets, own), "members").withColumnsRenamed({"a": "c"})
-    e = member.select("c", F.explode("own").alias("e"), F.col("b").alias("a"), F.col("n_b").alias("na"), F.col("comp").alias("ca"))
+    member = written(_compared(large.select(F.col("c").alias("a"), F.col("id").alias("b"), "comp"), sets, own), "members").withColumnRenamed("a", "c")
+    # a partner of an unlinked x shares at least `t` shingles with it outside c, so of those `own - t + 1` are enough to meet it
+    smallest = member.groupBy("c").agg(F.min("n_b").alias("n_min"))
+    needed = F.ceil(percent * (F.col("n_b") + F.greatest(F.col("n_min"), F.ceil(F.col("n_b") * percent / F.lit(100)))) / F.lit(100 + percent)) - F.col("common")
+    enough = F.size("own") - F.when(_linked(percent), 1).otherwise(F.greatest(F.lit(1), needed)) + 1
+    sure = member.withColumnRenamed("c", "a").join(smallest.withColumnRenamed("c", "a"), "a").withColumn("k", enough.cast("int")).where("k > 0")
+    e = sure.select(F.col("a").alias("c"), F.explode(F.slice(F.array_sort("own"), 1, F.col("k"))).alias("e"), F.col("b").alias("a"), F.col("n_b").alias("na"), F.col("comp").alias("ca"))
     e = e.join(e.groupBy("c", "e").agg(F.min("ca").alias("lo"), F.max("ca").alias("hi")).where("lo <> hi").select("c", "e"), ["c", "e"])
     f = e.select("c", "e", F.col("a").alias("b"), F.col("na").alias("nb"), F.col("ca").alias("cb"))
     outside = e.join(f, ["c", "e"]).where("a < b and ca <> cb").where(_may_link(F.col("na"), F.col("nb"), percent)).select("a", "b")
