@@ -59,6 +59,10 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), rf"[{SPACE}]+"), lambda w: w != "")
 
 
+#: Up to so many groups their sizes are broadcast, so that rows are thinned before they are dealt by group.
+FEW_GROUPS = 10_000
+
+
 def bounded_sample(rows: DataFrame, group: str, key: str, most: int) -> DataFrame:
     """The ``most`` rows of each group with the least hash of ``key``, as (group, key), for models that learn from a bounded sample.
 
@@ -66,6 +70,9 @@ def bounded_sample(rows: DataFrame, group: str, key: str, most: int) -> DataFram
     """
     tie = F.pmod(F.xxhash64(F.xxhash64(F.col(key))), F.lit(1 << 30))
     sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("_size"))
+    known = sizes.limit(FEW_GROUPS + 1).collect()
+    if len(known) <= FEW_GROUPS:
+        sizes = F.broadcast(rows.sparkSession.createDataFrame(known, sizes.schema))
     few = rows.select(group, key).join(sizes, group).where((F.col("_size") <= 2 * most) | (tie < (1 << 30) * (2.0 * most / F.col("_size"))))
     first = W.partitionBy(group).orderBy(tie, key)
     return few.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= most).select(group, key)
