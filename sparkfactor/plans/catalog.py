@@ -1,6 +1,426 @@
-"""Named queries and the SQL that must give the same rows."""
+"""Named queries over the driver's tables, each beside the SQL that must give the same rows."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.registry import OPS
+from ..functions.ranking import tied_ranks
+from ..functions.scope import GLOBAL, Scope
+from ..operators import metrics, population
+from ..operators.combine import combine
+from ..sources.panel import date_split, drop_missing, events_panel, forward_target, stack_assets
+from .compiler import compile_forest
+from .ir import call, parse, variable
+
 QUERIES: dict = {}
-ORACLE: dict = {}
+ORACLE: dict[str, str] = {}
+FEATURES = ["x1", "x2", "x3", "x4"]
+BY_DAY = Scope("panel", asset="asset", date="day")
+WINDOW = 10
+
+#: The events panel in SQL; used as a WITH list.
+PANEL = """panel as (select event_id as row_id, cast(user_id as varchar) as asset, ts, cast(ts as date) as day, value as x1,
+  cast(json_extract_string(props, '$.k') as double) as x2, cast(hour(ts) as double) as x3, cast(user_id as double) as x4 from events)"""
+
+
+def add(name: str, run, sql: str | None = None) -> None:
+    if name in QUERIES:
+        raise ValueError(f"query {name} exists")
+    QUERIES[name] = run
+    if sql is not None:
+        ORACLE[name] = sql
+
+
+# ---- operators, in SQL over x and y -------------------------------------------------------------------------------------------
+
+_CLAMP = "greatest({lo}, least({x}, {hi}))"
+ELEMENT_SQL = {
+    "safe_sqrt": "sqrt(abs({x}) + 1e-6)",
+    "safe_log": "ln(abs({x}) + 1e-6)",
+    "safe_inv": "1.0 / (abs({x}) + 1e-6)",
+    "safe_neg": "-{x}",
+    "safe_sin": f"sin({_CLAMP.format(lo='-1e4', hi='1e4', x='{x}')})",
+    "safe_cos": f"cos({_CLAMP.format(lo='-1e4', hi='1e4', x='{x}')})",
+    "safe_tan": f"tan({_CLAMP.format(lo='-1.5', hi='1.5', x='{x}')})",
+    "safe_tanh": "(1 - 2 / (exp(2 * least({x}, 300)) + 1))",
+    "abs": "abs({x})",
+    "safe_add": "{x} + {y}",
+    "safe_sub": "{x} - {y}",
+    "safe_mul": "{x} * {y}",
+    "safe_div": "{x} / (abs({y}) + 1e-6)",
+    "safe_pow": f"pow(abs({{x}}), {_CLAMP.format(lo='-5.0', hi='5.0', x='{y}')})",
+    "signed_power": f"sign({{x}}) * pow(abs({{x}}), {_CLAMP.format(lo='-5.0', hi='5.0', x='{y}')})",
+}
+
+
+def rolling_sql(op: str, x: str, y: str, d: int, part: str) -> str:
+    """A rolling operator over ``x`` (and ``y``); ``part`` is empty or a PARTITION BY clause."""
+    order, frame = f"({part} order by row_id)", f"({part} order by row_id rows between {d - 1} preceding and current row)"
+    full = lambda v: f"case when row_number() over {order} < {d} then 0.0 else {v} end"
+    lag = lambda k: f"lag({x}, {k}) over {order}" if k else x
+    norm = f"sqrt(var_pop({x}) over {frame} * {d} * var_pop({y}) over {frame} * {d})"
+    return {
+        "ts_delta": f"coalesce({x} - {lag(d)}, 0.0)",
+        "ts_mean": full(f"avg({x}) over {frame}"),
+        "ts_sum": full(f"sum({x}) over {frame}"),
+        "ts_max": full(f"max({x}) over {frame}"),
+        "ts_min": full(f"min({x}) over {frame}"),
+        "ts_stddev": full(f"case when var_samp({x}) over {frame} < 1e-12 then 0.0 else sqrt(var_samp({x}) over {frame}) end"),
+        "ts_rank": full(f"len(list_filter(list({x}) over {frame}, lambda e: e <= {x})) / {float(d)}"),
+        "decay": f"coalesce(({' + '.join(f'{d - k} * {lag(k)}' for k in range(d))}) / {d * (d + 1) / 2}, 0.0)",
+        "ts_corr": full(f"case when {norm} < 1e-8 then 0.0 else covar_pop({x}, {y}) over {frame} * {d} / {norm} end"),
+        "ts_cov": full(f"covar_samp({x}, {y}) over {frame}"),
+    }[op]
+
+
+def cross_sql(op: str, x: str, part: str) -> str:
+    over = f"over ({part})"
+    mean, sd = f"avg({x}) {over}", f"coalesce(stddev_samp({x}) {over}, 0.0)"
+    return {
+        "cs_rank": f"row_number() over ({part} order by {x}, row_id) / cast(count(*) {over} as double)",
+        "cs_zscore": f"case when {sd} < 1e-8 then 0.0 else ({x} - {mean}) / {sd} end",
+        "cs_scale": f"case when sum(abs({x})) {over} < 1e-8 then {x} else {x} / sum(abs({x})) {over} end",
+        "cs_winsorize": f"case when {sd} < 1e-8 then {x} else greatest({mean} - 3 * {sd}, least({x}, {mean} + 3 * {sd})) end",
+    }[op]
+
+
+def _tree_query(tree, scope: Scope):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = compile_forest(events_panel(spark, sf_dir), {"f": tree}, FEATURES, scope)
+        return out.select("row_id", F.round("f", 6).alias("f"))
+
+    return run
+
+
+def _sql(expr: str, with_: str = PANEL, source: str = "panel") -> str:
+    return f"with {with_} select row_id, round({expr}, 6) as f from {source}"
+
+
+for _op in OPS.values():
+    _args = ("x1", "x2") if _op.arity == 2 else ("x1",)
+    _x, _y = _args[0], _args[-1]
+    if _op.elementwise:
+        # powers stay in a range where all digits agree
+        if _op.name in ("safe_pow", "signed_power"):
+            _tree = parse(f"{_op.name}(safe_sub(x3, 11.5), safe_mul(x2, 0.02))")
+            _expr = ELEMENT_SQL[_op.name].format(x="(x3 - 11.5)", y="(x2 * 0.02)")
+        else:
+            _tree = call(_op.name, *(variable(int(a[1:])) for a in _args))
+            _expr = ELEMENT_SQL[_op.name].format(x=_x, y=_y)
+        add(_op.name, _tree_query(_tree, GLOBAL), _sql(_expr))
+    elif _op.rolling:
+        _tree = call(_op.name, *(variable(int(a[1:])) for a in _args), window=WINDOW)
+        add(_op.name, _tree_query(_tree, GLOBAL), _sql(rolling_sql(_op.name, _x, _y, WINDOW, "")))
+        add(f"{_op.name}_panel", _tree_query(_tree, BY_DAY), _sql(rolling_sql(_op.name, _x, _y, WINDOW, "partition by asset")))
+    else:
+        _scale = "scale" in _op.name
+        _tree = call("safe_mul", call(_op.name, variable(1)), parse("1000.0")) if _scale else call(_op.name, variable(1))
+        for _suffix, _scope, _part in (("", GLOBAL, ""), ("_panel", BY_DAY, "partition by day")):
+            _expr = cross_sql(_op.name, _x, _part)
+            add(_op.name + _suffix, _tree_query(_tree, _scope), _sql(f"({_expr}) * 1000.0" if _scale else _expr))
+
+
+# ---- metrics over a signal and the five-step target ----------------------------------------------------------------------------
+
+_MEAN = rolling_sql("ts_mean", "x1", "x1", WINDOW, "")
+SIGNAL = f"""{PANEL},
+sig as (select * from (select row_id, {_MEAN} as f, lead(x1, 5) over (partition by asset order by row_id) / nullif(x1, 0) - 1 as y0,
+  lead(x1, 5) over (partition by asset order by row_id) as ahead from panel) where ahead is not null),
+s as (select row_id, f, coalesce(y0, 0.0) as y from sig),
+r as (select row_id, f, y, rank() over (order by f) + (count(*) over (partition by f) - 1) / 2.0 as rf,
+  rank() over (order by y) + (count(*) over (partition by y) - 1) / 2.0 as ry from s)"""
+
+
+def corr_sql(f: str, y: str) -> str:
+    sf, sy = f"coalesce(stddev_samp({f}), 0.0)", f"coalesce(stddev_samp({y}), 0.0)"
+    return f"case when {sf} < 1e-8 or {sy} < 1e-8 then 0.0 else covar_samp({f}, {y}) / ({sf} * {sy}) end"
+
+
+def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(row_id, f, y): the ten-row mean of x1 against the simple five-step return of each asset."""
+    panel = compile_forest(events_panel(spark, sf_dir), {"f": call("ts_mean", variable(1), window=WINDOW)}, FEATURES)
+    return forward_target(panel, 5, close="x1", target="simple_return").select("row_id", "f", "y")
+
+
+def _rounded(df: DataFrame, *keep: str) -> DataFrame:
+    return df.select(*keep, *(F.round(c, 6).alias(c) for c in df.columns if c not in keep))
+
+
+add("tiedrank", lambda s, d: tied_ranks(signal(s, d).select("row_id", "f"), "f", "rank").select("row_id", "rank"), f"with {SIGNAL} select row_id, cast(rf as double) as rank from r")
+add("ic", lambda s, d: _rounded(metrics.ic(signal(s, d))), f"with {SIGNAL} select round({corr_sql('f', 'y')}, 6) as ic from s")
+add("rank_ic", lambda s, d: _rounded(metrics.rank_ic(signal(s, d))), f"with {SIGNAL} select round({corr_sql('rf', 'ry')}, 6) as rank_ic from r")
+add(
+    "pps",
+    lambda s, d: _rounded(metrics.pps(signal(s, d))),
+    f"with {SIGNAL}, m as (select {corr_sql('f', 'y')} as ic, {corr_sql('rf', 'ry')} as rank_ic from r) select round(ic, 6) as ic, round(rank_ic, 6) as rank_ic, round(0.3 * ic + 0.7 * rank_ic, 6) as pps from m",
+)
+
+
+def rre_sql(source: str, rank: str, by: str = "") -> str:
+    """(by, rre) from tied ranks."""
+    group, comma = (f"group by {by}", f"{by}, ") if by else ("", "")
+    part = f"partition by {by}" if by else ""
+    return f"""select {comma}1 + sum(p * ln(p)) / ln(10) as rre from (select {comma}bin, count(*) / cast(sum(count(*)) over ({part}) as double) as p
+  from (select {comma}least(ceil({rank} / count(*) over ({part}) * 10), 10) as bin from {source}) group by {comma}bin) {group}"""
+
+
+add("rre", lambda s, d: _rounded(metrics.rre(signal(s, d))), f"with {SIGNAL} select round(rre, 6) as rre from ({rre_sql('r', 'rf')})")
+
+_PERIODS = f"""{SIGNAL}, c as (select *, (row_number() over (order by row_id) - 1) // (count(*) over () // 20) as period from s),
+pr as (select period, rank() over (partition by period order by f) + (count(*) over (partition by period, f) - 1) / 2.0 as rf,
+  rank() over (partition by period order by y) + (count(*) over (partition by period, y) - 1) / 2.0 as ry from c where period < 20),
+ics as (select cast(period as bigint) as period, {corr_sql("rf", "ry")} as rank_ic from pr group by period)"""
+add("rolling_rank_ic", lambda s, d: _rounded(metrics.rolling_rank_ic(signal(s, d), 20), "period"), f"with {_PERIODS} select period, round(rank_ic, 6) as rank_ic from ics")
+add(
+    "icir",
+    lambda s, d: _rounded(metrics.icir(signal(s, d), 20)),
+    f"with {_PERIODS} select round(case when coalesce(stddev_samp(rank_ic), 0) < 1e-8 then 0.0 else avg(rank_ic) / stddev_samp(rank_ic) end, 6) as icir from ics",
+)
+add(
+    "error_matrix",
+    lambda s, d: _rounded(metrics.error_matrix(signal(s, d).withColumn("zero", F.lit(0.0)), ["f", "zero"], 20), "signal", "period"),
+    f"""with {SIGNAL}, c as (select f, y, least((row_number() over (order by row_id) - 1) // (count(*) over () // 20), 19) as period from s)
+select 'f' as signal, cast(period as bigint) as period, round(avg(abs(f - y)), 6) as err from c group by period
+union all select 'zero', cast(period as bigint), round(avg(abs(0.0 - y)), 6) from c group by period""",
+)
+add("pfs", lambda s, d: _rounded(metrics.pfs(events_panel(s, d), parse("ts_mean(safe_mul(x1, x2), d=5)"), FEATURES, GLOBAL)))
+
+
+# ---- composed trees and combinations --------------------------------------------------------------------------------------------
+
+_TREES = {
+    "momentum": "ts_mean(ts_delta(x1, d=3), d=5)",
+    "spread": "safe_div(safe_sub(x1, ts_mean(x1, d=10)), ts_stddev(x1, d=10))",
+    "ranked": "cs_rank(ts_sum(x2, d=5))",
+    "mixed": "safe_add(safe_log(x1), safe_mul(0.5, ts_corr(x1, x2, d=10)))",
+    "scored": "safe_tanh(cs_zscore(ts_max(x1, d=5)))",
+    "decayed": "decay(safe_sqrt(safe_mul(x1, x3)), d=5)",
+}
+_ZS = "case when coalesce(stddev_samp(m) over (), 0.0) < 1e-8 then 0.0 else (m - avg(m) over ()) / stddev_samp(m) over () end"
+_TREE_STEPS = {
+    "momentum": (f"{PANEL}, t as (select *, {rolling_sql('ts_delta', 'x1', '', 3, '')} as m from panel)", rolling_sql("ts_mean", "m", "", 5, "")),
+    "spread": (PANEL, f"(x1 - {rolling_sql('ts_mean', 'x1', '', 10, '')}) / (abs({rolling_sql('ts_stddev', 'x1', '', 10, '')}) + 1e-6)"),
+    "ranked": (f"{PANEL}, t as (select *, {rolling_sql('ts_sum', 'x2', '', 5, '')} as m from panel)", cross_sql("cs_rank", "m", "")),
+    "mixed": (PANEL, f"ln(abs(x1) + 1e-6) + 0.5 * ({rolling_sql('ts_corr', 'x1', 'x2', 10, '')})"),
+    "scored": (f"{PANEL}, u as (select *, {rolling_sql('ts_max', 'x1', '', 5, '')} as m from panel), t as (select *, {_ZS} as z from u)", ELEMENT_SQL["safe_tanh"].format(x="z")),
+    "decayed": (f"{PANEL}, t as (select *, sqrt(abs(x1 * x3) + 1e-6) as m from panel)", rolling_sql("decay", "m", "", 5, "")),
+}
+for _name, _text in _TREES.items():
+    _with, _expr = _TREE_STEPS[_name]
+    add(f"tree_{_name}", _tree_query(parse(_text), GLOBAL), _sql(_expr, _with, "t" if " t as " in _with else "panel"))
+
+_THREE = ("momentum", "spread", "decayed")
+
+
+def _combined(how: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = compile_forest(events_panel(spark, sf_dir), {n: parse(_TREES[n]) for n in _THREE}, FEATURES)
+        return _rounded(combine(df, list(_THREE), how, weights=[0.5, 0.3, 0.2]).select("row_id", "f"), "row_id")
+
+    return run
+
+
+_COMBINED = f"""{PANEL}, a as (select *, {rolling_sql("ts_delta", "x1", "", 3, "")} as m, sqrt(abs(x1 * x3) + 1e-6) as q from panel),
+t as (select row_id, {rolling_sql("ts_mean", "m", "", 5, "")} as momentum, {_TREE_STEPS["spread"][1]} as spread, {rolling_sql("decay", "q", "", 5, "")} as decayed from a)"""
+for _how, _expr in {
+    "weighted_sum": "0.5 * momentum + 0.3 * spread + 0.2 * decayed",
+    "rank_average": f"({' + '.join(cross_sql('cs_rank', f'round({n}, 9)', '') for n in _THREE)}) / 3",
+    "vote": f"cast(sign({' + '.join(f'sign({n})' for n in _THREE)}) as double)",
+}.items():
+    if _how == "rank_average":
+        # ranks of values equal but for the last digit would hang on the engine, so both sides rank to nine digits
+        def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+            df = compile_forest(events_panel(spark, sf_dir), {n: parse(_TREES[n]) for n in _THREE}, FEATURES)
+            df = df.withColumns({n: F.round(n, 9) for n in _THREE})
+            return _rounded(combine(df, list(_THREE), "rank_average").select("row_id", "f"), "row_id")
+
+        add("combine_rank_average", _ranked, _sql(_expr, _COMBINED, "t"))
+    else:
+        add(f"combine_{_how}", _combined(_how), _sql(_expr, _COMBINED, "t"))
+
+
+# ---- the panel pipeline ---------------------------------------------------------------------------------------------------------
+
+
+def _cross_target(target: str):
+    return lambda s, d: _rounded(forward_target(events_panel(s, d), 5, close="x1", target=target).select("row_id", "y"), "row_id")
+
+
+_AHEAD = f"{PANEL}, t as (select row_id, x1, lead(x1, 5) over (partition by asset order by row_id) as ahead from panel)"
+add("forward_target", _cross_target("reference"), f"with {_AHEAD} select row_id, round(coalesce(ahead / nullif(x1, 0) / nullif(x1, 0), 0.0), 6) as y from t where ahead is not null")
+add("forward_simple_return", _cross_target("simple_return"), f"with {_AHEAD} select row_id, round(coalesce(ahead / nullif(x1, 0) - 1, 0.0), 6) as y from t where ahead is not null")
+
+
+def date_split_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train, test = date_split(events_panel(spark, sf_dir), 0.7, "day")
+    sums = lambda df, name: df.agg(F.lit(name).alias("part"), F.count(F.lit(1)).alias("n"), F.min("row_id").alias("first"), F.max("row_id").alias("last"))
+    return sums(train, "train").unionByName(sums(test, "test"))
+
+
+add(
+    "date_split",
+    date_split_query,
+    f"""with {PANEL}, days as (select day, row_number() over (order by day) as k, count(*) over () as n from (select distinct day from panel)),
+cut as (select day as c from days where k = greatest(1, cast(floor(n * 0.7) as bigint)))
+select case when day <= c then 'train' else 'test' end as part, count(*) as n, min(row_id) as first, max(row_id) as last from panel, cut group by 1""",
+)
+add(
+    "drop_missing",
+    lambda s, d: drop_missing(
+        events_panel(s, d).select("row_id", F.when(F.col("row_id") % 7 == 0, "NA").when(F.col("row_id") % 11 == 0, "").otherwise(F.col("asset")).alias("asset"), F.when(F.col("row_id") % 13 == 0, F.lit(float("nan"))).otherwise(F.col("x1")).alias("x1"))
+    ),
+    f"with {PANEL} select row_id, asset, x1 from panel where row_id % 7 <> 0 and row_id % 11 <> 0 and row_id % 13 <> 0",
+)
+
+
+def stack_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two event types as assets, stacked one behind the other."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    frames = [e.where(F.col("event_type") == t).select(F.col("event_type").alias("asset"), "ts", F.col("value").alias("x1")) for t in ("purchase", "click")]
+    return stack_assets(frames).select("row_id", "asset", "x1")
+
+
+add("stack_assets", stack_query, "select row_number() over (order by event_type, ts) - 1 as row_id, event_type as asset, value as x1 from events where event_type in ('purchase', 'click')")
+
+
+def report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every factor's scores on the rows behind the 70 % date, best first by pps; the ranks are made within the factor."""
+    panel = compile_forest(events_panel(spark, sf_dir), {n: parse(t) for n, t in _TREES.items()}, FEATURES)
+    panel = forward_target(panel, 5, close="x1", target="simple_return")
+    _, test = date_split(panel, 0.7, "day")
+    long = test.select("y", F.explode(F.array(*(F.struct(F.lit(n).alias("factor"), F.round(n, 9).alias("f")) for n in _TREES))).alias("s")).select("y", "s.*")
+    ranked = tied_ranks(tied_ranks(long, "f", "rf", ["factor"]), "y", "ry", ["factor"])
+    scores = ranked.groupBy("factor").agg(metrics.guarded_corr(F.col("f"), F.col("y")).alias("ic"), metrics.guarded_corr(F.col("rf"), F.col("ry")).alias("rank_ic"), F.count(F.lit(1)).alias("n"))
+    bins = ranked.join(F.broadcast(scores.select("factor", "n")), "factor").groupBy("factor", metrics.rre_bins(F.col("rf") / F.col("n"), 10).alias("bin"), "n").agg((F.count(F.lit(1)) / F.col("n")).alias("p"))
+    rre = bins.groupBy("factor").agg((1 + F.sum(F.col("p") * F.log("p")) / F.log(F.lit(10.0))).alias("rre"))
+    sizes = spark.createDataFrame([(n, parse(t).size, parse(t).depth) for n, t in _TREES.items()], "factor string, size int, depth int")
+    out = scores.join(F.broadcast(rre), "factor").join(F.broadcast(sizes), "factor").withColumn("pps", 0.3 * F.col("ic") + 0.7 * F.col("rank_ic"))
+    return out.select("factor", *(F.round(c, 4).alias(c) for c in ("pps", "ic", "rank_ic", "rre")), "size", "depth")
+
+
+_FORESTS = f"""{PANEL}, a as (select *, {rolling_sql("ts_delta", "x1", "", 3, "")} as m1, sqrt(abs(x1 * x3) + 1e-6) as m2, {rolling_sql("ts_sum", "x2", "", 5, "")} as m3,
+  {rolling_sql("ts_max", "x1", "", 5, "")} as m from panel), b as (select *, {_ZS} as z from a),
+t as (select row_id, day, asset, x1, {rolling_sql("ts_mean", "m1", "", 5, "")} as momentum, {_TREE_STEPS["spread"][1]} as spread, {cross_sql("cs_rank", "m3", "")} as ranked,
+  {_TREE_STEPS["mixed"][1]} as mixed, {ELEMENT_SQL["safe_tanh"].format(x="z")} as scored, {rolling_sql("decay", "m2", "", 5, "")} as decayed,
+  lead(x1, 5) over (partition by asset order by row_id) as ahead from b)"""
+_REPORT = f"""with {_FORESTS}, kept as (select *, coalesce(ahead / nullif(x1, 0) - 1, 0.0) as y from t where ahead is not null),
+days as (select day, row_number() over (order by day) as k, count(*) over () as n from (select distinct day from kept)),
+cut as (select day as c from days where k = greatest(1, cast(floor(n * 0.7) as bigint))), test as (select kept.* from kept, cut where day > c),
+long as ({" union all ".join(f"select '{n}' as factor, round({n}, 9) as f, y from test" for n in _TREES)}),
+r as (select factor, f, y, rank() over (partition by factor order by f) + (count(*) over (partition by factor, f) - 1) / 2.0 as rf,
+  rank() over (partition by factor order by y) + (count(*) over (partition by factor, y) - 1) / 2.0 as ry from long),
+m as (select factor, {corr_sql("f", "y")} as ic, {corr_sql("rf", "ry")} as rank_ic from r group by factor), e as ({rre_sql("r", "rf", "factor")}),
+sizes(factor, size, depth) as (values {", ".join(f"('{n}', {parse(t).size}, {parse(t).depth})" for n, t in _TREES.items())})
+select factor, round(0.3 * ic + 0.7 * rank_ic, 4) as pps, round(ic, 4) as ic, round(rank_ic, 4) as rank_ic, round(rre, 4) as rre, size, depth
+from m join e using (factor) join sizes using (factor)"""
+add("factor_report", report, _REPORT)
+
+
+# ---- population analytics -------------------------------------------------------------------------------------------------------
+
+
+def knn_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("ind_id"), F.col("embedding").alias("behavior"))
+    return _rounded(population.knn_novelty(own, 10), "ind_id")
+
+
+add(
+    "knn_novelty",
+    knn_query,
+    """with d as (select a.vec_id as ind_id, sqrt(list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: pow(cast(a.embedding[i] as double) - cast(b.embedding[i] as double), 2)))) as d
+  from embeddings a join embeddings b on a.vec_id <> b.vec_id)
+select ind_id, round(avg(d), 6) as novelty from (select ind_id, d from d qualify row_number() over (partition by ind_id order by d) <= 10) group by ind_id""",
+)
+_MEMBERS = "(select p_partkey as ind_id, p_retailprice as pps, cast(p_partkey % 97 as double) as rre, p_size as complexity from part)"
+
+
+def pareto_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    members = part.select(F.col("p_partkey").alias("ind_id"), F.col("p_retailprice").alias("pps"), (F.col("p_partkey") % 97).cast("double").alias("rre"), F.col("p_size").alias("complexity"))
+    return population.pareto_front(members)
+
+
+add(
+    "pareto_front",
+    pareto_query,
+    f"""with m as (select * from {_MEMBERS} qualify row_number() over (partition by pps, rre, complexity order by ind_id) = 1)
+select * from m where not exists (select 1 from m o where o.pps >= m.pps and o.rre >= m.rre and o.complexity <= m.complexity and (o.pps > m.pps or o.rre > m.rre or o.complexity < m.complexity))""",
+)
+
+
+def _pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("ind_id"), F.col("s_acctbal").alias("fitness"))
+
+
+def tournament_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pool = _pool(spark, sf_dir)
+    n = pool.agg(F.count(F.lit(1)), F.min("ind_id")).first()
+    draws = spark.range(200 * 5).select((F.col("id") / 5).cast("long").alias("slot"), (F.col("id") % 5).alias("draw"))
+    drawn = draws.withColumn("ind_id", (F.col("slot") * 7919 + F.col("draw") * 104729) % n[0] + n[1])
+    return population.tournament(pool, drawn)
+
+
+add(
+    "tournament_select",
+    tournament_query,
+    """with n as (select count(*) as n, min(s_suppkey) as lo from supplier), slots as (select unnest(range(200)) as slot), dr as (select unnest(range(5)) as draw),
+d as (select slot, draw, (slot * 7919 + draw * 104729) % n + lo as ind_id from slots, dr, n)
+select slot, ind_id, s_acctbal as fitness from d join supplier on s_suppkey = ind_id qualify row_number() over (partition by slot order by s_acctbal desc, draw) = 1""",
+)
+
+
+def lexicase_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Survivors among 20 parts over three error columns, for each order of periods."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_partkey <= 20")
+    errors = F.array(F.abs(F.col("p_size") - 25).cast("double"), F.col("p_partkey").cast("double") % 5, F.col("p_retailprice") / 100)
+    pool = part.agg(F.array_sort(F.collect_list(F.struct(F.col("p_partkey").alias("ind_id"), errors.alias("e")))).alias("pool"))
+    orders = spark.createDataFrame([(0, [0, 1, 2]), (1, [1, 0, 2]), (2, [2, 1, 0])], "slot int, periods array<int>")
+    left = pool.join(F.broadcast(orders)).withColumn("s", population.lexicase_survivors(F.col("pool"), F.col("periods"), 2.0))
+    return left.select("slot", F.explode("s.ind_id").alias("ind_id"))
+
+
+def _lexicase_sql(order: tuple[int, ...], slot: int) -> str:
+    steps, source = [], "e"
+    for k in order:
+        steps.append(f"select * from {source} where e{k} <= (select min(e{k}) from {source}) + 2.0")
+        source = f"({steps[-1]})"
+    return f"select {slot} as slot, ind_id from {source}"
+
+
+add(
+    "epsilon_lexicase",
+    lexicase_query,
+    "with e as (select p_partkey as ind_id, cast(abs(p_size - 25) as double) as e0, cast(p_partkey % 5 as double) as e1, p_retailprice / 100 as e2 from part where p_partkey <= 20) "
+    + " union all ".join(_lexicase_sql(o, i) for i, o in enumerate(((0, 1, 2), (1, 0, 2), (2, 1, 0)))),
+)
+
+
+def islands_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return population.islands(_pool(spark, sf_dir), 5).select("ind_id", "island")
+
+
+add("island_partition", islands_query, "select s_suppkey as ind_id, cast((row_number() over (order by s_suppkey) - 1) // (count(*) over () // 5) + 1 as integer) as island from supplier")
+
+
+def migrate_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return population.migrate(population.islands(_pool(spark, sf_dir), 5), population.migration_targets(5, "ring"), 2)
+
+
+add(
+    "migrate_ring",
+    migrate_query,
+    """with p as (select s_suppkey as ind_id, s_acctbal as fitness, cast((row_number() over (order by s_suppkey) - 1) // (count(*) over () // 5) + 1 as integer) as island from supplier),
+r as (select *, row_number() over (partition by island order by fitness desc, ind_id) as best, row_number() over (partition by island order by fitness, ind_id desc) as worst from p)
+select r.island, coalesce(s.ind_id, r.ind_id) as ind_id, coalesce(s.fitness, r.fitness) as fitness, coalesce(s.island, r.island) as origin
+from r left join r s on s.best <= 2 and s.island % 5 + 1 = r.island and r.worst = s.best""",
+)
+add(
+    "price_ic",
+    lambda s, d: _rounded(metrics.pps(s.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_extendedprice").alias("f"), F.col("l_quantity").alias("y")))),
+    f"""with r as (select l_extendedprice as f, l_quantity as y, rank() over (order by l_extendedprice) + (count(*) over (partition by l_extendedprice) - 1) / 2.0 as rf,
+  rank() over (order by l_quantity) + (count(*) over (partition by l_quantity) - 1) / 2.0 as ry from lineitem),
+m as (select {corr_sql("f", "y")} as ic, {corr_sql("rf", "ry")} as rank_ic from r)
+select round(ic, 6) as ic, round(rank_ic, 6) as rank_ic, round(0.3 * ic + 0.7 * rank_ic, 6) as pps from m""",
+)
