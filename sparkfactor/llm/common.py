@@ -2,49 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_dir, written  # noqa: F401
+
 #: Fixed value: what separates words, as a class body for Java and Python patterns.
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
 
-_own_dirs: dict[str, str] = {}
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see, from ``spark.checkpoint.dir``.
-
-    Where the setting is missing, a temporary folder is used in local mode only.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
-    return _own_dirs.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="sparkfactor-"))
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table written once to the shared folder and read from there.
-
-    It cuts the lineage like ``checkpoint()``, but in columns and compressed. A lost executor loses nothing of it,
-    and a retried task can't change what later stages read.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/sparkfactor/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def crc32_of_id(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary"))
 
@@ -61,6 +33,8 @@ def words_of(text: Column) -> Column:
 
 #: Up to so many groups their sizes are broadcast, so that rows are thinned before they are dealt by group.
 FEW_GROUPS = 10_000
+#: A sample of up to so many keys is broadcast (some 20 bytes each).
+BROADCAST_ROWS = 200_000
 
 
 def bounded_sample(rows: DataFrame, group: str, key: str, most: int) -> DataFrame:
@@ -75,4 +49,5 @@ def bounded_sample(rows: DataFrame, group: str, key: str, most: int) -> DataFram
         sizes = F.broadcast(rows.sparkSession.createDataFrame(known, sizes.schema))
     few = rows.select(group, key).join(sizes, group).where((F.col("_size") <= 2 * most) | (tie < (1 << 30) * (2.0 * most / F.col("_size"))))
     first = W.partitionBy(group).orderBy(tie, key)
-    return few.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= most).select(group, key)
+    out = written(few.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= most).select(group, key), "sample")
+    return F.broadcast(out) if out.count() <= BROADCAST_ROWS else out

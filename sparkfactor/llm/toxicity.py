@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, crc32_of_id
+from .common import bounded_sample, crc32_of_id, written
 
 #: Bound of the sample: labelled documents of each class.
 PER_CLASS = 3000
@@ -257,8 +257,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, doc_id:
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sizes = {int(r.toxic): r.n for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     rate = sizes.get(1, 0) / max(1, sum(sizes.values()))
-    chosen = bounded_sample(known, "toxic", "doc_id", per_class).withColumn("half", F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int"))
-    sample = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(chosen, "doc_id").select("toxic", "half", "text")
+    chosen = bounded_sample(known, "toxic", "doc_id", per_class)
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int").alias("half")
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    sample = written(own.join(chosen, "doc_id").select("toxic", half, "text"), "sample-texts")
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, list[str]] = {}
