@@ -20,9 +20,11 @@ a doc_id, or have none, are handled one by one. Other columns are ignored, whate
 
 from __future__ import annotations
 
+import bisect
 import heapq
 import itertools
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -96,8 +98,9 @@ class Vocabulary:
     def nbest(self, part: str, n: int) -> list[tuple[float, list[int]]]:
         """The ``n`` best segmentations, best first, by A-star from the end.
 
-        What is left to the start is known exactly from the forward pass, so a path leaves the agenda in the order of its total score, and
-        only places on one of the ``n`` best paths are expanded. Equal ones leave in the order of their last pieces' starts.
+        What is left to the start is known exactly from the forward pass, so paths leave the agenda in the order of their total score, and
+        every path in it stands for another segmentation of just that score. So only as many paths are kept as segmentations are
+        still asked for. Equal ones leave in the order in which they were met.
         """
         edges = self.edges(part)
         ahead = [0.0] + [-np.inf] * len(part)
@@ -105,19 +108,23 @@ class Vocabulary:
             for start, s, _ in es:
                 if ahead[start] + s > ahead[end]:
                     ahead[end] = ahead[start] + s
-        found, tick = [], itertools.count()
-        agenda = [(-ahead[-1], (), next(tick), len(part), 0.0, None)]
-        while agenda and len(found) < n:
-            _, starts, _, place, behind, path = heapq.heappop(agenda)
+        found: list[tuple[float, list[int]]] = []
+        agenda, met = [(-ahead[-1], 0, len(part), 0.0, None)], itertools.count(1)
+        while agenda:
+            _, _, place, behind, path = agenda.pop(0)
             if place == 0:
                 ids: list[int] = []
                 while path:
-                    (i, ch), path = path
+                    i, ch, path = path
                     ids += [i] if i >= 0 else self.unknown_ids(ch)
                 found.append((behind, ids))
                 continue
+            room = n - len(found)
             for start, s, i in edges[place]:
-                heapq.heappush(agenda, (-(ahead[start] + s + behind), (*starts, start), next(tick), start, behind + s, ((i, part[start]), path)))
+                f = -(ahead[start] + s + behind)
+                if len(agenda) < room or f < agenda[-1][0]:
+                    bisect.insort(agenda, (f, next(met), start, behind + s, (i, part[start], path)))
+                    del agenda[room:]
         return found
 
     def decode(self, ids: list[int]) -> str:
@@ -216,17 +223,27 @@ def segmentations(docs: DataFrame, model_path: str, n: int = 4, with_ids: bool =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, known = vocabulary(model_path), {}
 
-        def solve(part: str) -> list:
-            return [(s, np.array(ids, "<u4")) for s, ids in words.nbest(part, n)]
+        def solve(part: str) -> tuple[float, float, bytes, bytes]:
+            """Best score, loss of the second best, the best one's ids, and the others packed; small, as many are kept."""
+            every = words.nbest(part, n)
+            rest = b"".join(struct.pack("<dI", s, len(ids)) + np.array(ids, "<u4").tobytes() for s, ids in every[1:])
+            return every[0][0], every[0][0] - every[1][0] if rest else np.inf, np.array(every[0][1], "<u4").tobytes(), rest
+
+        def choices(solved: tuple) -> list[tuple[float, np.ndarray]]:
+            out, at, rest = [(solved[0], np.frombuffer(solved[2], "<u4"))], 0, solved[3]
+            while at < len(rest):
+                s, k = struct.unpack_from("<dI", rest, at)
+                out.append((s, np.frombuffer(rest, "<u4", k, at + 12)))
+                at += 12 + 4 * k
+            return out
 
         for batch in batches:
             doc = 0
             for bounds, index, unique in chunks(batch.column(1)):
                 solved = _solved(unique, known, solve)
-                size = np.fromiter((len(x[0][1]) for x in solved), np.int64, len(solved))
-                pool, start = np.concatenate([x[0][1] for x in solved] or [np.empty(0, "<u4")]), np.cumsum(size) - size
-                score = np.array([x[0][0] for x in solved], float)
-                loss = np.array([x[0][0] - x[1][0] if len(x) > 1 else np.inf for x in solved], float)
+                size = np.fromiter((len(x[2]) // 4 for x in solved), np.int64, len(solved))
+                pool, start = np.frombuffer(b"".join([x[2] for x in solved]), "<u4"), np.cumsum(size) - size
+                score, loss = (np.array([x[k] for x in solved], float) for k in (0, 1))
                 rows: dict[str, list] = {f.name: [] for f in schema}
                 for a, b in zip(bounds, bounds[1:], strict=False):
                     own = index[a:b]
@@ -234,18 +251,19 @@ def segmentations(docs: DataFrame, model_path: str, n: int = 4, with_ids: bool =
                     ends = np.cumsum(lengths)
                     base = pool[np.arange(ends[-1] if len(ends) else 0) + np.repeat(start[own] - (ends - lengths), lengths)]
                     # the parts that may deviate: the n - 1 of least loss, the earlier of equal ones
-                    few = np.argpartition(loss[own], n - 2)[: n - 1] if 1 < n <= len(own) else np.arange(len(own))
-                    if len(few):
-                        worst = loss[own][few].max()
-                        few = np.flatnonzero(loss[own] <= worst) if np.isfinite(worst) else np.flatnonzero(np.isfinite(loss[own]))
-                    for rank, (lost, choice) in enumerate(combined([solved[own[k]] for k in few], n), 1):
-                        picked = {int(few[k]): c for k, c in choice.items()}
+                    loose = loss[own]
+                    few = np.flatnonzero(loose <= np.partition(loose, n - 2)[n - 2]) if 1 < n <= len(own) else np.arange(len(own))
+                    few = few[np.argsort(loose[few], kind="stable")][: n - 1]
+                    few = np.sort(few[np.isfinite(loose[few])])
+                    lists = [choices(solved[own[k]]) for k in few]
+                    first = sum(x[0][0] for x in lists)
+                    for rank, (lost, choice) in enumerate(combined(lists, n), 1):
                         cuts, at = [], 0
-                        for k, c in sorted(picked.items()):
-                            cuts += [base[at : ends[k] - lengths[k]], solved[own[k]][c][1]]
-                            at = ends[k]
-                        ids = np.concatenate([*cuts, base[at:]]) if picked else base
-                        first = sum(solved[own[k]][0][0] for k in few)
+                        for k, c in sorted(choice.items(), key=lambda kc: few[kc[0]]):
+                            where = few[k]
+                            cuts += [base[at : ends[where] - lengths[where]], lists[k][c][1]]
+                            at = ends[where]
+                        ids = np.concatenate([*cuts, base[at:]]) if choice else base
                         values = [batch.column(0)[doc].as_py(), rank, float(score[own].sum()) + (lost - first), len(ids), zlib.crc32(ids)] + [ids.astype(np.int32)] * with_ids
                         for name, value in zip(rows, values, strict=True):
                             rows[name].append(value)
