@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 #: Fixed value: white space outside ASCII and the control characters that libraries class differently (an RE2 class body).
 ODD_SPACE = r"\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 #: Pieces kept, the longest piece that is kept, and the characters that are encoded in one go.
-CACHE_PIECES, CACHE_CHARS, CHUNK_CHARS = 800_000, 40, 8_000_000
+CACHE_PIECES, CACHE_CHARS, CHUNK_CHARS = 400_000, 40, 4_000_000
 
 
 class CachedEncoder:
