@@ -10,7 +10,8 @@ from ..functions.ranking import tied_ranks
 from ..functions.scope import GLOBAL, Scope
 from ..operators import metrics, population
 from ..operators.combine import combine
-from ..sources.panel import date_split, drop_missing, events_panel, forward_target, stack_assets
+from ..sources.panel import date_cutoff, date_split, drop_missing, events_panel, forward_target, stack_assets
+from ..sources.shared import written
 from .compiler import compile_forest
 from .ir import call, parse, variable
 
@@ -287,11 +288,14 @@ add("stack_assets", stack_query, "select row_number() over (order by event_type,
 
 def report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every factor's scores on the rows behind the 70 % date, best first by pps; the ranks are made within the factor."""
-    panel = compile_forest(events_panel(spark, sf_dir), {n: parse(t) for n, t in _TREES.items()}, FEATURES)
+    events = events_panel(spark, sf_dir)
+    # the cutoff needs no factor, so it is taken from the rows alone
+    cut = date_cutoff(forward_target(events, 5, close="x1", target="simple_return"), 0.7, "day")
+    panel = compile_forest(events, {n: parse(t) for n, t in _TREES.items()}, FEATURES)
     panel = forward_target(panel, 5, close="x1", target="simple_return")
-    _, test = date_split(panel, 0.7, "day")
+    test = panel.withColumn("_cut", cut).where(F.col("day") > F.col("_cut"))
     long = test.select("y", F.explode(F.array(*(F.struct(F.lit(n).alias("factor"), F.round(n, 9).alias("f")) for n in _TREES))).alias("s")).select("y", "s.*")
-    ranked = tied_ranks(tied_ranks(long, "f", "rf", ["factor"]), "y", "ry", ["factor"])
+    ranked = written(tied_ranks(tied_ranks(long, "f", "rf", ["factor"]), "y", "ry", ["factor"]), "ranked-factors")
     scores = ranked.groupBy("factor").agg(metrics.guarded_corr(F.col("f"), F.col("y")).alias("ic"), metrics.guarded_corr(F.col("rf"), F.col("ry")).alias("rank_ic"), F.count(F.lit(1)).alias("n"))
     bins = ranked.join(F.broadcast(scores.select("factor", "n")), "factor").groupBy("factor", metrics.rre_bins(F.col("rf") / F.col("n"), 10).alias("bin"), "n").agg((F.count(F.lit(1)) / F.col("n")).alias("p"))
     rre = bins.groupBy("factor").agg((1 + F.sum(F.col("p") * F.log("p")) / F.log(F.lit(10.0))).alias("rre"))
