@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import bisect
 import heapq
-import itertools
 import re
 import struct
 import zlib
@@ -71,17 +70,17 @@ class Vocabulary:
         return [self.bytes[b] for b in ch.encode("utf-8", "surrogatepass")] if self.bytes else [self.unknown]
 
     def edges(self, part: str) -> list[list[tuple[int, float, int]]]:
-        """For each place, the pieces (start, score, id) that end there, by ascending start; id -1 is an unknown character."""
+        """For each place, the pieces (start, score, id) that end there, by ascending start; id -1 is an unknown character.
+
+        The automaton gives the matches of one end from the longest on, and an unknown character is the shortest.
+        """
         out: list[list[tuple[int, float, int]]] = [[] for _ in range(len(part) + 1)]
-        alone = [False] * len(part)
         for end, (n, s, i) in self.automaton.iter(part):
             out[end + 1].append((end + 1 - n, s, i))
-            alone[end] |= n == 1
-        for k, known in enumerate(alone):
-            if not known:
-                out[k + 1].append((k, self.least, -1))
-        for e in out:
-            e.sort()
+        for k in range(len(part)):
+            e = out[k + 1]
+            if not e or e[-1][0] != k:
+                e.append((k, self.least, -1))
         return out
 
     def count(self, part: str) -> tuple[float, int]:
@@ -102,29 +101,42 @@ class Vocabulary:
         every path in it stands for another segmentation of just that score. So only as many paths are kept as segmentations are
         still asked for. Equal ones leave in the order in which they were met.
         """
-        edges = self.edges(part)
-        ahead = [0.0] + [-np.inf] * len(part)
-        for end, es in enumerate(edges):
+        edges, insort, least = self.edges(part), bisect.insort, float("-inf")
+        ahead = [0.0]
+        for es in edges[1:]:
+            top = least
             for start, s, _ in es:
-                if ahead[start] + s > ahead[end]:
-                    ahead[end] = ahead[start] + s
+                v = ahead[start] + s
+                if v > top:
+                    top = v
+            ahead.append(top)
         found: list[tuple[float, list[int]]] = []
-        agenda, met = [(-ahead[-1], 0, len(part), 0.0, None)], itertools.count(1)
+        agenda, met, room = [(-ahead[-1], 0, len(part), 0.0, None)], 0, n
         while agenda:
             _, _, place, behind, path = agenda.pop(0)
             if place == 0:
                 ids: list[int] = []
                 while path:
-                    i, ch, path = path
-                    ids += [i] if i >= 0 else self.unknown_ids(ch)
+                    i, at, path = path
+                    if i >= 0:
+                        ids.append(i)
+                    else:
+                        ids += self.unknown_ids(part[at])
                 found.append((behind, ids))
+                room -= 1
                 continue
-            room = n - len(found)
+            size = len(agenda)
             for start, s, i in edges[place]:
-                f = -(ahead[start] + s + behind)
-                if len(agenda) < room or f < agenda[-1][0]:
-                    bisect.insort(agenda, (f, next(met), start, behind + s, (i, part[start], path)))
-                    del agenda[room:]
+                after = s + behind
+                f = -(ahead[start] + after)
+                if size < room:
+                    size += 1
+                elif f < agenda[-1][0]:
+                    agenda.pop()
+                else:
+                    continue
+                met += 1
+                insort(agenda, (f, met, start, after, (i, start, path)))
         return found
 
     def decode(self, ids: list[int]) -> str:
@@ -226,8 +238,9 @@ def segmentations(docs: DataFrame, model_path: str, n: int = 4, with_ids: bool =
         def solve(part: str) -> tuple[float, float, bytes, bytes]:
             """Best score, loss of the second best, the best one's ids, and the others packed; small, as many are kept."""
             every = words.nbest(part, n)
-            rest = b"".join(struct.pack("<dI", s, len(ids)) + np.array(ids, "<u4").tobytes() for s, ids in every[1:])
-            return every[0][0], every[0][0] - every[1][0] if rest else np.inf, np.array(every[0][1], "<u4").tobytes(), rest
+            rest = b"".join([struct.pack(f"<dI{len(ids)}I", s, len(ids), *ids) for s, ids in every[1:]])
+            s, ids = every[0]
+            return s, s - every[1][0] if rest else np.inf, struct.pack(f"<{len(ids)}I", *ids), rest
 
         def choices(solved: tuple) -> list[tuple[float, np.ndarray]]:
             out, at, rest = [(solved[0], np.frombuffer(solved[2], "<u4"))], 0, solved[3]
