@@ -118,7 +118,7 @@ def test_quality(odd_docs, no_docs):
 
 
 def test_quality_em_finds_a_better_rule(spark):
-    rows = [(1,) * 7] * 80 + [(-1, -1, 1, 1, -1, -1, 1)] * 15 + [(1, 1, 1, 1, 1, -1, 1)] * 5
+    rows = [(1,) * 8] * 80 + [(-1, -1, 1, 1, 1, -1, -1, 1)] * 15 + [(1, 1, 1, 1, 1, 1, -1, 1)] * 5
     votes = spark.createDataFrame(rows, ", ".join(f"{r} int" for r in quality.RULES)).groupBy(*quality.RULES).agg(F.count(F.lit(1)).alias("n"))
     model = quality.fit(votes)
     good = {tuple(r[k] for k in quality.RULES): r.q for r in votes.withColumn("q", quality.posterior(model)).collect()}
