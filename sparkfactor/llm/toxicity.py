@@ -2,7 +2,9 @@
 
 Writers hide words by leetspeak ("1d10t"), spacing ("i d i o t", "i.d.i.o.t") and repetition ("stuuupid"). Such tokens are read
 as the output of a noisy channel: each character gives a column of a lattice (itself, the letters that it may stand for, or nothing)
-and Viterbi picks the letters that a character trigram model of all documents finds likeliest. Other tokens pass as they are.
+and Viterbi picks the letters that a character trigram model of all documents finds likeliest. Every token with a letter and with a
+character that isn't one, or with a doubled letter, is read so, whatever its length; plain words also count as written. Of a token
+of single letters between separators ("y.o.u.i.d.i.o.t") each part may be a word, as of a run of single characters.
 
 A restored word has the features word and first four, five and six letters. Their log odds of toxic against clean documents
 come from a bounded sample of labelled documents, ``PER_CLASS`` of each label. A logistic regression turns a document's strongest
@@ -40,7 +42,7 @@ THRESHOLD = 0.3
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "*": "aeiou"}
 SEPARATORS = "._-*~'"
 EDGE = ".,;:!?()[]{}\"'`-_*"
-LONGEST, CHUNK_CHARS, KNOWN_TOKENS = 40, 4_000_000, 600_000
+CACHED, CHUNK_CHARS, KNOWN_TOKENS = 40, 4_000_000, 600_000
 N = 27  # a word's border and 26 letters
 
 
@@ -80,35 +82,52 @@ class Speller:
 
     def decode(self, token: str) -> str:
         """The likeliest letters of a folded token."""
-        best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+        best: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}  # letters are linked from the last one back
         for m in re.finditer(r"(.)\1*", token, re.S):
             columns = self._options(m[1], len(m[0]))
-            after: dict[tuple[int, int], tuple[float, str]] = {}
+            after: dict[tuple[int, int], tuple[float, tuple]] = {}
             for (a, b), (score, letters) in best.items():
                 for add, cost in columns:
                     s, x, y, word = score + cost, a, b, letters
                     for k in add:
-                        s, x, y, word = s + self.log[x][y][k], y, k, word + chr(96 + k)
-                    if (x, y) not in after or (s, word) > after[x, y]:
+                        s, x, y, word = s + self.log[x][y][k], y, k, (k, word)
+                    old = after.get((x, y))
+                    if old is None or s > old[0] or (s == old[0] and word is not old[1] and _spelt(word) > _spelt(old[1])):
                         after[x, y] = (s, word)
             best = after
-        return max((s + self.log[a][b][0], w) for (a, b), (s, w) in best.items())[1]
+        top = max(s + self.log[a][b][0] for (a, b), (s, _) in best.items())
+        return max(_spelt(w) for (a, b), (s, w) in best.items() if s + self.log[a][b][0] == top)
 
     def words(self, token: str) -> list[tuple[str, bool]]:
         """The words that a token holds, in lower case, and whether each was restored; restored ones have no accents."""
-        core = TAIL.sub("", HEAD.sub("", token.lower())).strip(EDGE)
-        if core.isalpha() and not TRIPLE.search(core):
-            return [(core, False)]
-        out = [(p, False) for p in re.split(r"[^\w@$!|+]+", core) if p.isalpha() and len(p) > 2]
-        letters = sum(c.isalpha() for c in core)
-        if 2 <= letters and 3 <= len(core) <= LONGEST and 2 * letters >= len(core) - sum(c in SEPARATORS for c in core):
-            out.append((self.decode(fold(core)), True))
+        low = token.lower()
+        core = TAIL.sub("", HEAD.sub("", low)).strip(EDGE)
+        out = [(core, False)] if core.isalpha() else [(p, False) for p in re.split(r"[^\w@$!|+]+", core) if p.isalpha() and len(p) > 2]
+        # the symbols at the ends may stand for letters too
+        for whole in dict.fromkeys((core, low.strip(EDGE))):
+            folded = fold(whole)
+            # two characters hold no word of three letters
+            if len(folded) > 2 and LETTER.search(folded) and (DOUBLE.search(folded) or not whole.isalpha()):
+                restored = self.decode(folded)
+                # a plain word that the lattice leaves as it is was not obfuscated, and keeps its accents
+                if restored != folded or not whole.isalpha():
+                    out.append((restored, True))
         return out
 
 
 #: Runs of symbols at a token's ends are decoration; a single one may stand for a letter.
 HEAD, TAIL = re.compile(r"^[^\w\s]{2,}"), re.compile(r"[^\w\s]{2,}$")
-TRIPLE = re.compile(r"(.)\1\1")
+LETTER, DOUBLE = re.compile(r"[a-z]"), re.compile(r"(.)\1")
+#: Single characters, maybe repeated, with separators between them.
+SPELT = re.compile(r"([^\W_]|[@$!|+])\1*(?:[._\-*~']+([^\W_]|[@$!|+])\2*){2,}")
+
+
+def _spelt(letters: tuple) -> str:
+    out = []
+    while letters:
+        k, letters = letters
+        out.append(chr(96 + k))
+    return "".join(reversed(out))
 
 
 def features(word: str) -> list[str]:
@@ -125,11 +144,13 @@ class Lexicon:
             self.plain[fold(f)] = max(s, self.plain.get(fold(f), 0.0))
 
     def score(self, token: str) -> float:
-        return max(((self.plain if restored else self.odds).get(f, 0.0) for w, restored in self.speller.words(token) for f in features(w)), default=0.0)
+        found = max(((self.plain if restored else self.odds).get(f, 0.0) for w, restored in self.speller.words(token) for f in features(w)), default=0.0)
+        core = token.lower().strip(EDGE)
+        return max(found, self.spaced(core)) if SPELT.fullmatch(core) else found
 
     def spaced(self, letters: str) -> float:
         """A run of single characters may hold several words, so each part of it is looked up as a word."""
-        word = self.speller.decode(fold(letters)) if len(letters) <= 4 * LONGEST else fold(letters)
+        word = self.speller.decode(fold(letters))
         return max((self.plain.get("w" + word[i : i + n], 0.0) for i in range(len(word)) for n in range(3, 15) if i + n <= len(word)), default=0.0)
 
     def scores(self, tokens: list[str]) -> np.ndarray:
@@ -137,7 +158,7 @@ class Lexicon:
         for i, s in enumerate(out):
             if s is None:
                 out[i] = s = self.score(tokens[i])
-                if len(self.known) < KNOWN_TOKENS and len(tokens[i]) <= LONGEST:
+                if len(self.known) < KNOWN_TOKENS and len(tokens[i]) <= CACHED:
                     self.known[tokens[i]] = s
         return np.array(out, float)
 
