@@ -54,7 +54,7 @@ def tournament(pool: DataFrame, draws: DataFrame) -> DataFrame:
 
 
 def lexicase_survivors(errors: Column, order: Column, epsilon: float) -> Column:
-    """From an array of (ind_id, e) structs, those left after each period of ``order``: error up to the least one plus epsilon."""
+    """For bounded pools. From an array of (ind_id, e) structs, those left after each period of ``order``: error up to the least one plus epsilon."""
     return F.aggregate(
         order,
         errors,
@@ -62,6 +62,21 @@ def lexicase_survivors(errors: Column, order: Column, epsilon: float) -> Column:
     )
 
 
+def lexicase(pool: DataFrame, orders: list[list[str]], epsilon: float, ind_id: str = "ind_id") -> DataFrame:
+    """(slot, ind_id): of a pool of any size, those left after each slot's error columns in order, as by ``lexicase_survivors``.
+
+    Each step takes the slots' least errors by one aggregate over the pool; only these, one for each slot, reach the driver.
+    """
+    left = [F.lit(True) for _ in orders]
+    for k in range(max(map(len, orders), default=0)):
+        now = [s for s, order in enumerate(orders) if k < len(order)]
+        least = pool.agg(*(F.min(F.when(left[s], F.col(orders[s][k]).cast("double"))).alias(f"m{s}") for s in now)).first()
+        for s in now:
+            left[s] = left[s] & (F.col(orders[s][k]).cast("double") <= F.lit(least[f"m{s}"]).cast("double") + epsilon)
+    slots = F.filter(F.array(*(F.when(keep, s) for s, keep in enumerate(left))), lambda s: s.isNotNull()) if orders else F.array().cast("array<int>")
+    return pool.select(F.explode(slots).alias("slot"), F.col(ind_id).alias("ind_id"))
+
+
 def islands(population: DataFrame, n_islands: int, order: str = "ind_id") -> DataFrame:
     """Adds ``island`` from 1: equal contiguous slices in order."""
     n = population.count()

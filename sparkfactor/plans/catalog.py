@@ -375,14 +375,14 @@ select slot, ind_id, s_acctbal as fitness from d join supplier on s_suppkey = in
 )
 
 
+def lexicase_errors(part: DataFrame) -> DataFrame:
+    return part.select(F.col("p_partkey").alias("ind_id"), F.abs(F.col("p_size") - 25).cast("double").alias("e0"), (F.col("p_partkey") % 5).cast("double").alias("e1"), (F.col("p_retailprice") / 100).alias("e2"))
+
+
 def lexicase_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Survivors among 20 parts over three error columns, for each order of periods."""
     part = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_partkey <= 20")
-    errors = F.array(F.abs(F.col("p_size") - 25).cast("double"), F.col("p_partkey").cast("double") % 5, F.col("p_retailprice") / 100)
-    pool = part.agg(F.array_sort(F.collect_list(F.struct(F.col("p_partkey").alias("ind_id"), errors.alias("e")))).alias("pool"))
-    orders = spark.createDataFrame([(0, [0, 1, 2]), (1, [1, 0, 2]), (2, [2, 1, 0])], "slot int, periods array<int>")
-    left = pool.join(F.broadcast(orders)).withColumn("s", population.lexicase_survivors(F.col("pool"), F.col("periods"), 2.0))
-    return left.select("slot", F.explode("s.ind_id").alias("ind_id"))
+    return population.lexicase(lexicase_errors(part), [["e0", "e1", "e2"], ["e1", "e0", "e2"], ["e2", "e1", "e0"]], 2.0)
 
 
 def _lexicase_sql(order: tuple[int, ...], slot: int) -> str:
