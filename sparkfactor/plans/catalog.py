@@ -431,13 +431,13 @@ select round(ic, 6) as ic, round(rank_ic, 6) as rank_ic, round(0.3 * ic + 0.7 *
 
 
 def gp_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The front of a small search over the whole events panel."""
+    """The front of a small search over the whole events panel; the last generation follows PFS, constant tuning and a migration."""
     from ..config import GPConfig
     from ..operators.engine import panel_matrix, run_gp
 
     panel = forward_target(events_panel(spark, sf_dir), 5, close="x1", target="simple_return")
     x, y = panel_matrix(panel, FEATURES, "y")
-    cfg = GPConfig(population_size=16, n_trees=2, max_depth=3, n_generations=2, elite_count=2, n_islands=2, behavior_sample_size=100, hof_size=10, lexicase_n_periods=5, optimize_constants=False)
+    cfg = GPConfig(population_size=16, n_trees=2, max_depth=3, n_generations=3, elite_count=2, n_islands=2, behavior_sample_size=100, hof_size=10, lexicase_n_periods=5, const_opt_every_n_gens=2, migration_interval=2)
     members = run_gp(spark, x, y, cfg).members
     rows = [(k, m.key, m.pps, m.rre, m.complexity) for k, m in enumerate(sorted(members, key=lambda m: -m.pps), 1)]
     return spark.createDataFrame(rows, "rank int, trees string, pps double, rre double, complexity int")
