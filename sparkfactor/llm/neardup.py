@@ -11,26 +11,29 @@ Rows with equal sets become one class first, so copies cost nothing later. Withi
 1. Each bucket has a centre, the member that meets most others over all bands. Members are verified against it, and the links
    give components.
 2. What is left are pairs of a bucket in different components. Small buckets list them. In a larger bucket one of the two, x,
-   is not linked to the centre c, so either the pair shares shingles outside c, found by a prefix-filtered join on (c, shingle), or
-   |x & c| alone reaches the intersection that the pair needs, which holds for few sizes below |c| and is found by a join on (c, size).
+   is in another component than the centre c, so it isn't linked to c. Either the pair shares shingles outside c, and meets in a
+   sub-bucket for each that a prefix filter asks for; large sub-buckets are split by the next shingle, and so on. Or |x & c|
+   alone reaches the intersection that the pair needs, which holds for few sizes below |c| and is found by a join on (c, size).
    All these pairs are verified on full sets, and the components are made anew.
 
 Sets hold 64-bit hashes of shingles and are read from the texts again for documents that share a bucket, no others.
 
 Defined cases: null and empty texts, and rows without doc_id, are linked with nothing. A row without a doc_id has no component and
-is kept. Rows that share a doc_id are judged by their own text; equal ones are all kept, if any is. Other columns are ignored, whatever
-their names. An empty table gives no rows.
+is kept. Rows that share a doc_id are judged by their own text, each as a node of its own; equal ones are all kept, if any is.
+Other columns are ignored, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .common import ascii_lower, words_of, written
 from .graph import components
@@ -38,6 +41,10 @@ from .graph import components
 BANDS, ROWS = 44, 5
 #: Up to so many members a bucket's pairs between components are listed directly, which is linear in the rows.
 SMALL_BUCKET = 32
+#: The same for sub-buckets, in which few pairs are still open.
+SMALL_GROUP = 128
+#: A centre's members are dealt to so many tasks. A centre of a large bucket has more members, so its bounds are fewer than they.
+PARTS = SMALL_BUCKET
 
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -97,6 +104,10 @@ def _hashed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), words.alias("words"))
 
 
+def _print(items: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(items, digest_size=16).digest() if len(items) else None
+
+
 def signatures(docs: DataFrame, shingle: int, bands: int = BANDS, rows: int = ROWS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, print (of the whole set, null for an empty one) and the keys of its bands."""
 
@@ -106,7 +117,7 @@ def signatures(docs: DataFrame, shingle: int, bands: int = BANDS, rows: int = RO
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column(0),
                 "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
-                "print": pa.array([hashlib.blake2b(s, digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
+                "print": pa.array([_print(s) for s in sets], pa.binary()),
                 "bands": pa.array([band_keys(sketch(s, bands * rows), bands, rows) if len(s) else None for s in sets], pa.list_(pa.int64())),
             })
 
@@ -114,14 +125,28 @@ def signatures(docs: DataFrame, shingle: int, bands: int = BANDS, rows: int = RO
 
 
 def full_sets(docs: DataFrame, shingle: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, items): whole shingle sets."""
+    """(doc_id, print, items): whole shingle sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(w, shingle).view(np.int64) for w in _word_lists(batch, 1)]
-            yield pa.RecordBatch.from_pydict({"id": batch.column(0), "items": pa.array(sets, pa.list_(pa.int64()))})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "print": pa.array(list(map(_print, sets)), pa.binary()), "items": pa.array(sets, pa.list_(pa.int64()))})
+
+    return _hashed(docs, doc_id, text).mapInArrow(run, "doc_id long, print binary, items array<long>")
+
+
+def printed(docs: DataFrame, shingle: int, text: str = "text") -> DataFrame:
+    """The rows with the print of their whole sets; null where there is no word."""
+    names = [*docs.columns, "print"]
 
-    return _hashed(docs, doc_id, text).mapInArrow(run, "id long, items array<long>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            last = batch.num_columns - 1
+            prints = pa.array([_print(shingle_set(w, shingle)) for w in _word_lists(batch, last)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:last], prints], names=names)
+
+    words = F.transform(words_of(ascii_lower(F.col(text))), lambda w: F.xxhash64(w))
+    return docs.select("*", words.alias("_words")).mapInArrow(run, StructType([*docs.schema.fields, StructField("print", BinaryType())]))
 
 
 def _compared(pairs: DataFrame, sets: DataFrame, more: Column | None = None) -> DataFrame:
@@ -145,69 +170,134 @@ def _labelled(rows: DataFrame, labels: DataFrame, key: str, name: str) -> DataFr
     return rows.join(found, key, "left").withColumn(name, F.coalesce("_c", key)).drop("_c")
 
 
-def class_links(reps: DataFrame, docs_sets, percent: int) -> DataFrame:
+def _listed(rows: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of the buckets (key, id, n, comp, t, rest) that are in different components and can still be linked.
+
+    A row can be linked only to one with which it shares ``t`` further shingles of ``rest`` that it has.
+    """
+    x = rows.select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("t").alias("ta"), F.col("rest").alias("ra"))
+    y = rows.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("t").alias("tb"), F.col("rest").alias("rb"))
+    pairs = x.join(y, "key").where("a < b and ca <> cb and greatest(ta, tb) <= least(ra, rb)")
+    return pairs.where(_may_link(F.col("na"), F.col("nb"), percent)).select("a", "b")
+
+
+def _dealt(members: DataFrame, centres: DataFrame) -> DataFrame:
+    """Members (a, b, ...) with their centre's columns (a, ...), dealt by centre and a part of its members, so no centre is hot."""
+    parts = centres.select("*", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
+    return members.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(PARTS)).cast("int")).join(parts, ["a", "part"]).drop("part")
+
+
+def _needing(members: DataFrame, percent: int) -> DataFrame:
+    """Adds ``t``: so many shingles outside its centre, one at least, a member shares with whom it may be linked to in another component.
+
+    Of a pair in different components one, x, is a stranger to the centre c: in another component than c. The pair needs
+    percent / (100 + percent) * (n_x + n_y) shingles in common, of which at most |x & c| and at most |y & c| lie in c.
+    """
+    n = F.col("n_b")
+    by_strangers = F.when(F.col("comp") != F.col("comp_c"), (100 + percent) * F.col("common") - percent * n)
+    bounds = members.groupBy("a").agg(F.min("n_b").alias("n_min"), F.max(by_strangers).alias("g")).where("g is not null")
+    by_own = F.ceil(percent * (n + F.greatest(F.col("n_min"), F.ceil(n * percent / F.lit(100)))) / F.lit(100 + percent)) - F.col("common")
+    resident = F.when(F.col("comp") == F.col("comp_c"), F.ceil((percent * n - F.col("g")) / F.lit(100 + percent)))
+    return _dealt(members, bounds).select("a", "b", "n_b", "comp", F.greatest(F.lit(1), by_own, resident).cast("int").alias("t"))
+
+
+def _met_outside(members: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) in different components that can be linked and share a shingle outside their centre.
+
+    Members show their shingles outside the centre in one order, each only as many as a prefix filter asks for, and meet in a sub-bucket
+    for each. In a large one those that need no more shingles in common list their pairs; all others of its pairs share a further
+    shingle behind that one, so its members show the next ones, until no sub-bucket is large.
+    """
+    own = members.select("a", "b", F.array_sort("own").alias("own"))
+    rows = _needing(members, percent).select("*", F.col("a").alias("key"), F.lit(0).alias("p"))
+    found = []
+    while True:
+        few = F.slice("own", F.col("p") + 1, F.greatest(F.lit(0), F.size("own") - F.col("p") - F.greatest(F.lit(1), F.col("t")) + 1))
+        shown = rows.join(own, ["a", "b"]).select("a", "b", "n_b", "comp", "t", "key", "p", F.size("own").alias("size"), F.posexplode(few).alias("q", "e"))
+        p = F.col("p") + F.col("q") + 1
+        shown = written(shown.select(F.xxhash64("key", "e").alias("key"), "a", "b", "n_b", "comp", (F.col("t") - 1).alias("t"), p.alias("p"), (F.col("size") - p).alias("rest")), "shown")
+        several = shown.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+        met = written(shown.join(several.select("key", "m"), "key"), "met")
+        final = met.where((F.col("m") <= SMALL_GROUP) | (F.col("t") <= 0))
+        found.append(_listed(final.select("key", F.col("b").alias("id"), F.col("n_b").alias("n"), "comp", "t", "rest"), percent))
+        rows = met.where(F.col("m") > SMALL_GROUP).select("a", "b", "n_b", "comp", "t", "key", "p")
+        if rows.isEmpty():
+            return reduce(DataFrame.union, found)
+
+
+def _met_inside(members: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that can be linked by what they share inside their centre.
+
+    A pair needs common >= percent / (100 + percent) * (n_x + n_y), so for x only sizes n_y up to this come into question.
+    """
+    most = F.floor((100 + percent) * F.col("common") / F.lit(percent)) - F.col("n_b")
+    least = F.ceil(F.col("n_b") * percent / F.lit(100))
+    near = members.where("comp <> comp_c").where(least <= F.least(most, F.col("n_a") - 1)).withColumn("s", F.sequence(least, F.least(most, F.col("n_a") - 1)))
+    near = near.select("a", F.col("b").alias("x"), F.col("n_b").alias("nx"), F.col("comp").alias("cx"), F.explode("s").alias("size"))
+    other = members.select("a", F.col("b").alias("y"), F.col("n_b").alias("size"), F.col("comp").alias("cy"), F.col("common").alias("iy"))
+    inside = near.join(other, ["a", "size"]).where("cx <> cy").where((100 + percent) * F.col("iy") >= percent * (F.col("nx") + F.col("size")))
+    return inside.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def class_links(reps: DataFrame, sets_of, percent: int) -> DataFrame:
     """Links (a, b) between classes (id, n, bands) that give the components of all links between texts.
 
-    ``docs_sets``: from a table of ids (id) to their full sets (id, items).
+    ``sets_of``: from a table of ids (id) to their full sets (id, items).
     """
     bands = reps.select("id", "n", F.explode("bands").alias("key"))
     shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     rows = written(bands.join(shared, "key"), "buckets")
+    sets = written(sets_of(rows.select("id").distinct()), "sets")
     degree = rows.groupBy("id").agg(F.sum("m").alias("degree"))
-    centre = rows.join(degree, "id").groupBy("key").agg(F.max(F.struct("degree", (-F.col("id")).alias("i"))).alias("c"))
-    rows = written(rows.join(centre.select("key", (-F.col("c.i")).alias("c")), "key"), "stars")
-    sets = written(docs_sets(rows.select("id").distinct()), "sets")
+    best = F.max(F.struct("degree", (-F.col("id")).alias("i"))).alias("best")
+    rows = written(rows.join(rows.join(degree, "id").groupBy("key").agg(best), "key").withColumn("c", -F.col("best.i")), "stars")
     stars = rows.where("c <> id").select(F.col("c").alias("a"), F.col("id").alias("b")).distinct()
-    seen = written(_compared(stars, sets), "compared")
-    first = seen.where(_linked(percent)).select("a", "b")
-
-    labels = components(first)
-    rows = _labelled(rows, labels, "id", "comp")
-    mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    left = written(rows.join(mixed, "key"), "left")
-
-    x = left.where(F.col("m") <= SMALL_BUCKET).where("id <> c").select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    y = x.select("key", F.col("a").alias("b"), F.col("na").alias("nb"), F.col("ca").alias("cb"))
-    listed = x.join(y, "key").where("a < b and ca <> cb").where(_may_link(F.col("na"), F.col("nb"), percent)).select("a", "b")
-
-    large = left.where(F.col("m") > SMALL_BUCKET).where("id <> c").select("c", "id", "comp").distinct()
-    own = F.array_except("items_b", "items_a").alias("own")
-    member = written(_compared(large.select(F.col("c").alias("a"), F.col("id").alias("b"), "comp"), sets, own), "members").withColumnRenamed("a", "c")
-    # a partner of an unlinked x shares at least `t` shingles with it outside c, so of those `own - t + 1` are enough to meet it
-    smallest = member.groupBy("c").agg(F.min("n_b").alias("n_min"))
-    needed = F.ceil(percent * (F.col("n_b") + F.greatest(F.col("n_min"), F.ceil(F.col("n_b") * percent / F.lit(100)))) / F.lit(100 + percent)) - F.col("common")
-    enough = F.size("own") - F.when(_linked(percent), 1).otherwise(F.greatest(F.lit(1), needed)) + 1
-    sure = member.withColumnRenamed("c", "a").join(smallest.withColumnRenamed("c", "a"), "a").withColumn("k", enough.cast("int")).where("k > 0")
-    e = sure.select(F.col("a").alias("c"), F.explode(F.slice(F.array_sort("own"), 1, F.col("k"))).alias("e"), F.col("b").alias("a"), F.col("n_b").alias("na"), F.col("comp").alias("ca"))
-    e = e.join(e.groupBy("c", "e").agg(F.min("ca").alias("lo"), F.max("ca").alias("hi")).where("lo <> hi").select("c", "e"), ["c", "e"])
-    f = e.select("c", "e", F.col("a").alias("b"), F.col("na").alias("nb"), F.col("ca").alias("cb"))
-    outside = e.join(f, ["c", "e"]).where("a < b and ca <> cb").where(_may_link(F.col("na"), F.col("nb"), percent)).select("a", "b")
-
-    # the pair needs common >= percent / (100 + percent) * (n_x + n_y), so for x only sizes n_y up to this come into question
-    most = F.floor((100 + percent) * F.col("common") / F.lit(percent)) - F.col("n_b")
-    least = F.ceil(F.col("n_b") * percent / F.lit(100))
-    near = member.where(~_linked(percent)).withColumn("s", F.when(most >= least, F.sequence(least, F.least(most, F.col("n_a") - 1))))
-    near = near.where(least <= F.least(most, F.col("n_a") - 1)).select("c", F.col("b").alias("x"), F.col("n_b").alias("nx"), F.col("comp").alias("cx"), F.explode("s").alias("size"))
-    other = member.select("c", F.col("b").alias("y"), F.col("n_b").alias("size"), F.col("comp").alias("cy"), F.col("common").alias("iy"))
-    inside = near.join(other, ["c", "size"]).where("cx <> cy").where((100 + percent) * F.col("iy") >= percent * (F.col("nx") + F.col("size")))
-    inside = inside.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    first = written(_compared(stars, sets).where(_linked(percent)).select("a", "b"), "star-links")
+
+    labels = written(components(first), "labels")
+    labelled = _labelled(rows.where("id <> c"), labels, "id", "comp")
+    ends = _labelled(rows, labels, "id", "comp").groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    left = written(labelled.join(ends.where("lo <> hi").select("key"), "key"), "left")
+    small = left.where(F.col("m") <= SMALL_BUCKET).select("key", "id", "n", "comp", F.lit(0).alias("t"), F.lit(0).alias("rest"))
+
+    # any text can be the centre of what is left of a bucket: the best one that its members have met serves many buckets at once
+    large = left.where(F.col("m") > SMALL_BUCKET)
+    met = large.join(large.groupBy("id").agg(F.max("best").alias("met")), "id").groupBy("key").agg((-F.max("met")["i"]).alias("a"))
+    met = written(large.join(met, "key").where("a <> id").select("a", F.col("id").alias("b"), "comp").distinct(), "met-centres")
+    centres = _labelled(met.select("a").distinct(), labels, "a", "comp_c")
+    compared = _compared(met, sets, F.array_except("items_b", "items_a").alias("own"))
+    members = written(_dealt(compared, centres), "members")
+    pairs = _listed(small, percent).union(_met_outside(members, percent)).union(_met_inside(members, percent)).distinct()
+    return written(first.union(_compared(pairs, sets).where(_linked(percent)).select("a", "b")), "links")
+
+
+def classes(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """A row for each document: doc_id, print (of its set), n_shingles, component_id and kept."""
+    signed = written(signatures(docs, shingle, bands, rows, doc_id, text).withColumn("row", F.monotonically_increasing_id()), "signatures")
+    known = signed.where("print is not null and doc_id is not null")
+    # one row stands for each set; rows, not doc_ids, are the nodes, as a doc_id may come with several texts
+    least = F.min(F.struct("doc_id", "row", F.col("n_shingles").alias("n"), "bands")).alias("r")
+    groups = written(known.groupBy("print").agg(least).select("print", F.col("r.doc_id").alias("rep"), F.col("r.row").alias("id"), F.col("r.n").alias("n"), F.col("r.bands").alias("bands")), "groups")
+    repeated = not known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").isEmpty()
 
-    more = _compared(listed.union(outside).union(inside).distinct(), sets).where(_linked(percent)).select("a", "b")
-    return written(first.union(more), "links")
+    def sets_of(ids: DataFrame) -> DataFrame:
+        asked = written(groups.select("id", "print", "rep").join(ids, "id", "left_semi"), "asked")
+        own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+        sets = full_sets(own.join(asked, own.doc_id == asked.rep, "left_semi"), shingle)
+        if not repeated:
+            return sets.join(asked, sets.doc_id == asked.rep).select("id", "items")
+        both = sets.join(asked, (sets.doc_id == asked.rep) & (sets["print"] == asked["print"])).select("id", "items")
+        return both.groupBy("id").agg(F.first("items").alias("items"))
+
+    labels = components(class_links(groups.select("id", "n", "bands"), sets_of, percent))
+    named = written(groups.select("print", "rep", "id").join(labels, F.col("id") == F.col("node")).select("print", "rep", "component"), "named")
+    lowest = named.groupBy("component").agg(F.min("rep").alias("low"))
+    linked = named.join(lowest, "component").select("print", "low")
+    named = groups.select("print", "rep").join(linked, "print", "left").select(F.col("print").alias("p"), F.coalesce("low", "rep").alias("component_id"))
+    out = signed.join(named, signed["print"] == F.col("p"), "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
+    return out.select("doc_id", "print", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each document: doc_id, n_shingles, component_id and kept."""
-    signed = written(signatures(docs, shingle, bands, rows, doc_id, text), "signatures")
-    known = signed.where("print is not null and doc_id is not null")
-    groups = written(known.groupBy("print").agg(F.min("doc_id").alias("rep")), "groups")
-    reps = known.join(groups, (known["print"] == groups["print"]) & (F.col("doc_id") == F.col("rep"))).select(F.col("rep").alias("id"), F.col("n_shingles").alias("n"), "bands")
-
-    def docs_sets(ids: DataFrame) -> DataFrame:
-        own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-        return full_sets(own.join(ids, own.doc_id == ids.id, "left_semi"), shingle)
-
-    labels = components(class_links(reps, docs_sets, percent))
-    named = _labelled(groups, labels, "rep", "component_id").select(F.col("print").alias("p"), "component_id")
-    out = signed.join(named, signed["print"] == F.col("p"), "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return classes(docs, shingle, percent, bands, rows, doc_id, text).drop("print")
