@@ -36,15 +36,17 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of least doc_id of each class of near copies, over 5-word shingles at similarity 0.8.
 
-    Of rows that share that doc_id the one of least text is kept.
+    Rows without doc_id or without a word stay. Where a doc_id comes with several texts each is judged by its own; of rows that share
+    doc_id and shingles one stays, the least.
     """
     docs = docs.select(*COLUMNS)
-    kept = neardup.near_duplicates(docs, shingle=5, percent=80).where("kept and doc_id is not null").select("doc_id").distinct()
-    own = docs.join(kept, "doc_id", "left_semi").union(docs.where("doc_id is null"))
+    kept = written(neardup.classes(docs, shingle=5, percent=80).where("kept and doc_id is not null").select("doc_id", "print").distinct(), "kept")
     repeated = written(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "repeated")
-    once = own.join(repeated, "doc_id", "left_anti")
-    first = own.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("r")).select("doc_id", "r.*")
-    return once.union(first).select(*COLUMNS)
+    once = docs.join(kept, "doc_id", "left_semi").join(repeated, "doc_id", "left_anti")
+    several = neardup.printed(docs.join(repeated, "doc_id", "left_semi"), shingle=5)
+    least = several.join(kept, ["doc_id", "print"], "left_semi").groupBy("doc_id", "print").agg(F.min(F.struct(*COLUMNS[1:])).alias("r")).select("doc_id", "r.*")
+    wordless = several.where("print is null").select(*COLUMNS)
+    return once.union(least).union(wordless).union(docs.where("doc_id is null")).select(*COLUMNS)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
