@@ -39,22 +39,34 @@ def tied_ranks(df: DataFrame, value: str, name: str, within: list[str] | None =
     if within:
         rank, same = F.rank().over(W.partitionBy(*within).orderBy(value)), F.count(F.lit(1)).over(W.partitionBy(*within, value))
         return df.withColumn(name, rank + (same - 1) / F.lit(2.0))
-    counts = (df if base is None else base).groupBy(F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    if (distinct := counts.count()) <= ONE_WINDOW_ROWS:
-        below = F.sum("_n").over(W.orderBy("_v").rowsBetween(W.unboundedPreceding, -1))
-        ranks = counts.withColumn("_below", F.coalesce(below, F.lit(0)))
-    else:
-        ranks = _prefix_sums(counts, distinct)
-    ranks = ranks.select("_v", (F.col("_below") + (F.col("_n") + 1) / F.lit(2.0)).alias(name))
+    counts = written((df if base is None else base).groupBy(F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n")), "value-counts")
+    ranks = _below(counts, ["_v"]).select("_v", (F.col("_below") + (F.col("_n") + 1) / F.lit(2.0)).alias(name))
     return df.join(ranks, F.col(value).eqNullSafe(F.col("_v"))).drop("_v")
 
 
-def _prefix_sums(counts: DataFrame, distinct: int) -> DataFrame:
-    """Adds to (_v, _n) the sum of _n over smaller values, by range partitions and one offset a partition."""
-    placed = counts.repartitionByRange("_v").withColumn("_part", F.spark_partition_id())
-    placed = written(placed, "values")
+def grouped_tied_ranks(df: DataFrame, group: str, value: str, name: str) -> DataFrame:
+    """``df`` with average ranks from 1 of ``value`` within few large groups; no group ends in one task."""
+    counts = written(df.groupBy(F.col(group).alias("_g"), F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n")), "value-counts")
+    starts, before = {}, 0
+    for r in sorted(counts.groupBy("_g").agg(F.sum("_n").alias("n")).collect(), key=lambda r: r["_g"]):
+        starts[r["_g"]], before = before, before + r.n
+    start = F.broadcast(df.sparkSession.createDataFrame(list(starts.items()) or [("", 0)], "_s string, _start long"))
+    ranks = _below(counts, ["_g", "_v"]).join(start, F.col("_g") == F.col("_s"))
+    ranks = ranks.select("_g", "_v", (F.col("_below") - F.col("_start") + (F.col("_n") + 1) / F.lit(2.0)).alias(name))
+    return df.join(ranks, (F.col(group) == F.col("_g")) & F.col(value).eqNullSafe(F.col("_v"))).drop("_g", "_v")
+
+
+def _below(counts: DataFrame, order: list[str]) -> DataFrame:
+    """Adds to written counts (..., _n) ``_below``, the sum of _n over what comes before in ``order``.
+
+    Beyond ``ONE_WINDOW_ROWS`` values by range partitions and one offset a partition.
+    """
+    w = W.orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    if counts.count() <= ONE_WINDOW_ROWS:
+        return counts.withColumn("_below", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+    placed = written(counts.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "values")
     sizes = sorted((r["_part"], r.n) for r in placed.groupBy("_part").agg(F.sum("_n").alias("n")).collect())
     ends = [0, *accumulate(n for _, n in sizes)]
     before = counts.sparkSession.createDataFrame([(p, ends[i]) for i, (p, _) in enumerate(sizes)], "_part int, _before long")
-    within = F.sum("_n").over(W.partitionBy("_part").orderBy("_v").rowsBetween(W.unboundedPreceding, -1))
+    within = F.sum("_n").over(W.partitionBy("_part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1))
     return placed.join(F.broadcast(before), "_part").withColumn("_below", F.col("_before") + F.coalesce(within, F.lit(0))).drop("_part", "_before")

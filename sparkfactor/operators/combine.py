@@ -8,8 +8,8 @@ from operator import add
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.cross_section import cs_rank
-from ..functions.scope import GLOBAL, HALO, Scope
+from ..functions.cross_section import average_ranks, cs_rank
+from ..functions.scope import GLOBAL, Scope
 
 COMBINATIONS = ("weighted_sum", "rank_average", "vote")
 
@@ -25,8 +25,10 @@ def combine(df: DataFrame, signals: list[str], how: str, out: str = "f", weights
         return df.withColumn(out, reduce(add, (F.col(s) * float(k) for s, k in zip(signals, w, strict=True))))
     if how == "vote":
         return df.withColumn(out, F.signum(reduce(add, (F.signum(F.col(s)) for s in signals))))
-    ranked = df.withColumn(HALO, F.lit(False))
+    if scope.kind == "global":
+        return average_ranks(df, {s: s for s in signals}, scope, mean=out)
+    ranked = df
     for i, s in enumerate(signals):
-        ranked = cs_rank(ranked, s, f"_rank{i}", scope)
-    total = reduce(add, (F.col(f"_rank{i}") for i in range(len(signals))))
-    return ranked.withColumn(out, total / len(signals)).drop(HALO, *(f"_rank{i}" for i in range(len(signals))))
+        ranked = cs_rank(ranked, s, f"__rank{i}", scope)
+    total = reduce(add, (F.col(f"__rank{i}") for i in range(len(signals))))
+    return ranked.withColumn(out, total / len(signals)).drop(*(f"__rank{i}" for i in range(len(signals))))

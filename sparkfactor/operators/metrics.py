@@ -1,6 +1,7 @@
 """Scores of a signal against a target, as aggregates.
 
-A correlation is covariance over standard deviations with a guard, never ``corr``: a constant side gives 0, not an error or null.
+A correlation is covariance over standard deviations with a guard, never ``corr``: a constant side, or one that holds NaN or an
+infinite value, gives 0, as in the kernels. Ranks count NaN as the largest value. What a metric reads twice is written once.
 """
 
 from __future__ import annotations
@@ -19,7 +20,9 @@ LEAST_SD = 1e-8
 def guarded_corr(f: Column, y: Column) -> Column:
     """Pearson correlation as an aggregate; 0 where a side hardly varies or there are fewer than two rows."""
     sf, sy = F.coalesce(F.stddev_samp(f), F.lit(0.0)), F.coalesce(F.stddev_samp(y), F.lit(0.0))
-    return F.when((sf < LEAST_SD) | (sy < LEAST_SD), F.lit(0.0)).otherwise(F.covar_samp(f, y) / (sf * sy))
+    value = F.covar_samp(f, y) / (sf * sy)
+    odd = F.isnan(sf) | F.isnan(sy) | (F.greatest(sf, sy) == float("inf"))
+    return F.when((sf < LEAST_SD) | (sy < LEAST_SD) | odd, F.lit(0.0)).otherwise(F.coalesce(F.nanvl(value, F.lit(0.0)), F.lit(0.0)))
 
 
 def ic(df: DataFrame, f: str = "f", y: str = "y") -> DataFrame:
@@ -27,7 +30,7 @@ def ic(df: DataFrame, f: str = "f", y: str = "y") -> DataFrame:
 
 
 def _ranked(df: DataFrame, f: str, y: str) -> DataFrame:
-    own = df.select(f, y)
+    own = written(df.select(f, y), "signal")
     return tied_ranks(tied_ranks(own, f, "_rf"), y, "_ry", base=own)
 
 
@@ -41,8 +44,9 @@ def rre_bins(rank_share: Column, n_bins: int) -> Column:
 
 def rre(df: DataFrame, f: str = "f", n_bins: int = 10) -> DataFrame:
     """1 less the relative entropy of the tied ranks' bins; 0 with fewer rows than bins."""
-    ranked = tied_ranks(df.select(f), f, "_rf")
-    n = df.agg(F.count(F.lit(1)).alias("n")).scalar()
+    own = written(df.select(f), "signal")
+    ranked = tied_ranks(own, f, "_rf")
+    n = own.agg(F.count(F.lit(1)).alias("n")).scalar()
     counts = ranked.groupBy(rre_bins(F.col("_rf") / n, n_bins).alias("_bin")).agg(F.count(F.lit(1)).alias("_c"))
     total = F.sum("_c")
     p = F.col("_c") / F.lit(1.0)
@@ -69,6 +73,7 @@ def periods(df: DataFrame, n_periods: int, order: str = "row_id", remainder: boo
 
 def rolling_rank_ic(df: DataFrame, n_periods: int, f: str = "f", y: str = "y", order: str = "row_id") -> DataFrame:
     """(period, rank_ic), ranked anew in every period; no rows with fewer than two periods or two rows a period."""
+    df = written(df.select(order, f, y), "signal")
     if n_periods < 2 or df.count() // n_periods < 2:
         return df.limit(0).select(F.lit(0).cast("long").alias("period"), F.lit(0.0).alias("rank_ic"))
     cut = periods(df, n_periods, order).select("period", f, y)

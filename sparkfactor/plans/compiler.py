@@ -8,6 +8,7 @@ order, so Spark plans one exchange and one sort for all of them.
 from __future__ import annotations
 
 import itertools
+import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -26,7 +27,8 @@ def compile_forest(panel: DataFrame, trees: dict[str, Node], features: list[str]
     if len(trees) > MOST_TREES:
         raise ValueError(f"more than {MOST_TREES} trees in one plan")
     names: dict[Node, Column] = {}
-    fresh = (f"_n{k}" for k in itertools.count())
+    prefix = f"__node_{uuid.uuid4().hex[:8]}_"
+    fresh = (f"{prefix}{k}" for k in itertools.count())
     df = scope.prepared(panel, max((t.reach for t in trees.values()), default=0))
 
     def staged(node: Node) -> Column:
@@ -61,7 +63,7 @@ def compile_forest(panel: DataFrame, trees: dict[str, Node], features: list[str]
     for name, tree in trees.items():
         value = column(tree)
         df = df.withColumn(name, value)
-    return scope.finished(df).drop(*(c for c in df.columns if c.startswith("_n")))
+    return scope.finished(df).drop(*(c for c in df.columns if c.startswith(prefix)))
 
 
 def evaluate(tree: Node, x: np.ndarray, constants: list[float] | None = None) -> np.ndarray:
