@@ -86,7 +86,7 @@ class GPConfig:
 
         need(0 <= self.min_depth <= self.max_depth, "depths are out of order")
         need(self.population_size > 0 and self.n_islands > 0 and self.population_size % self.n_islands == 0, "the population doesn't divide by the islands")
-        need(0 <= self.elite_count < self.population_size // self.n_islands or self.elite_count < self.population_size, "more elites than individuals")
+        need(0 <= self.elite_count < self.population_size, "more elites than individuals")
         need(self.lexicase_n_periods >= 2, "lexicase needs two periods")
         for p in (self.crossover_prob, self.const_prob, self.fin_op_prob, self.migration_rate):
             need(0 <= p <= 1, "a probability lies outside 0 to 1")

@@ -1,7 +1,7 @@
 """The island search. Spark evaluates; the driver, which sees only individuals and their scores, selects and breeds.
 
 A generation is one job: individuals go out by island as text, each task scores its share on a broadcast block of the panel with the
-NumPy kernels, and scores, fingerprints and period errors come back. Individuals that didn't change keep their scores within a block.
+NumPy kernels, and scores, fingerprints and period errors come back. All are scored anew, as each generation has its own block of rows.
 """
 
 from __future__ import annotations
@@ -36,17 +36,22 @@ class NoveltyArchive:
     k: int
     entries: list
 
-    def _own(self) -> np.ndarray:
-        return np.array([knn_mean(e, np.array(self.entries[:i] + self.entries[i + 1 :]), self.k) for i, e in enumerate(self.entries)])
-
     def update(self, behaviors: list[np.ndarray]) -> None:
+        """Distances among the members are kept, so a candidate costs one row of them."""
+        apart = np.array([_distances(e, np.array(self.entries)) for e in self.entries]).reshape(len(self.entries), len(self.entries))
         for b in behaviors:
-            own = self._own()
-            if self.entries and knn_mean(b, np.array(self.entries), self.k) <= own.mean():
+            n = len(self.entries)
+            near = _distances(b, np.array(self.entries)) if n else np.empty(0)
+            others = np.sort(apart + np.diag(np.full(n, np.inf)), axis=1)[:, : min(self.k, n - 1)]
+            own = others.mean(1) if n > 1 else np.zeros(n)
+            if n and float(np.sort(near)[: self.k].mean()) <= own.mean():
                 continue
-            if len(self.entries) >= self.size:
-                self.entries.pop(int(own.argmin()))
+            if n >= self.size:
+                gone = int(own.argmin())
+                self.entries.pop(gone)
+                apart, near = np.delete(np.delete(apart, gone, 0), gone, 1), np.delete(near, gone)
             self.entries.append(b)
+            apart = np.block([[apart, near[:, None]], [near[None, :], np.zeros((1, 1))]])
 
 
 def dominates(a: Individual, b: Individual) -> bool:
@@ -158,8 +163,8 @@ def run_gp(spark: SparkSession, x: np.ndarray, y: np.ndarray, cfg: GPConfig, log
         start = int(master.integers(len(y) - n_rows + 1))
         steady = generation % cfg.const_opt_every_n_gens == 0
         flat = [ind for own in islands for ind in own]
-        pfs_for = {k * size + i for k, own in enumerate(islands) for i in sorted(range(size), key=lambda i: -own[i].fitness)[:elites]} if steady else set()
-        found = score_individuals(spark, flat, x, y, slice(start, start + n_rows), cfg, behavior_rows, pfs_for, generation)
+        rows = slice(start, start + n_rows)
+        found = score_individuals(spark, flat, x, y, rows, cfg, behavior_rows, set(), generation)
         errors = [np.array([e for *_, e in found[k * size : (k + 1) * size]]) for k in range(cfg.n_islands)]
         weight = cfg.weights.novelty if cfg.compat else scores.novelty_weight(cfg.weights.novelty, generation, cfg.n_generations)
         for k in range(cfg.n_islands):
@@ -172,6 +177,8 @@ def run_gp(spark: SparkSession, x: np.ndarray, y: np.ndarray, cfg: GPConfig, log
                 ind = replace(ind, pps=p, rre=r, pfs=s, behavior=b, novelty=novelty if np.isfinite(novelty) else 0.0)
                 own.append(replace(ind, fitness=fitness_of(ind, cfg, weight)))
             islands[k] = own
+        if steady and cfg.weights.pfs > 0:
+            islands = _steadied(spark, islands, x, y, rows, cfg, behavior_rows, generation, elites, weight)
         archive.update([np.array(ind.behavior) for own in islands for ind in own if np.isfinite(ind.behavior).all()])
         hof.update([ind for own in islands for ind in own])
         if log:
@@ -185,6 +192,17 @@ def run_gp(spark: SparkSession, x: np.ndarray, y: np.ndarray, cfg: GPConfig, log
     return hof
 
 
+def _steadied(spark: SparkSession, islands: list[list[Individual]], x, y, rows: slice, cfg: GPConfig, behavior_rows, generation: int, elites: int, weight: float) -> list[list[Individual]]:
+    """The fittest of each island, by their new scores, with PFS in their fitness."""
+    chosen = [(k, i) for k, own in enumerate(islands) for i in sorted(range(len(own)), key=lambda i: -own[i].fitness)[:elites]]
+    found = score_individuals(spark, [islands[k][i] for k, i in chosen], x, y, rows, cfg, behavior_rows, set(range(len(chosen))), generation)
+    out = [list(own) for own in islands]
+    for (k, i), (_, _, steady, *_) in zip(chosen, found, strict=True):
+        ind = replace(out[k][i], pfs=steady)
+        out[k][i] = replace(ind, fitness=fitness_of(ind, cfg, weight))
+    return out
+
+
 def _tuned_elites(spark: SparkSession, islands: list[list[Individual]], x, y, y_rank, elites: int) -> list[list[Individual]]:
     """The fittest of each island with tuned constants, tree by tree on the executors."""
     block = spark.sparkContext.broadcast((x, y, y_rank))

@@ -2,49 +2,96 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
 
-def distance(a: Column, b: Column) -> Column:
-    """Euclidean distance of two fingerprints, in double precision."""
-    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: F.pow(x.cast("double") - y.cast("double"), F.lit(2.0))), F.lit(0.0), lambda s, v: s + v))
+#: Bytes of fingerprints that are broadcast at once.
+BLOCK_BYTES = 32 << 20
+#: A complexity's members are dealt to so many tasks for a first front.
+PARTS = 64
 
 
-def knn_novelty(population: DataFrame, k: int, archive: DataFrame | None = None, ind_id: str = "ind_id", behavior: str = "behavior") -> DataFrame:
+def knn_novelty(population: DataFrame, k: int, archive: DataFrame | None = None, ind_id: str = "ind_id", behavior: str = "behavior", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(ind_id, novelty): mean distance to the min(k, n) nearest other fingerprints and archive entries; 0 for an empty fingerprint.
 
-    A population is a few thousand individuals, so its fingerprints are broadcast in whole.
+    Fingerprints of one length are comparable. All others come to a fingerprint in blocks of ``block_bytes`` at most, each broadcast for
+    one pass over the population; a pass keeps the k least distances of each, and these are merged.
     """
-    own = population.select(F.col(ind_id).alias("ind_id"), F.col(behavior).alias("a"))
+    spark = population.sparkSession
+    own = written(population.select(F.col(ind_id).alias("ind_id"), F.col(behavior).cast("array<double>").alias("a")), "fingerprints")
     others = own.select(F.col("ind_id").alias("other"), F.col("a").alias("b"))
     if archive is not None:
-        others = others.unionByName(archive.select(F.lit(None).cast(others.schema["other"].dataType).alias("other"), F.col(behavior).alias("b")))
-    others = others.where(F.size("b") > 0)
-    pairs = own.where(F.size("a") > 0).join(F.broadcast(others), F.col("other").isNull() | (F.col("other") != F.col("ind_id")), "left")
-    near = pairs.withColumn("d", distance(F.col("a"), F.col("b"))).withColumn("_r", F.row_number().over(W.partitionBy("ind_id").orderBy(F.asc_nulls_last("d"))))
-    scores = near.where(F.col("_r") <= k).groupBy("ind_id").agg(F.coalesce(F.avg("d"), F.lit(0.0)).alias("novelty"))
+        others = others.unionByName(archive.select(F.lit(None).cast(others.schema["other"].dataType).alias("other"), F.col(behavior).cast("array<double>").alias("b")))
+    others = written(others.where(F.size("b") > 0).withColumn("at", F.pmod(F.xxhash64("other", "b"), F.lit(1 << 30))), "others")
+    size = others.agg(F.coalesce(F.sum(8 * F.size("b") + 16), F.lit(0)).alias("n")).first().n
+    blocks, found = max(1, -(-size // block_bytes)), []
+    for block in range(blocks):
+        held: dict[int, tuple[list, list]] = {}
+        for r in others.where(F.col("at") % blocks == block).select("other", "b").collect():
+            ids, rows = held.setdefault(len(r.b), ([], []))
+            ids.append(r.other)
+            rows.append(r.b)
+        shared = spark.sparkContext.broadcast({n: (np.array(ids, object), np.array(rows, float)) for n, (ids, rows) in held.items()})
+
+        def run(frames, shared=shared):
+            import pandas as pd
+
+            for frame in frames:
+                out = []
+                for i, a in zip(frame.ind_id, frame.a, strict=True):
+                    ids, rows = shared.value.get(len(a), (np.empty(0, object), np.empty((0, len(a)))))
+                    d = np.sqrt(((rows - np.asarray(a, float)) ** 2).sum(1))[ids != i]
+                    out.append(np.sort(np.partition(d, k - 1)[:k] if len(d) > k else d))
+                yield pd.DataFrame({"ind_id": frame.ind_id, "d": out})
+
+        # a batch is a few hundred fingerprints, so a small population still goes to all tasks
+        kind = own.schema["ind_id"].dataType.simpleString()
+        near = own.where(F.size("a") > 0).repartition(spark.sparkContext.defaultParallelism).mapInPandas(run, f"ind_id {kind}, d array<double>")
+        found.append(near if blocks == 1 else written(near, "near"))
+    merged = reduce(DataFrame.union, found).groupBy("ind_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("d"))), 1, k).alias("d"))
+    mean = F.when(F.size("d") > 0, F.aggregate("d", F.lit(0.0), lambda s, v: s + v) / F.size("d"))
+    scores = merged.select("ind_id", mean.alias("novelty"))
     return own.select("ind_id").join(scores, "ind_id", "left").select("ind_id", F.coalesce("novelty", F.lit(0.0)).alias("novelty"))
 
 
-def dominates(a: str, b: str) -> Column:
-    """Whether alias ``a`` dominates alias ``b``: pps and rre high, complexity low, one of them strictly."""
-    pa, ra, ca, pb, rb, cb = (F.col(f"{x}.{c}") for x in (a, b) for c in ("pps", "rre", "complexity"))
-    return (pa >= pb) & (ra >= rb) & (ca <= cb) & ((pa > pb) | (ra > rb) | (ca < cb))
+def _unbeaten(members: DataFrame, *by: str) -> DataFrame:
+    """Of each group with one complexity the members that none of it dominates, by running maxima."""
+    above = W.partitionBy("complexity", *by).orderBy(F.desc("pps"), F.desc("rre")).rowsBetween(W.unboundedPreceding, -1)
+    return members.withColumn("__best", F.max("rre").over(above)).where("__best is null or rre > __best").drop("__best")
 
 
 def pareto_front(members: DataFrame, arrival: str = "ind_id") -> DataFrame:
-    """Members (pps, rre, complexity) that none dominates; of equal ones the first.
+    """Members (pps and rre high, complexity low) that none dominates; of equal ones the first.
 
-    Before the join by dominance only the best rre of each (pps, complexity) is left, and of those only what is not dominated within
-    one complexity, by running maxima; so the join sees fronts, not members.
+    Within a complexity running maxima leave a front, first in parts. What a lower complexity dominates is found by a sweep for each
+    node of a binary tree over the complexities: a member stands in the nodes above its own and asks those that cover all below it.
     """
     w = W.partitionBy("pps", "rre", "complexity").orderBy(arrival)
-    first = members.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
-    above = W.partitionBy("complexity").orderBy(F.desc("pps"), F.desc("rre")).rowsBetween(W.unboundedPreceding, -1)
-    fronts = first.withColumn("_best", F.max("rre").over(above)).where("_best is null or rre > _best").drop("_best")
-    return fronts.alias("m").join(fronts.alias("o"), dominates("o", "m"), "left_anti")
+    first = members.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    parts = _unbeaten(first.withColumn("__part", F.pmod(F.xxhash64("pps", "rre"), F.lit(PARTS))), "__part").drop("__part")
+    fronts = written(_unbeaten(parts), "fronts")
+    levels = written(fronts.select("complexity").distinct(), "complexities")
+    top = max(1, levels.count())
+    place = levels.withColumn("__at", F.row_number().over(W.orderBy("complexity")))
+    # the nodes of a Fenwick tree: up adds the lowest bit, down takes it away
+    lowest = lambda x: x.bitwiseAND(-x)
+    steps = F.sequence(F.lit(1), F.lit(top.bit_length() + 1))
+    up = F.aggregate(steps, F.array("__at"), lambda a, _: F.concat(a, F.array(F.element_at(a, -1) + lowest(F.element_at(a, -1)))))
+    down = F.aggregate(steps, F.array(F.col("__at") - 1), lambda a, _: F.concat(a, F.array(F.element_at(a, -1) - lowest(F.element_at(a, -1)))))
+    placed = fronts.join(place, "complexity")
+    stands = placed.select(F.explode(F.array_distinct(F.filter(up, lambda x: x <= top))).alias("__node"), "pps", "rre", F.lit(None).cast("long").alias("__id"))
+    asking = written(placed.withColumn("__id", F.monotonically_increasing_id()), "asking")
+    asks = asking.select(F.explode(F.array_distinct(F.filter(down, lambda x: x > 0))).alias("__node"), "pps", "rre", "__id")
+    over = W.partitionBy("__node").orderBy(F.desc("pps")).rangeBetween(W.unboundedPreceding, W.currentRow)
+    seen = stands.union(asks).withColumn("__best", F.max(F.when(F.col("__id").isNull(), F.col("rre"))).over(over))
+    beaten = seen.where("__id is not null and __best >= rre").select("__id").distinct()
+    return asking.join(beaten, "__id", "left_anti").select(*members.columns)
 
 
 def tournament(pool: DataFrame, draws: DataFrame) -> DataFrame:
@@ -100,18 +147,26 @@ def migration_targets(n: int, topology: str, rng=None) -> list[int]:
 
 
 def migrate(population: DataFrame, targets: list[int], m: int) -> DataFrame:
-    """Copies of each island's ``m`` fittest replace the ``m`` least fit of its target: (island, ind_id, fitness, origin).
+    """Copies of each island's ``m`` fittest, as they were before any move, replace the ``m`` least fit of its target.
 
-    Where islands share a target, the later source's copies win, as if delivered one after the other onto the same places.
+    Gives (island, ind_id, fitness, origin). Sources that share a target deliver one after the other, so a later one may replace
+    what an earlier one brought; islands with one source each take part in the first round. Of equals the first place counts.
     """
     spark = population.sparkSession
-    order = W.partitionBy("island")
-    ranked = population.select("island", "ind_id", "fitness").withColumns({
-        "best": F.row_number().over(order.orderBy(F.desc("fitness"), "ind_id")),
-        "worst": F.row_number().over(order.orderBy("fitness", F.desc("ind_id"))),
-    })
-    last = {t: s for s, t in enumerate(targets, 1)}
-    routes = F.broadcast(spark.createDataFrame([(t, s) for t, s in last.items() if t != s] or [(0, 0)], "target int, source int"))
-    sent = ranked.where(F.col("best") <= m).join(routes, F.col("island") == F.col("source")).select("target", F.col("best").alias("place"), F.col("ind_id").alias("new_id"), F.col("fitness").alias("new_fitness"), "source")
-    both = ranked.join(sent, (F.col("island") == F.col("target")) & (F.col("worst") == F.col("place")), "left")
-    return both.select("island", F.coalesce("new_id", "ind_id").alias("ind_id"), F.coalesce("new_fitness", "fitness").alias("fitness"), F.coalesce("source", "island").cast("int").alias("origin"))
+    now = population.select("island", F.row_number().over(W.partitionBy("island").orderBy("ind_id")).alias("slot"), "ind_id", "fitness", F.col("island").cast("int").alias("origin"))
+    now = written(now, "before-migration")
+    best = F.row_number().over(W.partitionBy("island").orderBy(F.desc("fitness"), "slot"))
+    sent = now.withColumn("place", best).where(F.col("place") <= m).select(F.col("island").alias("source"), "place", F.col("ind_id").alias("new_id"), F.col("fitness").alias("new_fitness"))
+    rounds: list[dict[int, int]] = []
+    for source, target in enumerate(targets, 1):
+        if source != target:
+            if (nth := sum(target in r for r in rounds)) == len(rounds):
+                rounds.append({})
+            rounds[nth][target] = source
+    for routes in rounds:
+        route = F.broadcast(spark.createDataFrame(list(routes.items()), "target int, source int"))
+        coming = sent.join(route, "source").select("target", "place", "new_id", "new_fitness", "source")
+        worst = now.withColumn("worst", F.row_number().over(W.partitionBy("island").orderBy("fitness", "slot")))
+        both = worst.join(coming, (F.col("island") == F.col("target")) & (F.col("worst") == F.col("place")), "left")
+        now = both.select("island", "slot", F.coalesce("new_id", "ind_id").alias("ind_id"), F.coalesce("new_fitness", "fitness").alias("fitness"), F.coalesce("source", "origin").cast("int").alias("origin"))
+    return now.drop("slot")
