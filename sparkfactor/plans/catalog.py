@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.registry import OPS
-from ..functions.ranking import tied_ranks
+from ..functions.ranking import grouped_tied_ranks, tied_ranks
 from ..functions.scope import GLOBAL, Scope
 from ..operators import metrics, population
 from ..operators.combine import combine
-from ..sources.panel import date_cutoff, date_split, drop_missing, events_panel, forward_target, stack_assets
+from ..sources.panel import date_cutoff, date_split, drop_missing, events_panel, forward_target, stack_assets, with_row_id
 from ..sources.shared import written
 from .compiler import compile_forest
 from .ir import call, parse, variable
@@ -250,7 +250,12 @@ def _cross_target(target: str):
 
 
 _AHEAD = f"{PANEL}, t as (select row_id, x1, lead(x1, 5) over (partition by asset order by row_id) as ahead from panel)"
-add("forward_target", _cross_target("reference"), f"with {_AHEAD} select row_id, round(coalesce(ahead / nullif(x1, 0) / nullif(x1, 0), 0.0), 6) as y from t where ahead is not null")
+_OVER_ZERO = "case when ahead = 0 then 'nan'::double when ahead > 0 then 'inf'::double else '-inf'::double end"
+add(
+    "forward_target",
+    _cross_target("reference"),
+    f"with {_AHEAD} select row_id, case when x1 = 0 then {_OVER_ZERO} else round(ahead / x1 / x1, 6) end as y from t where ahead is not null",
+)
 add("forward_simple_return", _cross_target("simple_return"), f"with {_AHEAD} select row_id, round(coalesce(ahead / nullif(x1, 0) - 1, 0.0), 6) as y from t where ahead is not null")
 
 
@@ -277,13 +282,18 @@ add(
 
 
 def stack_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two event types as assets, stacked one behind the other."""
+    """Every event type as an asset, stacked one behind the other."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    frames = [e.where(F.col("event_type") == t).select(F.col("event_type").alias("asset"), "ts", F.col("value").alias("x1")) for t in ("purchase", "click")]
+    kinds = sorted(r.event_type for r in e.select("event_type").distinct().collect() if r.event_type is not None)
+    frames = [e.where(F.col("event_type") == t).select(F.col("event_type").alias("asset"), "ts", F.col("value").alias("x1")) for t in kinds]
     return stack_assets(frames).select("row_id", "asset", "x1")
 
 
-add("stack_assets", stack_query, "select row_number() over (order by event_type, ts) - 1 as row_id, event_type as asset, value as x1 from events where event_type in ('purchase', 'click')")
+add(
+    "stack_assets",
+    stack_query,
+    "select row_number() over (order by event_type, ts) - 1 as row_id, event_type as asset, value as x1 from events where event_type is not null",
+)
 
 
 def report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -295,7 +305,7 @@ def report(spark: SparkSession, sf_dir: str) -> DataFrame:
     panel = forward_target(panel, 5, close="x1", target="simple_return")
     test = panel.withColumn("_cut", cut).where(F.col("day") > F.col("_cut"))
     long = test.select("y", F.explode(F.array(*(F.struct(F.lit(n).alias("factor"), F.round(n, 9).alias("f")) for n in _TREES))).alias("s")).select("y", "s.*")
-    ranked = written(tied_ranks(tied_ranks(long, "f", "rf", ["factor"]), "y", "ry", ["factor"]), "ranked-factors")
+    ranked = written(grouped_tied_ranks(grouped_tied_ranks(written(long, "factors"), "factor", "f", "rf"), "factor", "y", "ry"), "ranked-factors")
     scores = ranked.groupBy("factor").agg(metrics.guarded_corr(F.col("f"), F.col("y")).alias("ic"), metrics.guarded_corr(F.col("rf"), F.col("ry")).alias("rank_ic"), F.count(F.lit(1)).alias("n"))
     bins = ranked.join(F.broadcast(scores.select("factor", "n")), "factor").groupBy("factor", metrics.rre_bins(F.col("rf") / F.col("n"), 10).alias("bin"), "n").agg((F.count(F.lit(1)) / F.col("n")).alias("p"))
     rre = bins.groupBy("factor").agg((1 + F.sum(F.col("p") * F.log("p")) / F.log(F.lit(10.0))).alias("rre"))
@@ -359,9 +369,10 @@ def _pool(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tournament_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many slots as the pool has members, as one generation asks for."""
     pool = _pool(spark, sf_dir)
     n = pool.agg(F.count(F.lit(1)), F.min("ind_id")).first()
-    draws = spark.range(200 * 5).select((F.col("id") / 5).cast("long").alias("slot"), (F.col("id") % 5).alias("draw"))
+    draws = spark.range(n[0] * 5).select((F.col("id") / 5).cast("long").alias("slot"), (F.col("id") % 5).alias("draw"))
     drawn = draws.withColumn("ind_id", (F.col("slot") * 7919 + F.col("draw") * 104729) % n[0] + n[1])
     return population.tournament(pool, drawn)
 
@@ -369,7 +380,8 @@ def tournament_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 add(
     "tournament_select",
     tournament_query,
-    """with n as (select count(*) as n, min(s_suppkey) as lo from supplier), slots as (select unnest(range(200)) as slot), dr as (select unnest(range(5)) as draw),
+    """with n as (select count(*) as n, min(s_suppkey) as lo from supplier),
+slots as (select row_number() over () - 1 as slot from supplier), dr as (select unnest(range(5)) as draw),
 d as (select slot, draw, (slot * 7919 + draw * 104729) % n + lo as ind_id from slots, dr, n)
 select slot, ind_id, s_acctbal as fitness from d join supplier on s_suppkey = ind_id qualify row_number() over (partition by slot order by s_acctbal desc, draw) = 1""",
 )
@@ -380,8 +392,8 @@ def lexicase_errors(part: DataFrame) -> DataFrame:
 
 
 def lexicase_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Survivors among 20 parts over three error columns, for each order of periods."""
-    part = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_partkey <= 20")
+    """Survivors among all parts over three error columns, for each order of periods."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
     return population.lexicase(lexicase_errors(part), [["e0", "e1", "e2"], ["e1", "e0", "e2"], ["e2", "e1", "e0"]], 2.0)
 
 
@@ -396,7 +408,7 @@ def _lexicase_sql(order: tuple[int, ...], slot: int) -> str:
 add(
     "epsilon_lexicase",
     lexicase_query,
-    "with e as (select p_partkey as ind_id, cast(abs(p_size - 25) as double) as e0, cast(p_partkey % 5 as double) as e1, p_retailprice / 100 as e2 from part where p_partkey <= 20) "
+    "with e as (select p_partkey as ind_id, cast(abs(p_size - 25) as double) as e0, cast(p_partkey % 5 as double) as e1, p_retailprice / 100 as e2 from part) "
     + " union all ".join(_lexicase_sql(o, i) for i, o in enumerate(((0, 1, 2), (1, 0, 2), (2, 1, 0)))),
 )
 
@@ -408,18 +420,30 @@ def islands_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 add("island_partition", islands_query, "select s_suppkey as ind_id, cast((row_number() over (order by s_suppkey) - 1) // (count(*) over () // 5) + 1 as integer) as island from supplier")
 
 
-def migrate_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return population.migrate(population.islands(_pool(spark, sf_dir), 5), population.migration_targets(5, "ring"), 2)
+def _migrate(targets: list[int], m: int):
+    return lambda s, d: population.migrate(population.islands(_pool(s, d), len(targets)), targets, m)
 
 
-add(
-    "migrate_ring",
-    migrate_query,
-    """with p as (select s_suppkey as ind_id, s_acctbal as fitness, cast((row_number() over (order by s_suppkey) - 1) // (count(*) over () // 5) + 1 as integer) as island from supplier),
-r as (select *, row_number() over (partition by island order by fitness desc, ind_id) as best, row_number() over (partition by island order by fitness, ind_id desc) as worst from p)
-select r.island, coalesce(s.ind_id, r.ind_id) as ind_id, coalesce(s.fitness, r.fitness) as fitness, coalesce(s.island, r.island) as origin
-from r left join r s on s.best <= 2 and s.island % 5 + 1 = r.island and r.worst = s.best""",
-)
+def _migrate_sql(targets: list[int], m: int) -> str:
+    """Deliveries one after the other, each onto the then least fit of its target."""
+    n = len(targets)
+    steps = [
+        f"""p0 as (select *, row_number() over (partition by island order by ind_id) as slot, island as origin from
+  (select s_suppkey as ind_id, s_acctbal as fitness, cast((row_number() over (order by s_suppkey) - 1) // (count(*) over () // {n}) + 1 as integer) as island from supplier))""",
+        "sent as (select island as source, ind_id, fitness, row_number() over (partition by island order by fitness desc, slot) as place from p0)",
+    ]
+    last = 0
+    for source, target in enumerate(targets, 1):
+        if source != target:
+            steps.append(f"""p{last + 1} as (select w.island, w.slot, coalesce(s.ind_id, w.ind_id) as ind_id, coalesce(s.fitness, w.fitness) as fitness, coalesce(s.source, w.origin) as origin
+  from (select *, row_number() over (partition by island order by fitness, slot) as worst from p{last}) w
+  left join sent s on s.source = {source} and w.island = {target} and s.place = w.worst and s.place <= {m})""")
+            last += 1
+    return f"with {', '.join(steps)} select island, ind_id, fitness, origin from p{last}"
+
+
+for _name, _targets in (("ring", population.migration_targets(5, "ring")), ("star", population.migration_targets(5, "star")), ("random", [3, 3, 4, 3, 4])):
+    add(f"migrate_{_name}", _migrate(_targets, 2 if _name == "ring" else 1), _migrate_sql(_targets, 2 if _name == "ring" else 1))
 add(
     "price_ic",
     lambda s, d: _rounded(metrics.pps(s.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_extendedprice").alias("f"), F.col("l_quantity").alias("y")))),
@@ -430,6 +454,71 @@ select round(ic, 6) as ic, round(rank_ic, 6) as rank_ic, round(0.3 * ic + 0.7 *
 )
 
 
+# ---- a front on rows that it hasn't seen ------------------------------------------------------------------------------------------
+
+#: Individuals as a search gives them: trees, weights, combination, training pps.
+_FRONT = (
+    (("momentum", "spread", "decayed"), (0.5, 0.3, 0.2), "weighted_sum", 0.04),
+    (("momentum", "mixed"), (0.5, 0.5), "vote", 0.07),
+    (("momentum", "spread"), (0.5, 0.5), "rank_average", 0.02),
+)
+_USED = ("momentum", "spread", "mixed", "decayed")
+
+
+def _front_results(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    from ..operators.genetic import Individual
+    from ..operators.oos import evaluate_oos
+
+    panel = forward_target(events_panel(spark, sf_dir), 5, close="x1", target="simple_return")
+    panel = written(with_row_id(panel.withColumnRenamed("row_id", "event"), ["event"]), "oos-panel")
+    front = [Individual(tuple(parse(_TREES[n]) for n in trees), weights, how, pps=pps) for trees, weights, how, pps in _FRONT]
+    return evaluate_oos(panel, front, FEATURES, digits=9)
+
+
+def _member_sql(trees: tuple[str, ...], weights: tuple[float, ...], how: str) -> str:
+    if how == "weighted_sum":
+        return " + ".join(f"{w} * {t}" for t, w in zip(trees, weights, strict=True))
+    if how == "vote":
+        return f"cast(sign({' + '.join(f'sign({t})' for t in trees)}) as double)"
+    return f"({' + '.join(cross_sql('cs_rank', t, '') for t in trees)}) / {len(trees)}"
+
+
+_BY_TRAIN = sorted(_FRONT, key=lambda m: -m[3])
+_OOS = f"""with {PANEL.replace("panel as", "events_panel as", 1)},
+later as (select *, lead(x1, 5) over (partition by asset order by row_id) as ahead from events_panel),
+panel as (select row_number() over (order by row_id) - 1 as row_id, x1, x2, x3, x4, coalesce(ahead / nullif(x1, 0) - 1, 0.0) as y from later where ahead is not null),
+a as (select *, {rolling_sql("ts_delta", "x1", "", 3, "")} as m1, sqrt(abs(x1 * x3) + 1e-6) as m2 from panel),
+t as (select row_id, y, round({rolling_sql("ts_mean", "m1", "", 5, "")}, 9) as momentum, round({_TREE_STEPS["spread"][1]}, 9) as spread,
+  round({_TREE_STEPS["mixed"][1]}, 9) as mixed, round({rolling_sql("decay", "m2", "", 5, "")}, 9) as decayed from a),
+w as (select *, {", ".join(f"round({_member_sql(*m[:3])}, 9) as m{k}" for k, m in enumerate(_BY_TRAIN, 1))} from t),
+long as ({" union all ".join(f"select '{n}' as name, {n} as f, y from w" for n in (*_USED, *(f"m{k}" for k in range(1, len(_FRONT) + 1))))}),
+r as (select name, f, y, rank() over (partition by name order by f) + (count(*) over (partition by name, f) - 1) / 2.0 as rf,
+  rank() over (partition by name order by y) + (count(*) over (partition by name, y) - 1) / 2.0 as ry from long),
+c as (select name, {corr_sql("f", "y")} as ic, {corr_sql("rf", "ry")} as rank_ic from r group by name), e as ({rre_sql("r", "rf", "name")}),
+s as (select name, round(0.3 * ic + 0.7 * rank_ic, 4) as oos_pps, round(ic, 4) as oos_ic, round(rank_ic, 4) as oos_rankic, round(rre, 4) as oos_rre from c join e using (name))"""
+
+
+def _size(trees: tuple[str, ...]) -> int:
+    return sum(parse(_TREES[t]).size for t in trees)
+
+
+_MEMBER_ROWS = ", ".join(f"('m{k}', {k}, {m[3]}, {_size(m[0])})" for k, m in enumerate(_BY_TRAIN, 1))
+_TREE_ROWS = ", ".join(f"('{t}', {k}, {i}, {parse(_TREES[t]).size}, {parse(_TREES[t]).depth})" for k, m in enumerate(_BY_TRAIN, 1) for i, t in enumerate(m[0], 1))
+add(
+    "oos_members",
+    lambda s, d: _front_results(s, d)[0],
+    f"""{_OOS}, i(name, k, train_pps, complexity) as (values {_MEMBER_ROWS})
+select cast(row_number() over (order by oos_pps desc, k) as integer) as rank, oos_pps, oos_ic, oos_rankic, oos_rre, cast(train_pps as double) as train_pps, complexity from i join s using (name)""",
+)
+add(
+    "oos_trees",
+    lambda s, d: _front_results(s, d)[1],
+    f"""{_OOS}, i(name, individual_rank, tree_idx, tree_size, tree_depth) as (values {_TREE_ROWS})
+select individual_rank, tree_idx, oos_pps, oos_ic, oos_rankic, oos_rre, tree_size, tree_depth,
+  cast(row_number() over (partition by individual_rank order by oos_pps desc, tree_idx) as integer) as tree_rank from i join s using (name)""",
+)
+
+
 def gp_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The front of a small search over the whole events panel; the last generation follows PFS, constant tuning and a migration."""
     from ..config import GPConfig

@@ -57,14 +57,16 @@ def stack_assets(frames: list[DataFrame], order: list[str] = ("asset", "ts")) ->
 def forward_target(df: DataFrame, horizon: int, close: str = "close", by: str = "asset", order: str = "row_id", target: str = "reference", name: str = "y") -> DataFrame:
     """Adds the target ``horizon`` rows ahead within an asset and drops rows without one.
 
-    ``reference``: the price ratio over the price again; ``simple_return``: the ratio less one.
+    ``reference``: the price ratio over the price again, by IEEE rules, so a price of 0 gives an infinite target or NaN.
+    ``simple_return``: the ratio less one, 0 for a price of 0.
     """
     w = W.partitionBy(by).orderBy(order)
     ahead = F.lead(close, horizon).over(w)
-    ratio = F.try_divide(ahead, F.col(close))
-    y = F.try_divide(ratio, F.col(close)) if target == "reference" else ratio - 1
-    # a price of 0 leaves no finite target, but its row stays, as the series goes on
-    return df.withColumns({"_ahead": ahead, name: F.coalesce(y, F.lit(0.0))}).where(F.col("_ahead").isNotNull()).drop("_ahead")
+    price = F.col(close)
+    over_zero = F.when(F.isnan(ahead) | (ahead == 0), F.lit(float("nan"))).otherwise(F.signum(ahead) * F.lit(float("inf")))
+    y = F.when(price == 0, over_zero).otherwise(F.try_divide(F.try_divide(ahead, price), price)) if target == "reference" else F.coalesce(F.try_divide(ahead, price) - 1, F.lit(0.0))
+    # the row of a price of 0 stays, as the series goes on
+    return df.withColumns({"_ahead": ahead, name: y}).where(F.col("_ahead").isNotNull()).drop("_ahead")
 
 
 def date_cutoff(df: DataFrame, fraction: float, date: str = "ts") -> Column:
@@ -90,7 +92,7 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 def write_signals(df: DataFrame, path: str, key: str = "row_id") -> None:
     """Signals with their row key as Parquet, at any size."""
-    df.select(key, *sorted(c for c in df.columns if c != key)).write.mode("overwrite").parquet(path)
+    df.select(key, *(F.col(f"`{c}`") for c in sorted(df.columns) if c != key)).write.mode("overwrite").parquet(path)
 
 
 def events_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
