@@ -17,7 +17,10 @@ def shared_dir(spark: SparkSession) -> str:
         return found.rstrip("/")
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
-    return _own_dirs.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="sparkfactor-"))
+    application = spark.sparkContext.applicationId
+    if application not in _own_dirs:
+        _own_dirs[application] = tempfile.mkdtemp(prefix="sparkfactor-")
+    return _own_dirs[application]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
