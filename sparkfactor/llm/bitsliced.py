@@ -7,18 +7,20 @@ added with carry-save adders, three bitmaps to a sum and a carry, many at a time
 scores of all rows of the block, sliced by bit. The k best rows are selected from the most significant slice down; rows that tie
 at the boundary are resolved by their id, and the scores of the selected rows are read back from the slices, so all is exact.
 
-Blocks of rows meet groups of queries by a join on (block, group), so a task holds one block and ``GROUP`` queries. A block's
-k best of a query are merged by rank.
+Blocks of rows stay where they are: the queries come to them in groups of ``GROUP_BYTES`` at most, each broadcast for one pass over the
+index. A block's k best of a query are merged by rank.
 
 Defined cases: rows whose vector is null, empty, or holds a null or non-finite component, and rows without an id, take no part.
-Queries and rows of different length don't meet. Components are held to +-2 ** 26 after scaling. A query's own rows are all
-rows with its id; of rows that share an id every one is a candidate, and the least vector makes the query. Other columns
+Queries and rows of different length don't meet. Components may be of any size: values and scores beyond 64 bits are exact Python
+integers, ranks follow them, and only the score that is returned ends at a long's ends. A vector whose scaled component is beyond
+a double's range counts as non-finite. A query's own rows are all rows with its id; of rows that share an id every one is a candidate, and the least vector makes the query. Other columns
 are ignored, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,17 +30,32 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-BLOCK_ROWS, GROUP, LARGEST = 1 << 15, 256, 1 << 26
+BLOCK_ROWS, GROUP_BYTES, LONG = 1 << 15, 16 << 20, 1 << 63
 
 
 def quantised(vector: Column, scale: int = 256) -> Column:
-    """floor(scale * x) of each component as double; null if one of them can't be used."""
-    as_double = F.transform(vector, lambda x: x.cast("double"))
-    usable = F.forall(as_double, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    whole = F.transform(as_double, lambda x: F.floor(F.greatest(F.lit(-float(LARGEST)), F.least(F.lit(float(LARGEST)), scale * x))))
+    """floor(scale * x) of each component, as a whole double; null if one of them can't be used."""
+    scaled = F.transform(vector, lambda x: x.cast("double") * scale)
+    usable = F.forall(scaled, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    # doubles from 2 ** 52 on are whole, and floor() would turn them into longs
+    whole = F.transform(scaled, lambda x: F.when(F.abs(x) < float(1 << 52), F.floor(x).cast("double")).otherwise(x))
     return F.when(usable & (F.size(vector) > 0), whole)
 
 
+def integers(rows: list | np.ndarray) -> np.ndarray:
+    """Whole doubles as integers: 64-bit ones where no difference of two can overflow, else Python's."""
+    x = np.asarray(rows, float)
+    return x.astype(np.int64) if not x.size or np.abs(x).max() < 2.0**61 else np.array([[int(v) for v in row] for row in x.tolist()], object).reshape(x.shape)
+
+
+def order_key(score: int) -> bytes:
+    """Bytes in the order of the scores, of any size."""
+    size = (abs(score).bit_length() + 7) // 8
+    if score >= 0:
+        return b"\x01" + size.to_bytes(2, "big") + score.to_bytes(size, "big")
+    return b"\x00" + (0xFFFF - size).to_bytes(2, "big") + (256**size - 1 + score).to_bytes(size, "big")
+
+
 def digits(w: int) -> list[tuple[int, int]]:
     """(power, sign) of the digits of ``w`` in non-adjacent form."""
     out, a = [], 0
@@ -60,7 +77,7 @@ class BitSlices:
 
     @classmethod
     def build(cls, ids: np.ndarray, vectors: np.ndarray) -> BitSlices:
-        order = np.lexsort((*vectors.T[::-1], ids))
+        order = np.argsort(ids, kind="stable")
         ids, vectors = ids[order], vectors[order]
         least = vectors.min(0)
         above = vectors - least
@@ -73,16 +90,16 @@ class BitSlices:
         return cls(ids, least, packed.view(np.uint64))
 
     def to_row(self) -> dict:
-        return {"n": len(self.ids), "bits": self.slices.shape[1], "ids": self.ids.astype("<i8").tobytes(), "least": self.least.astype("<i8").tobytes(), "slices": self.slices.tobytes()}
+        return {"n": len(self.ids), "bits": self.slices.shape[1], "ids": self.ids.astype("<i8").tobytes(), "least": ",".join(map(str, self.least.tolist())), "slices": self.slices.tobytes()}
 
     @classmethod
-    def from_row(cls, dim: int, bits: int, ids: bytes, least: bytes, slices: bytes) -> BitSlices:
-        return cls(np.frombuffer(ids, "<i8"), np.frombuffer(least, "<i8"), np.frombuffer(slices, np.uint64).reshape(dim, bits, -1))
+    def from_row(cls, dim: int, bits: int, ids: bytes, least: str, slices: bytes) -> BitSlices:
+        return cls(np.frombuffer(ids, "<i8"), np.array([int(x) for x in least.split(",")], object), np.frombuffer(slices, np.uint64).reshape(dim, bits, -1))
 
     def scores(self, query: np.ndarray) -> tuple[list[np.ndarray], int]:
         """The slices of every row's score, least significant first, and what is to be added to it."""
         bits, words = self.slices.shape[1:]
-        added = int(query.astype(object) @ self.least.astype(object))
+        added = sum(q * x for q, x in zip(query.tolist(), self.least.tolist(), strict=True))
         at: dict[int, tuple[list, list, list]] = {}
         for j, w in enumerate(query.tolist()):
             for a, sign in digits(w):
@@ -153,7 +170,7 @@ def build_index(vectors: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
             nonlocal made
             ids, rows = held.pop(dim)
             made += 1
-            row = {"block": (task << 32) + made, "dim": dim, **BitSlices.build(np.array(ids, np.int64), np.array(rows, np.int64)).to_row()}
+            row = {"block": (task << 32) + made, "dim": dim, **BitSlices.build(np.array(ids, np.int64), integers(rows)).to_row()}
             return pa.RecordBatch.from_pylist([row], schema=schema)
 
         for batch in batches:
@@ -166,31 +183,37 @@ def build_index(vectors: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
         for dim in list(held):
             yield block(dim)
 
-    schema = pa.schema([("block", pa.int64()), ("dim", pa.int32()), ("n", pa.int32()), ("bits", pa.int32()), ("ids", pa.binary()), ("least", pa.binary()), ("slices", pa.binary())])
+    schema = pa.schema([("block", pa.int64()), ("dim", pa.int32()), ("n", pa.int32()), ("bits", pa.int32()), ("ids", pa.binary()), ("least", pa.string()), ("slices", pa.binary())])
     n = max(1, -(-vectors.count() // block_rows))
-    kinds = "block long, dim int, n int, bits int, ids binary, least binary, slices binary"
+    kinds = "block long, dim int, n int, bits int, ids binary, least string, slices binary"
     return written(vectors.select("vec_id", "v").repartition(n).mapInArrow(run, kinds), "bit-slices")
 
 
-def search(index: DataFrame, queries: DataFrame, k: int, group: int = GROUP) -> DataFrame:
+def search(index: DataFrame, queries: DataFrame, k: int, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` best rows of the index for each query (query_id, v)."""
-    places = index.select(F.col("block").alias("b"), F.col("dim").alias("b_dim"))
-    n_groups = max(1, -(-queries.count() // group))
-    dealt = queries.select("query_id", "v", F.size("v").alias("q_dim"), F.pmod(F.xxhash64("query_id"), F.lit(n_groups)).cast("int").alias("g"))
-    dealt = dealt.join(places, F.col("q_dim") == F.col("b_dim")).select("b", "g", "query_id", "v")
-    blocks = index.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))).alias("g"))
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        found: list[tuple[int, int, int]] = []
-        for row in left.to_pylist():
-            block = BitSlices.from_row(row["dim"], row["bits"], row["ids"], row["least"], row["slices"])
-            for q, v in zip(right.column("query_id").to_pylist(), right.column("v").to_pylist(), strict=True):
-                found += [(q, i, s) for i, s in block.top(np.array(v, np.int64), k, q)]
-        return pa.table(dict(zip(("query_id", "vec_id", "score"), (pa.array(x, pa.int64()) for x in (zip(*found, strict=True) if found else ([], [], []))), strict=True)))
-
-    near = blocks.groupBy("block", "g").cogroup(dealt.groupBy("b", "g")).applyInArrow(run, "query_id long, vec_id long, score long")
-    best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    spark = index.sparkSession
+    n_blocks, (n_queries, n_values) = index.count(), queries.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("v")), F.lit(0))).first()
+    n_groups = max(1, -(-8 * (n_queries + n_values) // group_bytes))
+    # few blocks are met by several tasks, each with a part of the queries
+    parts = max(1, -(-2 * spark.sparkContext.defaultParallelism // max(1, n_blocks)))
+    blocks = index.select("*", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")).repartition(max(1, n_blocks * parts), "block", "part")
+    dealt, found = queries.select("query_id", "v").withColumn("g", F.pmod(F.xxhash64("query_id"), F.lit(n_groups))), []
+    for g in range(n_groups):
+        asked = spark.sparkContext.broadcast([(r.query_id, np.array(r.v)) for r in dealt.where(F.col("g") == g).select("query_id", "v").collect()])
+
+        def run(batches: Iterator[pa.RecordBatch], asked=asked) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row in batch.to_pylist():
+                    block = BitSlices.from_row(row["dim"], row["bits"], row["ids"], row["least"], row["slices"])
+                    best = [(q, i, s) for q, v in asked.value[row["part"] :: parts] if len(v) == row["dim"] for i, s in block.top(integers([v])[0], k, q)]
+                    q, i, s = zip(*best, strict=True) if best else ((), (), ())
+                    scores = pa.array([max(-LONG, min(LONG - 1, x)) for x in s], pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(i, pa.int64()), scores, pa.array(map(order_key, s), pa.binary())], names=["query_id", "vec_id", "score", "key"])
+
+        found.append(written(blocks.mapInArrow(run, "query_id long, vec_id long, score long, key binary"), "near"))
+        asked.unpersist()
+    best = W.partitionBy("query_id").orderBy(F.desc("key"), "vec_id")
+    return reduce(DataFrame.union, found).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def usable(table: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", scale: int = 256) -> DataFrame:
