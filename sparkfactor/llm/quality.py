@@ -3,7 +3,7 @@
 Each rule votes good (1), bad (-1) or abstains (0) on a document. Expectation-maximisation estimates the share of good
 documents, and for each rule how often it votes right on good documents and how often on bad ones (the two-coin model; abstaining
 tells nothing). No labels are used. The likelihood depends on a document only through its votes, so EM runs over the counts of
-vote patterns, at most 3 ** 8 rows, with all documents counted that pass the base test (the others are out in any case, and one
+vote patterns, at most 3 ** 7 rows, with all documents counted that pass the base test (the others are out in any case, and one
 plain kind of fault among them would make the whole bad class).
 
 DataFrame functions only. Counting repeated windows stays inside a row: the windows' hashes are sorted with their positions, so a
@@ -26,22 +26,20 @@ from .common import SPACE, WORD, words_of, written
 #: Fixed value: what counts as a symbol.
 SYMBOLS = "#*$%&|<>"
 LEAST_WORDS, MOST_REPEATED = 50, 50
-#: Each rule: its bad and its good range, in SQL over the measures. Outside both it abstains.
+#: Each rule: its bad and its good range, in SQL over the measures. Between them it abstains: it speaks for good only where a measure
+#: is as in plain prose, so that a doubtful one is left to the other rules. Rates are estimated freely, so no two rules may measure the same.
 RULES = {
     "symbols": ("n_symbols > 0.03 * word_chars", "n_symbols <= 0.01 * word_chars"),
-    "marks": ("n_symbols > n_stops + 2", "10 * n_symbols <= n_stops"),
     "repeats": ("n_repeat_words > 0.3 * n_words", "n_repeat_words <= 0.2 * n_words"),
     "dup_lines": ("n_dup_lines > 0.3 * n_lines", "n_lines >= 3 and n_dup_lines <= 0.15 * n_lines"),
     "word_length": ("word_chars < 3 * n_words or word_chars > 10 * n_words", "word_chars >= 3.5 * n_words and word_chars <= 9 * n_words"),
-    "letters": ("n_letters < 0.75 * word_chars", "n_letters > 0.85 * word_chars"),
+    "letters": ("n_letters < 0.75 * word_chars", "n_letters > 0.92 * word_chars"),
     "sentences": ("n_words < 3 * (n_stops + 1) or n_words > 60 * (n_stops + 1)", "n_words >= 5 * (n_stops + 1) and n_words <= 40 * (n_stops + 1)"),
     "variety": ("n_distinct < 0.1 * n_words and n_words < 2000", "n_distinct > 0.4 * n_words"),
 }
-#: EM starts from these (share of good, right on good, right on bad) and runs so many rounds; PRIOR is how many votes each start counts for.
+#: EM starts from these (share of good, right on good, right on bad) and runs so many rounds. PRIOR: as many votes each start counts for,
+#: as a beta prior that keeps rates inside 0 and 1; beyond that they are what the votes say.
 START, ROUNDS, PRIOR = (0.8, 0.98, 0.6), 20, 10.0
-#: What tells the classes apart: a rule errs on few good documents, and on bad ones it needn't see every kind of fault. Estimates are
-#: held to these ranges; without them faults that never meet in one document would be explained as errors of a rule.
-RIGHT_ON_GOOD, RIGHT_ON_BAD = (0.97, 0.999), (0.3, 0.6)
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_stops", "n_distinct")
 
 
@@ -107,7 +105,7 @@ def _log_odds(prefix: str, a: str, b: str) -> str:
 def fit(patterns: DataFrame) -> dict[str, float]:
     """EM over counts ``n`` of vote patterns (a column for each rule): ``p``, and ``a_rule``, ``b_rule`` for each rule.
 
-    The patterns, at most 3 ** 8 of them, become one array, and all rounds are one expression over it.
+    The patterns, at most 3 ** 7 of them, become one array, and all rounds are one expression over it.
     """
     p, a, b = START
     k, names = len(RULES), ["p", *(f"a_{r}" for r in RULES), *(f"b_{r}" for r in RULES)]
@@ -123,13 +121,13 @@ def fit(patterns: DataFrame) -> dict[str, float]:
             return 1 / (1 + F.exp(-odds))
 
         def estimates(scored: Column) -> Column:
-            rate = lambda yes, no, prior, held: F.greatest(F.lit(held[0]), F.least(F.lit(held[1]), (yes + PRIOR * prior) / (yes + no + PRIOR)))
+            rate = lambda yes, no, prior: (yes + PRIOR * prior) / (yes + no + PRIOR)
             when = lambda i, vote, w: total(scored, lambda x: F.when(x["v"][i] == vote, x["n"] * w(x)).otherwise(0.0))
             good, bad = (lambda x: x["q"]), (lambda x: 1 - x["q"])
             return F.array(
                 (total(scored, lambda x: x["n"] * x["q"]) + PRIOR * p) / (total(scored, lambda x: x["n"]) + PRIOR),
-                *(rate(when(i, 1, good), when(i, -1, good), a, RIGHT_ON_GOOD) for i in range(k)),
-                *(rate(when(i, -1, bad), when(i, 1, bad), b, RIGHT_ON_BAD) for i in range(k)),
+                *(rate(when(i, 1, good), when(i, -1, good), a) for i in range(k)),
+                *(rate(when(i, -1, bad), when(i, 1, bad), b) for i in range(k)),
             )
 
         return let(F.transform(seen, lambda x: F.struct(x["v"].alias("v"), x["n"].alias("n"), q(x).alias("q"))), estimates)
@@ -178,8 +176,8 @@ def oracle_sql(source: str = "documents") -> str:
         for r in rules:
             yes, no = f"coalesce(sum(case when {r} = 1 then n * q end), 0)", f"coalesce(sum(case when {r} = -1 then n * q end), 0)"
             right, wrong = f"coalesce(sum(case when {r} = -1 then n * (1 - q) end), 0)", f"coalesce(sum(case when {r} = 1 then n * (1 - q) end), 0)"
-            for name, hit, miss, prior, held in (("a", yes, no, a, RIGHT_ON_GOOD), ("b", right, wrong, b, RIGHT_ON_BAD)):
-                est.append(f"greatest({held[0]}::double, least({held[1]}::double, ({hit} + {PRIOR * prior}) / ({hit} + {miss} + {PRIOR}))) as {name}_{r}")
+            for name, hit, miss, prior in (("a", yes, no, a), ("b", right, wrong, b)):
+                est.append(f"({hit} + {PRIOR * prior}) / ({hit} + {miss} + {PRIOR}) as {name}_{r}")
         steps.append(f"m{k + 1} as materialized (select {', '.join(est)} from (select t.*, 1 / (1 + exp(-({log_odds}))) as q from patterns t, m{k} m))")
     return f"""
 with d as (select doc_id, row_number() over () as rid, coalesce(text, '') as t from {source}),
