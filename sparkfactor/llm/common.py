@@ -31,23 +31,31 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), rf"[{SPACE}]+"), lambda w: w != "")
 
 
-#: Up to so many groups their sizes are broadcast, so that rows are thinned before they are dealt by group.
+#: Up to so many groups their bounds are broadcast.
 FEW_GROUPS = 10_000
-#: A sample of up to so many keys is broadcast (some 20 bytes each).
+#: A table of up to so many rows of two numbers is broadcast (some 20 bytes each).
 BROADCAST_ROWS = 200_000
+#: A group is dealt to so many tasks for its first cut.
+PARTS = 64
 
 
-def bounded_sample(rows: DataFrame, group: str, key: str, most: int) -> DataFrame:
-    """The ``most`` rows of each group with the least hash of ``key``, as (group, key), for models that learn from a bounded sample.
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
-    Rows are first thinned by a share that leaves about twice as many, so ranking sees few rows even of a hot group.
+
+def bounded_sample(rows: DataFrame, group: str, most: int) -> DataFrame:
+    """The ``most`` rows of each group with the least hash of all their columns, for models that learn from a bounded sample.
+
+    All rows of a group that has no more are taken. Only hashes are ranked: first in parts of each group, of which no more than ``most``
+    are kept, then in the group. The rows are those up to the group's last hash; of equal rows as many as are still missing.
     """
-    tie = F.pmod(F.xxhash64(F.xxhash64(F.col(key))), F.lit(1 << 30))
-    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("_size"))
-    known = sizes.limit(FEW_GROUPS + 1).collect()
-    if len(known) <= FEW_GROUPS:
-        sizes = F.broadcast(rows.sparkSession.createDataFrame(known, sizes.schema))
-    few = rows.select(group, key).join(sizes, group).where((F.col("_size") <= 2 * most) | (tie < (1 << 30) * (2.0 * most / F.col("_size"))))
-    first = W.partitionBy(group).orderBy(tie, key)
-    out = written(few.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= most).select(group, key), "sample")
-    return F.broadcast(out) if out.count() <= BROADCAST_ROWS else out
+    hashed = rows.withColumn("_tie", F.xxhash64(F.lit(7), *rows.columns))
+
+    def least(df: DataFrame, *by) -> DataFrame:
+        return df.withColumn("_r", F.row_number().over(W.partitionBy(*by).orderBy("_tie"))).where(F.col("_r") <= most).drop("_r")
+
+    first = least(hashed.select(group, "_tie").withColumn("_part", F.pmod("_tie", F.lit(PARTS))), group, "_part").drop("_part")
+    last = written(least(first, group).groupBy(F.col(group).alias("_g")).agg(F.max("_tie").alias("_last")), "last-hashes")
+    last = F.broadcast(last) if last.limit(FEW_GROUPS + 1).count() <= FEW_GROUPS else last
+    near = hashed.join(last, F.col(group) == F.col("_g")).where("_tie <= _last")
+    return written(least(near, group).select(*rows.columns), "sample")

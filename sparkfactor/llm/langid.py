@@ -3,7 +3,7 @@
 Texts are lower-cased and all their n-grams of one to three characters are hashed to 2 ** 15 features, with weights
 log(1 + count) * idf scaled to length one. Document frequencies come from every document that may be learned from. The weights are
 learned by follow-the-regularised-leader (McMahan et al., 2013) with L1 and L2 penalties, so most stay exactly zero, from a bounded
-sample: the ``PER_LANGUAGE`` labelled documents of each language with the least hash of their doc_id. A fifth of the sample
+sample: the ``PER_LANGUAGE`` labelled documents of each language with the least hash. A fifth of the sample
 is held back to fit the temperature that calibrates the probabilities.
 
 Defined cases: ``und`` with score 0 for texts that are null or hold no letter, and for all texts when nothing could be learned.
@@ -119,9 +119,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, doc_id: str = "doc_id
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], names=["tie", "lang", "at", "n"])
 
     df = {r.feature: r.n for r in known.select("text").mapInArrow(frequencies, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()}
-    tie = F.xxhash64(F.col("doc_id"))
-    chosen = bounded_sample(known, "lang", "doc_id", per_language).select("doc_id").distinct()
-    sample = known.join(chosen, "doc_id", "left_semi").select(tie.alias("tie"), "lang", "text")
+    sample = bounded_sample(known, "lang", per_language).select(F.xxhash64("doc_id").alias("tie"), "lang", "text")
     rows = sorted(sample.mapInArrow(features, "tie long, lang string, at array<int>, n array<int>").collect(), key=lambda r: (r.tie, r.lang, r.at))
     if not rows:
         return None
