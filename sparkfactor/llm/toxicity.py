@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, crc32_of_id, written
+from .common import bounded_sample, broadcast_if_small, crc32_of_id, written
 
 #: Bound of the sample: labelled documents of each class.
 PER_CLASS = 3000
@@ -142,6 +142,7 @@ class Lexicon:
         self.plain: dict[str, float] = {}
         for f, s in odds.items():
             self.plain[fold(f)] = max(s, self.plain.get(fold(f), 0.0))
+        self.longest = max((len(f) - 1 for f in self.plain if f[0] == "w"), default=0)
 
     def score(self, token: str) -> float:
         found = max(((self.plain if restored else self.odds).get(f, 0.0) for w, restored in self.speller.words(token) for f in features(w)), default=0.0)
@@ -151,7 +152,7 @@ class Lexicon:
     def spaced(self, letters: str) -> float:
         """A run of single characters may hold several words, so each part of it is looked up as a word."""
         word = self.speller.decode(fold(letters))
-        return max((self.plain.get("w" + word[i : i + n], 0.0) for i in range(len(word)) for n in range(3, 15) if i + n <= len(word)), default=0.0)
+        return max((self.plain.get("w" + word[i : i + n], 0.0) for i in range(len(word)) for n in range(3, self.longest + 1) if i + n <= len(word)), default=0.0)
 
     def scores(self, tokens: list[str]) -> np.ndarray:
         out = list(map(self.known.get, tokens))
@@ -278,10 +279,12 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, doc_id:
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sizes = {int(r.toxic): r.n for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     rate = sizes.get(1, 0) / max(1, sum(sizes.values()))
-    chosen = bounded_sample(known, "toxic", "doc_id", per_class)
+    chosen = broadcast_if_small(bounded_sample(known, "toxic", per_class))
     half = F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int").alias("half")
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    sample = written(own.join(chosen, "doc_id").select("toxic", half, "text"), "sample-texts")
+    sample = written(own.join(chosen, "doc_id").select("doc_id", "toxic", half, "text"), "sample-texts")
+    if sample.count() > chosen.count():  # a doc_id with several texts
+        sample = bounded_sample(sample, "toxic", per_class)
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, list[str]] = {}
