@@ -167,7 +167,8 @@ def read_documents(blocks: DataFrame, with_ids: bool = False) -> DataFrame:
             for row in range(frame.num_rows):
                 start, data = frame.column(0)[row].as_py(), frame.column(1)[row].as_py()
                 block = Block(data)
-                bounds, wide = block.bounds.values(), block.ids.astype("<u4")
+                bounds = np.fromiter((block.bounds.select(i) for i in range(block.n_docs + 1)), np.int64, block.n_docs + 1)
+                wide = block.ids.astype("<u4")
                 out = {
                     "doc_id": pa.array(block.doc_ids(), pa.int64()),
                     "start": pa.array(start + bounds[:-1]),

@@ -35,6 +35,9 @@ class CachedEncoder:
             spec = json.load(f)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.mode = self._mode(spec)
+        norm = json.dumps(spec.get("normalizer") or {})
+        # only where the model itself lower-cases may a piece be looked up in lower case
+        self.lowers = self.mode == "drop" and ('"Lowercase"' in norm or '"lowercase": true' in norm)
         special = [re.escape(t["content"]) for t in spec.get("added_tokens") or []]
         runs = [r"  ", r" [\t\n\v\f\r]", r"^ ", r" $"] if self.mode == "lead" else []
         self.whole = "(?s)" + "|".join([f"[{ODD_SPACE}]", *special, *runs])
@@ -57,7 +60,7 @@ class CachedEncoder:
         return [np.asarray(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _key(self, piece: str) -> str:
-        return piece.lower() if self.mode == "drop" and piece.isascii() else piece
+        return piece.lower() if self.lowers and piece.isascii() else piece
 
     def lookup(self, pieces: list[str]) -> list[bytes]:
         """The ids of pieces. A full stop or comma behind a letter is a piece of its own to the model, so it is looked up apart."""
