@@ -250,7 +250,9 @@ def class_links(reps: DataFrame, sets_of, percent: int) -> DataFrame:
     sets = written(sets_of(rows.select("id").distinct()), "sets")
     degree = rows.groupBy("id").agg(F.sum("m").alias("degree"))
     best = F.max(F.struct("degree", (-F.col("id")).alias("i"))).alias("best")
-    rows = written(rows.join(rows.join(degree, "id").groupBy("key").agg(best), "key").withColumn("c", -F.col("best.i")), "stars")
+    # written first, so that the join deals rows alone and a large bucket can be split
+    centres = written(rows.join(degree, "id").groupBy("key").agg(best), "centres")
+    rows = written(rows.join(centres, "key").withColumn("c", -F.col("best.i")), "stars")
     stars = rows.where("c <> id").select(F.col("c").alias("a"), F.col("id").alias("b")).distinct()
     first = written(_compared(stars, sets).where(_linked(percent)).select("a", "b"), "star-links")
 
