@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ranking import positions, tied_ranks
+from ..functions.ranking import grouped_tied_ranks, positions, tied_ranks
 from ..sources.shared import written
 
 LEAST_SD = 1e-8
@@ -94,6 +94,12 @@ def error_matrix(df: DataFrame, signals: list[str], n_periods: int, y: str = "y"
     return long.groupBy(F.col("s.signal").alias("signal"), "period").agg(F.avg(F.abs(F.col("s.v") - F.col(y))).alias("err"))
 
 
+def normal_draw(key: Column) -> Column:
+    """A standard normal draw (Box and Muller) that hangs on ``key`` alone, not on how rows are dealt: from two halves of its MD5."""
+    u = [(F.conv(F.substring(F.md5(key.cast("binary")), at, 13), 16, 10).cast("double") + 0.5) / float(1 << 52) for at in (1, 14)]
+    return F.sqrt(-2 * F.log(u[0])) * F.cos(2 * math.pi * u[1])
+
+
 def pfs(panel: DataFrame, tree, features: list[str], scope, n_copies: int = 5, noise: float = 0.01, seed: int = 42) -> DataFrame:
     """Mean rank correlation of a signal with itself on noisy copies of the features; noise follows each feature's spread.
 
@@ -109,9 +115,7 @@ def pfs(panel: DataFrame, tree, features: list[str], scope, n_copies: int = 5, n
         moved = {}
         for k in used:
             name = f"_x{k}_{copy}"
-            # a draw for each row and feature that doesn't hang on how rows are dealt
-            u = [(F.pmod(F.xxhash64(F.lit(seed), F.lit(copy), F.lit(k), F.lit(i), F.col(scope.order)), F.lit(1 << 52)) + 0.5) / float(1 << 52) for i in (0, 1)]
-            normal = F.sqrt(-2 * F.log(u[0])) * F.cos(2 * math.pi * u[1])
+            normal = normal_draw(F.concat_ws("-", F.lit(seed), F.lit(copy), F.lit(k), F.col(scope.order)))
             noisy = noisy.withColumn(name, F.col(features[k - 1]) + normal * noise * spread[f"s{k}"])
             names.append(name)
             moved[k] = len(names)
@@ -120,9 +124,11 @@ def pfs(panel: DataFrame, tree, features: list[str], scope, n_copies: int = 5, n
             return Node(n.op, tuple(map(put, n.children)), n.window, moved.get(n.feature), n.value)
 
         trees[f"_s{copy + 1}"] = put(tree)
-    out = base = written(compile_forest(noisy, trees, names, scope).select(*trees), "noisy-signals")
-    for s in trees:
-        out = tied_ranks(out, s, f"{s}_r", base=base)
+    wide = written(compile_forest(noisy, trees, names, scope).select(scope.order, *trees), "noisy-signals")
+    long = wide.select(scope.order, F.explode(F.array(*(F.struct(F.lit(s).alias("name"), F.col(s).alias("v")) for s in trees))).alias("s")).select(scope.order, "s.*")
+    # all signals are ranked in one pass
+    by_row = grouped_tied_ranks(long, "name", "v", "r").groupBy(scope.order)
+    out = by_row.agg(*(F.max(F.when(F.col("name") == s, F.col("r"))).alias(f"{s}_r") for s in trees), F.max(F.when(F.col("name") == "_s0", F.col("v"))).alias("_s0"))
     scores = [guarded_corr(F.col("_s0_r"), F.col(f"_s{c + 1}_r")) for c in range(n_copies)]
     flat = F.coalesce(F.stddev_samp("_s0"), F.lit(0.0)) < LEAST_SD
     return out.agg(F.when(flat, 0.0).otherwise(sum(F.when(F.isnan(s), 0.0).otherwise(s) for s in scores) / n_copies).alias("pfs"))

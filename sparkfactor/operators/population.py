@@ -94,6 +94,25 @@ def pareto_front(members: DataFrame, arrival: str = "ind_id") -> DataFrame:
     return asking.join(beaten, "__id", "left_anti").select(*members.columns)
 
 
+def fitness(weights, novelty_weight: float, parsimony: float) -> Column:
+    """Fitness of members (pps, rre, pfs, novelty, complexity) as a column; minus infinity where it isn't finite."""
+    value = weights.pps * F.col("pps") + weights.rre * F.col("rre") + weights.pfs * F.col("pfs") + novelty_weight * F.col("novelty") - parsimony * F.col("complexity")
+    return F.when(F.isnan(value) | (F.abs(value) == float("inf")) | value.isNull(), F.lit(float("-inf"))).otherwise(value)
+
+
+def fingerprint_rows(panel: DataFrame, size: int, order: str = "row_id") -> DataFrame:
+    """The ``size`` rows (place from 0, order) of least MD5 of their number: the fixed rows that all fingerprints are taken on."""
+    chosen = panel.select(order, F.md5(F.col(order).cast("string").cast("binary")).alias("__m")).orderBy("__m").limit(size)
+    return chosen.select((F.row_number().over(W.orderBy("__m")) - 1).alias("place"), order)
+
+
+def fingerprints(signals: DataFrame, names: list[str], rows: DataFrame, order: str = "row_id") -> DataFrame:
+    """(ind_id, behavior): each signal's values on the fixed rows, in their order, as float."""
+    held = signals.join(F.broadcast(rows), order).select("place", F.explode(F.array(*(F.struct(F.lit(n).alias("ind_id"), F.col(n).cast("float").alias("v")) for n in names))).alias("s"))
+    ordered = F.array_sort(F.collect_list(F.struct("place", "s.v")))
+    return held.groupBy("s.ind_id").agg(F.transform(ordered, lambda x: x["v"]).alias("behavior"))
+
+
 def tournament(pool: DataFrame, draws: DataFrame) -> DataFrame:
     """The fittest of each slot's draws (slot, draw, ind_id), the first drawn of equals: (slot, ind_id, fitness)."""
     best = F.max_by(F.struct(F.col("ind_id"), F.col("fitness")), F.struct("fitness", -F.col("draw")))

@@ -186,7 +186,25 @@ add(
 select 'f' as signal, cast(period as bigint) as period, round(avg(abs(f - y)), 6) as err from c group by period
 union all select 'zero', cast(period as bigint), round(avg(abs(0.0 - y)), 6) from c group by period""",
 )
-add("pfs", lambda s, d: _rounded(metrics.pfs(events_panel(s, d), parse("ts_mean(safe_mul(x1, x2), d=5)"), FEATURES, GLOBAL)))
+
+
+def _normal_sql(copy: int, k: int) -> str:
+    """The draw of ``metrics.normal_draw`` for seed 42."""
+    u = [f"((cast('0x' || substr(md5('42-{copy}-{k}-' || row_id), {at}, 13) as bigint) + 0.5) / {float(1 << 52)})" for at in (1, 14)]
+    return f"sqrt(-2 * ln({u[0]})) * cos(2 * pi() * {u[1]})"
+
+
+_MOVED = ", ".join(f"x1 + {_normal_sql(c, 1)} * 0.01 * s1 as a{c}, x2 + {_normal_sql(c, 2)} * 0.01 * s2 as b{c}" for c in range(5))
+_COPIES = ", ".join(f"{rolling_sql('ts_mean', f'(a{c} * b{c})', '', 5, '')} as f{c}" for c in range(5))
+_RANKS = ", ".join(f"rank() over (order by {f}) + (count(*) over (partition by {f}) - 1) / 2.0 as r{f}" for f in ("f", *(f"f{c}" for c in range(5))))
+add(
+    "pfs",
+    lambda s, d: _rounded(metrics.pfs(events_panel(s, d), parse("ts_mean(safe_mul(x1, x2), d=5)"), FEATURES, GLOBAL)),
+    f"""with {PANEL}, sp as (select greatest(stddev_samp(x1), 1e-8) as s1, greatest(stddev_samp(x2), 1e-8) as s2 from panel),
+moved as (select row_id, x1, x2, {_MOVED} from panel, sp),
+sig as (select row_id, {rolling_sql("ts_mean", "(x1 * x2)", "", 5, "")} as f, {_COPIES} from moved), r as (select {_RANKS} from sig)
+select round(({" + ".join(corr_sql("rf", f"rf{c}") for c in range(5))}) / 5, 6) as pfs from r""",
+)
 
 
 # ---- composed trees and combinations --------------------------------------------------------------------------------------------
@@ -454,6 +472,54 @@ select round(ic, 6) as ic, round(rank_ic, 6) as rank_ic, round(0.3 * ic + 0.7 *
 )
 
 
+_SCORED = "(select p_partkey as ind_id, p_retailprice / 2000 as pps, (p_partkey % 97) / 97.0 as rre, (p_partkey % 11) / 11.0 as pfs, p_retailprice / 500 as novelty, p_size as complexity from part)"
+
+
+def fitness_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as scored members; their fitness in generation 90 of 100."""
+    from ..config import FitnessWeights
+    from ..operators.scores import novelty_weight
+
+    key, price = F.col("p_partkey"), F.col("p_retailprice")
+    scores = {"pps": price / 2000, "rre": (key % 97) / 97.0, "pfs": (key % 11) / 11.0, "novelty": price / 500}
+    members = spark.read.parquet(f"{sf_dir}/part.parquet").select(key.alias("ind_id"), *(c.alias(n) for n, c in scores.items()), F.col("p_size").alias("complexity"))
+    weights = FitnessWeights()
+    return members.select("ind_id", F.round(population.fitness(weights, novelty_weight(weights.novelty, 90, 100), 0.001), 6).alias("fitness"))
+
+
+add("fitness", fitness_query, f"select ind_id, round(0.3 * pps + 0.3 * rre + 0.3 * pfs + 0.1 * (1 - (90 - 75) / 25.0) * novelty - 0.001 * complexity, 6) as fitness from {_SCORED}")
+
+
+def schedule_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The novelty weight 0.3 over 100 generations."""
+    from ..operators.scores import novelty_weight
+
+    return spark.createDataFrame([(g, round(novelty_weight(0.3, g, 100), 6)) for g in range(1, 101)], "generation int, weight double")
+
+
+add("novelty_schedule", schedule_query, "select cast(g as integer) as generation, round(case when g <= 75 then 0.3 else 0.3 * greatest(0, 1 - (g - 75) / 25.0) end, 6)::double as weight from range(1, 101) t(g)")
+
+
+def fingerprint_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two factors' values on the 500 fixed rows, place by place."""
+    panel = events_panel(spark, sf_dir)
+    names = ["momentum", "spread"]
+    signals = compile_forest(panel, {n: parse(_TREES[n]) for n in names}, FEATURES)
+    prints = population.fingerprints(signals, names, population.fingerprint_rows(panel, 500))
+    return prints.select("ind_id", F.posexplode("behavior").alias("place", "v")).select("ind_id", "place", F.round(F.col("v").cast("double"), 3).alias("value"))
+
+
+add(
+    "fingerprints",
+    fingerprint_query,
+    f"""with {PANEL}, a as (select *, {rolling_sql("ts_delta", "x1", "", 3, "")} as m from panel),
+t as (select row_id, {rolling_sql("ts_mean", "m", "", 5, "")} as momentum, {_TREE_STEPS["spread"][1]} as spread from a),
+p as (select row_id, cast(row_number() over (order by md5(cast(row_id as varchar))) - 1 as integer) as place from panel qualify place < 500),
+long as (select 'momentum' as ind_id, place, momentum as v from t join p using (row_id) union all select 'spread', place, spread from t join p using (row_id))
+select ind_id, place, round(cast(cast(v as float) as double), 3) as value from long""",
+)
+
+
 # ---- a front on rows that it hasn't seen ------------------------------------------------------------------------------------------
 
 #: Individuals as a search gives them: trees, weights, combination, training pps.
