@@ -12,7 +12,8 @@ Scores are added in double precision, which is exact for whole-number scores. (T
 differ from the exact rule where a text's sum needs more than 24 bits.)
 
 No piece but runs of the blank mark holds that mark inside, so a text falls into parts that start with blanks, and its segmentations
-are products of its parts' segmentations. That is checked when the file is read. Parts repeat, so each is solved once in a worker.
+are products of its parts' segmentations. That is checked when the file is read. Parts repeat, so each is solved once in a worker
+process, which keeps up to ``KNOWN_PARTS`` of them from task to task.
 
 Defined cases: null and empty texts have no pieces: a count of 0 with score 0, and one segmentation that is empty. Rows that share
 a doc_id, or have none, are handled one by one. Other columns are ignored, whatever their names. An empty table gives no rows.
@@ -58,8 +59,10 @@ class Vocabulary:
                 self.pieces[piece] = (i, sp.get_score(i))
         if any(BLANK in p.lstrip(BLANK) for p in self.pieces):
             raise ValueError("a piece holds the blank mark behind another character")
-        self.text_of = {i: p for p, (i, _) in self.pieces.items()}
-        self.byte_of = {i: b for b, i in self.bytes.items()}
+        if sp.normalize(" \uff41  b\ufb01 ") != "▁▁\uff41▁▁b\ufb01▁":
+            raise ValueError("the model file changes characters or white space, or puts no blank in front")
+        text_of = {i: p.replace(BLANK, " ").encode() for p, (i, _) in self.pieces.items()} | {i: bytes([b]) for b, i in self.bytes.items()}
+        self.spelling = pa.array([text_of.get(i, b"") for i in range(sp.get_piece_size())], pa.binary())
         self.least = min(s for _, s in self.pieces.values()) - UNKNOWN_PENALTY
         self.automaton = ahocorasick.Automaton()
         for p, (i, s) in self.pieces.items():
@@ -139,13 +142,17 @@ class Vocabulary:
                 insort(agenda, (f, met, start, after, (i, start, path)))
         return found
 
+    def decoded(self, ids: np.ndarray) -> memoryview:
+        """The bytes of a segmentation's text, without the blank in front; an unknown piece without byte fallback has none."""
+        taken = self.spelling.take(pa.array(ids))
+        at = taken.offset
+        bounds = np.frombuffer(taken.buffers()[1], np.int32, len(taken) + 1, 4 * at)
+        data = memoryview(taken.buffers()[2] or b"")[bounds[0] : bounds[-1]]
+        return data[1:] if data[:1] == b" " else data
+
     def decode(self, ids: list[int]) -> str:
         """The text of a segmentation of a whole text."""
-        out = bytearray()
-        for i in ids:
-            out += bytes([self.byte_of[i]]) if i in self.byte_of else self.text_of.get(i, "").encode()
-        text = out.decode("utf-8", "replace").replace(BLANK, " ")
-        return text[1:] if text[:1] == " " else text
+        return bytes(self.decoded(np.array(ids, np.int32))).decode("utf-8", "replace")
 
 
 @lru_cache(maxsize=2)
@@ -153,6 +160,12 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+@lru_cache(maxsize=2)
+def known_parts(path: str, n: int) -> dict:
+    """What this process has solved: counts for ``n`` = 0, else the ``n`` best segmentations."""
+    return {}
+
+
 def parts_of(text: str) -> list[str]:
     """The independent parts of a text, with blank marks; the tokenizer puts one in front of the text."""
     return [p.replace(" ", BLANK) for p in PART.findall(" " + text)] if text else []
@@ -195,7 +208,7 @@ def token_counts(docs: DataFrame, model_path: str, doc_id: str = "doc_id", text:
     """doc_id, n_tokens and score of every whole text's best segmentation; no ids are made."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, known = vocabulary(model_path), {}
+        words, known = vocabulary(model_path), known_parts(model_path, 0)
         for batch in batches:
             n, score = [], []
             for bounds, index, unique in chunks(batch.column(1)):
@@ -230,10 +243,13 @@ def combined(lists: list[list[tuple[float, list[int]]]], n: int) -> list[tuple[f
 
 
 def segmentations(docs: DataFrame, model_path: str, n: int = 4, with_ids: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The ``n`` best segmentations of every whole text (all, if fewer): doc_id, rank from 1, score, n_pieces, ids_crc32, and ids where asked for."""
+    """The ``n`` best segmentations of every whole text (all, if fewer): doc_id, rank from 1, score, n_pieces, ids_crc32, text_crc32, and ids where asked for.
+
+    ``text_crc32`` is of the UTF-8 text that the ids decode to.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, known = vocabulary(model_path), {}
+        words, known = vocabulary(model_path), known_parts(model_path, n)
 
         def solve(part: str) -> tuple[float, float, bytes, bytes]:
             """Best score, loss of the second best, the best one's ids, and the others packed; small, as many are kept."""
@@ -277,12 +293,12 @@ def segmentations(docs: DataFrame, model_path: str, n: int = 4, with_ids: bool =
                             cuts += [base[at : ends[where] - lengths[where]], lists[k][c][1]]
                             at = ends[where]
                         ids = np.concatenate([*cuts, base[at:]]) if choice else base
-                        values = [batch.column(0)[doc].as_py(), rank, float(score[own].sum()) + (lost - first), len(ids), zlib.crc32(ids)] + [ids.astype(np.int32)] * with_ids
+                        values = [batch.column(0)[doc].as_py(), rank, float(score[own].sum()) + (lost - first), len(ids), zlib.crc32(ids), zlib.crc32(words.decoded(ids))] + [ids.astype(np.int32)] * with_ids
                         for name, value in zip(rows, values, strict=True):
                             rows[name].append(value)
                     doc += 1
                 yield pa.RecordBatch.from_pydict(rows, schema=schema)
 
-    schema = pa.schema([("doc_id", pa.int64()), ("rank", pa.int32()), ("score", pa.float64()), ("n_pieces", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.list_(pa.int32()))] * with_ids)
-    kinds = "doc_id long, rank int, score double, n_pieces long, ids_crc32 long" + ", ids array<int>" * with_ids
+    schema = pa.schema([("doc_id", pa.int64()), ("rank", pa.int32()), ("score", pa.float64()), ("n_pieces", pa.int64()), ("ids_crc32", pa.int64()), ("text_crc32", pa.int64())] + [("ids", pa.list_(pa.int32()))] * with_ids)
+    kinds = "doc_id long, rank int, score double, n_pieces long, ids_crc32 long, text_crc32 long" + ", ids array<int>" * with_ids
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, kinds)
