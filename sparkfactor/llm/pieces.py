@@ -28,6 +28,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +38,10 @@ from pyspark.sql import functions as F
 
 BLANK = "▁"
 UNKNOWN_PENALTY = 10.0
-#: Parts kept in a worker, the longest kept, and the characters that are handled in one go.
-KNOWN_PARTS, LONGEST, CHUNK_CHARS = 600_000, 60, 4_000_000
+#: Parts and segments of parts kept in a worker, the longest kept, and the characters that are handled in one go.
+KNOWN_PARTS, KNOWN_SEGMENTS, LONGEST, CHUNK_CHARS = 500_000, 200_000, 60, 4_000_000
 PART = re.compile(" +[^ ]*")
+score_of = itemgetter(0)
 
 
 class Vocabulary:
@@ -63,6 +65,7 @@ class Vocabulary:
             raise ValueError("the model file changes characters or white space, or puts no blank in front")
         text_of = {i: p.replace(BLANK, " ").encode() for p, (i, _) in self.pieces.items()} | {i: bytes([b]) for b, i in self.bytes.items()}
         self.spelling = pa.array([text_of.get(i, b"") for i in range(sp.get_piece_size())], pa.binary())
+        self.joined = {p[k : k + 2] for p in self.pieces for k in range(len(p) - 1)}
         self.least = min(s for _, s in self.pieces.values()) - UNKNOWN_PENALTY
         self.automaton = ahocorasick.Automaton()
         for p, (i, s) in self.pieces.items():
@@ -86,6 +89,14 @@ class Vocabulary:
                 e.append((k, self.least, -1))
         return out
 
+    def segments(self, part: str) -> list[str]:
+        """The part cut where no piece can reach over: between two characters that stand side by side in no piece."""
+        joined, cuts = self.joined, [0]
+        for k in range(1, len(part)):
+            if part[k - 1 : k + 1] not in joined:
+                cuts.append(k)
+        return [part[a:b] for a, b in zip(cuts, [*cuts[1:], len(part)], strict=True)] if len(cuts) > 1 else [part]
+
     def count(self, part: str) -> tuple[float, int]:
         """Best score and its number of pieces; nothing else is kept."""
         n = len(part)
@@ -104,9 +115,13 @@ class Vocabulary:
         every path in it stands for another segmentation of just that score. So only as many paths are kept as segmentations are
         still asked for. Equal ones leave in the order in which they were met.
         """
-        edges, insort, least = self.edges(part), bisect.insort, float("-inf")
+        edges, insort, least = [[] for _ in range(len(part) + 1)], bisect.insort, float("-inf")
+        for end, (size, s, i) in self.automaton.iter(part):
+            edges[end + 1].append((end + 1 - size, s, i))
         ahead = [0.0]
-        for es in edges[1:]:
+        for k, es in enumerate(edges[1:]):
+            if not es or es[-1][0] != k:
+                es.append((k, self.least, -1))
             top = least
             for start, s, _ in es:
                 v = ahead[start] + s
@@ -160,9 +175,9 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=3)
 def known_parts(path: str, n: int) -> dict:
-    """What this process has solved: counts for ``n`` = 0, else the ``n`` best segmentations."""
+    """What this process has solved: counts for ``n`` = 0, else the ``n`` best segmentations, with ``-n`` those of segments."""
     return {}
 
 
@@ -249,14 +264,33 @@ def segmentations(docs: DataFrame, model_path: str, n: int = 4, with_ids: bool =
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, known = vocabulary(model_path), known_parts(model_path, n)
+        words, known, solved_segments = vocabulary(model_path), known_parts(model_path, n), known_parts(model_path, -n)
+
+        def best_of(segment: str) -> tuple:
+            """The best of a segment, as (score, packed ids)."""
+            found = solved_segments.get(segment)
+            if found is None:
+                found = tuple((s, struct.pack(f"<{len(ids)}I", *ids)) for s, ids in words.nbest(segment, n))
+                if len(solved_segments) < KNOWN_SEGMENTS and len(segment) <= LONGEST:
+                    solved_segments[segment] = found
+            return found
 
         def solve(part: str) -> tuple[float, float, bytes, bytes]:
-            """Best score, loss of the second best, the best one's ids, and the others packed; small, as many are kept."""
-            every = words.nbest(part, n)
-            rest = b"".join([struct.pack(f"<dI{len(ids)}I", s, len(ids), *ids) for s, ids in every[1:]])
+            """Best score, loss of the second best, the best one's ids, and the others packed; small, as many are kept.
+
+            A part's segmentations are products of its segments', of which the best are kept segment by segment.
+            """
+            first, *more = words.segments(part)
+            every = best_of(first)
+            for segment in more:
+                other = best_of(segment)
+                if len(every) == len(other) == 1:
+                    every = ((every[0][0] + other[0][0], every[0][1] + other[0][1]),)
+                else:
+                    every = sorted([(a + b, x + y) for a, x in every for b, y in other], key=score_of, reverse=True)[:n]
+            rest = b"".join([struct.pack("<dI", s, len(ids) // 4) + ids for s, ids in every[1:]])
             s, ids = every[0]
-            return s, s - every[1][0] if rest else np.inf, struct.pack(f"<{len(ids)}I", *ids), rest
+            return s, s - every[1][0] if rest else np.inf, ids, rest
 
         def choices(solved: tuple) -> list[tuple[float, np.ndarray]]:
             out, at, rest = [(solved[0], np.frombuffer(solved[2], "<u4"))], 0, solved[3]
