@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, crc32_of_id
+from .common import bounded_sample, crc32_of_id, release
 
 BITS, ORDERS = 15, (1, 2, 3)
 #: Bound of the sample: labelled documents of each language.
@@ -118,7 +118,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, doc_id: str = "doc_id
             lists = [pa.array([x[i].astype(np.int32) for x in found], pa.list_(pa.int32())) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], names=["tie", "lang", "at", "n"])
 
-    df = {r.feature: r.n for r in known.select("text").mapInArrow(frequencies, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()}
+    df = {r.feature: r.n for r in known.select("text").mapInArrow(lambda batches: release(frequencies(batches)), "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()}
     sample = bounded_sample(known, "lang", per_language).select(F.xxhash64("doc_id").alias("tie"), "lang", "text")
     rows = sorted(sample.mapInArrow(features, "tie long, lang string, at array<int>, n array<int>").collect(), key=lambda r: (r.tie, r.lang, r.at))
     if not rows:
@@ -156,7 +156,7 @@ def predict(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = (), te
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, "lang_pred", "score"])
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    return docs.select(*keep, letters.alias("_t")).mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "lang_pred string", "score double"]))
+    return docs.select(*keep, letters.alias("_t")).mapInArrow(lambda batches: release(run(batches)), ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "lang_pred string", "score double"]))
 
 
 def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:

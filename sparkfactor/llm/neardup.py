@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import ascii_lower, words_of, written
+from .common import ascii_lower, release, words_of, written
 from .graph import components
 
 BANDS, ROWS = 44, 5
@@ -121,7 +121,7 @@ def signatures(docs: DataFrame, shingle: int, bands: int = BANDS, rows: int = RO
                 "bands": pa.array([band_keys(sketch(s, bands * rows), bands, rows) if len(s) else None for s in sets], pa.list_(pa.int64())),
             })
 
-    return _hashed(docs, doc_id, text).mapInArrow(run, "doc_id long, n_shingles long, print binary, bands array<long>")
+    return _hashed(docs, doc_id, text).mapInArrow(lambda batches: release(run(batches)), "doc_id long, n_shingles long, print binary, bands array<long>")
 
 
 def full_sets(docs: DataFrame, shingle: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -132,7 +132,7 @@ def full_sets(docs: DataFrame, shingle: int, doc_id: str = "doc_id", text: str =
             sets = [shingle_set(w, shingle).view(np.int64) for w in _word_lists(batch, 1)]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "print": pa.array(list(map(_print, sets)), pa.binary()), "items": pa.array(sets, pa.list_(pa.int64()))})
 
-    return _hashed(docs, doc_id, text).mapInArrow(run, "doc_id long, print binary, items array<long>")
+    return _hashed(docs, doc_id, text).mapInArrow(lambda batches: release(run(batches)), "doc_id long, print binary, items array<long>")
 
 
 def printed(docs: DataFrame, shingle: int, text: str = "text") -> DataFrame:

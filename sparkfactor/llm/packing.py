@@ -23,11 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import release, written
 from .tokenizing import encoder
 
 #: A plan of more runs than this is joined by a shuffle instead of being broadcast (about 50 bytes a run).
 BROADCAST_RUNS = 100_000
+#: Characters that are encoded in one go: few, as the pipeline's executors still hold what the stages before have left.
+CHUNK_CHARS = 1_000_000
 
 
 class Run(NamedTuple):
@@ -88,7 +90,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, max_len: int
 
         enc, task, seen = encoder(tokenizer_path), TaskContext.get().partitionId(), np.zeros(max_len + 1, np.int64)
         for batch in batches:
-            for first, ids, bounds in enc.encode(batch.column(1)):
+            for first, ids, bounds in enc.encode(batch.column(1), CHUNK_CHARS):
                 rows = {k: [] for k in schema.names}
                 for k in range(len(bounds) - 1):
                     own = np.append(ids[bounds[k] : bounds[k + 1]], enc.dtype.type(end_id)).astype("<u4")
@@ -104,7 +106,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, max_len: int
     fields = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("task", pa.int32()), ("nth", pa.int64())]
     schema = pa.schema(fields + [("ids", pa.list_(pa.int32()))] * with_ids)
     kinds = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long" + ", ids array<int>" * with_ids
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(cut, kinds)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(lambda batches: release(cut(batches)), kinds)
 
 
 def place(pieces: DataFrame, max_len: int = 2048) -> DataFrame:

@@ -102,13 +102,16 @@ class CachedEncoder:
         at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(start[index] - (ends - n), n)
         return pool[at], np.concatenate([[0], ends])[bounds]
 
-    def encode(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """For runs of texts: the first one's number, the ids of the run, and the texts' bounds in them. Null texts are empty."""
+    def encode(self, texts: pa.Array, chunk_chars: int = CHUNK_CHARS) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For runs of texts: the first one's number, the ids of the run, and the texts' bounds in them. Null texts are empty.
+
+        A run has up to ``chunk_chars`` characters, or one text; shorter runs take less memory and more lookups.
+        """
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         size = np.cumsum(pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
         first = 0
         while first < len(texts):
-            last = max(first + 1, int(np.searchsorted(size, (size[first - 1] if first else 0) + CHUNK_CHARS, "right")))
+            last = max(first + 1, int(np.searchsorted(size, (size[first - 1] if first else 0) + chunk_chars, "right")))
             run = texts.slice(first, last - first)
             whole = pc.match_substring_regex(run, self.whole).to_numpy(zero_copy_only=False) if self.mode != "none" else np.ones(len(run), bool)
             whole |= pc.equal(run, "").to_numpy(zero_copy_only=False)
