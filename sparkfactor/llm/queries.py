@@ -128,3 +128,50 @@ def op2_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat import repair
 
     return repair(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's weight towards the benchmark and its rank among the quarter drawn."""
+    from .resampling import resample
+
+    out = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=25, seed=7, least_words=20, longest=2, n_buckets=10_000)
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def _op11_sql() -> str:
+    from .resampling import oracle_sql
+
+    return oracle_sql()
+
+
+ORACLE["op11_importance_resampling"] = _op11_sql()
+
+
+@query
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest rows found for every vec_id that 100 divides, among all rows."""
+    from pyspark.sql import functions as F
+
+    from .permindex import nearest, usable
+
+    rows = usable(table(spark, sf_dir, "embeddings"))
+    asked = rows.where("vec_id % 100 = 0").groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("v"))
+    return nearest(rows, asked, k=10)
+
+
+@query
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every source's distance from the others of its language, and the 200 terms by which it stands out."""
+    from .divergence import audit
+
+    return audit(table(spark, sf_dir, "documents"), least_docs=3, top_terms=200)
+
+
+def _op13_sql() -> str:
+    from .divergence import oracle_sql
+
+    return oracle_sql()
+
+
+ORACLE["op13_source_divergence"] = _op13_sql()

@@ -166,5 +166,5 @@ def test_entry_lists_all():
     import __spark_entry__ as entry
 
     names = entry.queries()
-    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
+    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)) and "pipeline" in names
     assert set(entry.oracle_sql()) <= set(names) and zlib.crc32(b"0") >= 0
