@@ -55,8 +55,8 @@ BROADCAST_ROWS = 200_000
 PARTS = 64
 
 
-def broadcast_if_small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def bounded_sample(rows: DataFrame, group: str, most: int) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import discard
 from .common import written
 
 
@@ -33,4 +34,5 @@ def components(edges: DataFrame) -> DataFrame:
         low = _least(large, "a")
         joined = large.join(low, large.a == low.node)
         small = joined.select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").union(joined.select("a", F.col("low").alias("b"))).distinct()
-        e = written(small, "edges")
+        before, e = e, written(small, "edges")
+        discard(before)

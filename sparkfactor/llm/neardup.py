@@ -6,15 +6,17 @@ coordinate is filled after 2t rounds at most. Coordinates of one round come from
 estimate better concentration than independent minima. With 44 bands of 5 a pair at similarity 0.8 shares no band with
 probability 3e-8.
 
-Rows with equal sets become one class first, so copies cost nothing later. Within a bucket no task sees all pairs:
+Rows with equal sets become one class first, so copies cost nothing later. Within a bucket nobody emits all pairs:
 
 1. Each bucket has a centre, the member that meets most others over all bands. Members are verified against it, and the links
    give components.
-2. What is left are pairs of a bucket in different components. Small buckets list them. In a larger bucket one of the two, x,
-   is in another component than the centre c, so it isn't linked to c. Either the pair shares shingles outside c, and meets in a
-   sub-bucket for each that a prefix filter asks for; large sub-buckets are split by the next shingle, and so on. Or |x & c|
-   alone reaches the intersection that the pair needs, which holds for few sizes below |c| and is found by a join on (c, size).
-   All these pairs are verified on full sets, and the components are made anew.
+2. What is left are pairs of a bucket in different components. Small buckets list them, and each listed pair is verified once, however
+   many buckets it has.
+3. The members of a larger bucket are dealt, by a centre that they have met and by size, to blocks of bounded rows and bytes. Only blocks
+   whose sizes may link meet, two to a task, and the task counts the shingles that each two members share: those of the
+   centre by a product of bitmaps, the others by one over the shingles that two of its members show. It gives no pairs but true links, of these a
+   spanning forest, so rows grow with the members, not with their pairs. The counting itself is arithmetic over all pairs of
+   two blocks.
 
 Sets hold 64-bit hashes of shingles and are read from the texts again for documents that share a bucket, no others.
 
@@ -27,24 +29,26 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import ascii_lower, release, words_of, written
+from ..sources.shared import discard
+from .common import ascii_lower, broadcast_if_small, release, words_of, written
 from .graph import components
 
 BANDS, ROWS = 44, 5
 #: Up to so many members a bucket's pairs between components are listed directly, which is linear in the rows.
 SMALL_BUCKET = 32
-#: The same for sub-buckets, in which few pairs are still open.
-SMALL_GROUP = 128
-#: A centre's members are dealt to so many tasks. A centre of a large bucket has more members, so its bounds are fewer than they.
-PARTS = SMALL_BUCKET
+#: Up to so many keys of buckets, 16 bytes each, go to the bands instead of being sorted with them.
+BROADCAST_KEYS = 1_000_000
+#: A block of a large bucket's members holds about so many, and so many bytes of their sets.
+BLOCK_ROWS, BLOCK_BYTES = 512, 16 << 20
+#: Columns of the tables of zeros and ones that are multiplied at once.
+WIDTH = 8192
 
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -149,20 +153,17 @@ def printed(docs: DataFrame, shingle: int, text: str = "text") -> DataFrame:
     return docs.select("*", words.alias("_words")).mapInArrow(run, StructType([*docs.schema.fields, StructField("print", BinaryType())]))
 
 
-def _compared(pairs: DataFrame, sets: DataFrame, more: Column | None = None) -> DataFrame:
-    """Adds n_a, n_b and common, counted on full sets, to pairs (a, b)."""
+def _paired(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Adds items_a and items_b to written pairs (a, b). Few pairs go to the sets, so that only the sets they name are shuffled."""
     left, right = sets.select(F.col("id").alias("a"), F.col("items").alias("items_a")), sets.select(F.col("id").alias("b"), F.col("items").alias("items_b"))
-    both = pairs.join(left, "a").join(right, "b")
-    common = F.size(F.array_intersect("items_a", "items_b")).cast("long")
-    return both.select(*pairs.columns, F.size("items_a").cast("long").alias("n_a"), F.size("items_b").cast("long").alias("n_b"), common.alias("common"), *([] if more is None else [more]))
+    centres = written(pairs.select("a").distinct(), "compared-with")
+    return broadcast_if_small(pairs).join(right, "b").join(left.join(broadcast_if_small(centres), "a", "left_semi"), "a")
 
 
-def _linked(percent: int) -> Column:
-    return 100 * F.col("common") >= percent * (F.col("n_a") + F.col("n_b") - F.col("common"))
-
-
-def _may_link(n: Column, m: Column, percent: int) -> Column:
-    return (100 * n >= percent * m) & (100 * m >= percent * n)
+def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The written pairs (a, b) that are linked, by their full sets."""
+    n, common = F.size("items_a") + F.size("items_b"), F.size(F.array_intersect("items_a", "items_b"))
+    return _paired(pairs, sets).where((100 + percent) * common.cast("long") >= percent * n.cast("long")).select("a", "b")
 
 
 def _labelled(rows: DataFrame, labels: DataFrame, key: str, name: str) -> DataFrame:
@@ -171,72 +172,111 @@ def _labelled(rows: DataFrame, labels: DataFrame, key: str, name: str) -> DataFr
 
 
 def _listed(rows: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of the buckets (key, id, n, comp, t, rest) that are in different components and can still be linked.
+    """The pairs (a, b) of the small buckets (key, id, n, comp) that are in different components and of sizes that can link."""
+    x = rows.select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
+    y = rows.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
+    return x.join(y, "key").where("a < b and ca <> cb").where(f"100 * na >= {percent} * nb and 100 * nb >= {percent} * na").select("a", "b").distinct()
 
-    A row can be linked only to one with which it shares ``t`` further shingles of ``rest`` that it has.
-    """
-    x = rows.select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("t").alias("ta"), F.col("rest").alias("ra"))
-    y = rows.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("t").alias("tb"), F.col("rest").alias("rb"))
-    pairs = x.join(y, "key").where("a < b and ca <> cb and greatest(ta, tb) <= least(ra, rb)")
-    return pairs.where(_may_link(F.col("na"), F.col("nb"), percent)).select("a", "b")
 
+def _split_by_centre(paired: DataFrame) -> DataFrame:
+    """(a, b, comp, n, inside, own): which shingles of its centre a member has, as bits, and those it has besides."""
 
-def _dealt(members: DataFrame, centres: DataFrame) -> DataFrame:
-    """Members (a, b, ...) with their centre's columns (a, ...), dealt by centre and a part of its members, so no centre is hot."""
-    parts = centres.select("*", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
-    return members.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(PARTS)).cast("int")).join(parts, ["a", "part"]).drop("part")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            inside, own = [], []
+            for x, y in zip(_lists(batch.column(3)), _lists(batch.column(4)), strict=True):
+                inside.append(np.packbits(np.isin(x, y, assume_unique=True)).tobytes())
+                own.append(np.setdiff1d(y, x, assume_unique=True))
+            n = pa.array([len(y) for y in _lists(batch.column(4))], pa.int64())
+            columns = [*batch.columns[:3], n, pa.array(inside, pa.binary()), pa.array(own, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "comp", "n", "inside", "own"])
 
+    return paired.select("a", "b", "comp", "items_a", "items_b").mapInArrow(run, "a long, b long, comp long, n long, inside binary, own array<long>")
 
-def _needing(members: DataFrame, percent: int) -> DataFrame:
-    """Adds ``t``: so many shingles outside its centre, one at least, a member shares with whom it may be linked to in another component.
 
-    Of a pair in different components one, x, is a stranger to the centre c: in another component than c. The pair needs
-    percent / (100 + percent) * (n_x + n_y) shingles in common, of which at most |x & c| and at most |y & c| lie in c.
-    """
-    n = F.col("n_b")
-    by_strangers = F.when(F.col("comp") != F.col("comp_c"), (100 + percent) * F.col("common") - percent * n)
-    bounds = members.groupBy("a").agg(F.min("n_b").alias("n_min"), F.max(by_strangers).alias("g")).where("g is not null")
-    by_own = F.ceil(percent * (n + F.greatest(F.col("n_min"), F.ceil(n * percent / F.lit(100)))) / F.lit(100 + percent)) - F.col("common")
-    resident = F.when(F.col("comp") == F.col("comp_c"), F.ceil((percent * n - F.col("g")) / F.lit(100 + percent)))
-    return _dealt(members, bounds).select("a", "b", "n_b", "comp", F.greatest(F.lit(1), by_own, resident).cast("int").alias("t"))
+def _lists(column: pa.Array) -> Iterator[np.ndarray]:
+    values, at = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    for a, b in zip(at, at[1:], strict=False):
+        yield values[a:b]
+
 
+def shared_shingles(inside: list[bytes], own: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each two members of one centre have in common."""
+    n = len(own)
+    out = np.zeros((n, n), np.int64)
+
+    def add(table: np.ndarray) -> None:
+        nonlocal out
+        out += np.rint(table @ table.T).astype(np.int64)
+
+    bits = np.frombuffer(b"".join(inside), np.uint8).reshape(n, -1)
+    for first in range(0, bits.shape[1], WIDTH // 8):
+        add(np.unpackbits(bits[:, first : first + WIDTH // 8], axis=1).astype(np.float32))
+    member = np.repeat(np.arange(n), [len(o) for o in own])
+    _, code, times = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
+    several = times > 1
+    place, shown = np.cumsum(several) - 1, several[code]
+    column, member = place[code[shown]], member[shown]
+    order = np.argsort(column, kind="stable")
+    column, member = column[order], member[order]
+    for first in range(0, int(several.sum()), WIDTH):
+        a, b = np.searchsorted(column, (first, first + WIDTH))
+        table = np.zeros((n, WIDTH), np.float32)
+        table[member[a:b], column[a:b] - first] = 1
+        add(table)
+    return out
 
-def _met_outside(members: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) in different components that can be linked and share a shingle outside their centre.
 
-    Members show their shingles outside the centre in one order, each only as many as a prefix filter asks for, and meet in a sub-bucket
-    for each. In a large one those that need no more shingles in common list their pairs; all others of its pairs share a further
-    shingle behind that one, so its members show the next ones, until no sub-bucket is large.
-    """
-    own = members.select("a", "b", F.array_sort("own").alias("own"))
-    rows = _needing(members, percent).select("*", F.col("a").alias("key"), F.lit(0).alias("p"))
-    found = []
-    while True:
-        few = F.slice("own", F.col("p") + 1, F.greatest(F.lit(0), F.size("own") - F.col("p") - F.greatest(F.lit(1), F.col("t")) + 1))
-        shown = rows.join(own, ["a", "b"]).select("a", "b", "n_b", "comp", "t", "key", "p", F.size("own").alias("size"), F.posexplode(few).alias("q", "e"))
-        p = F.col("p") + F.col("q") + 1
-        shown = written(shown.select(F.xxhash64("key", "e").alias("key"), "a", "b", "n_b", "comp", (F.col("t") - 1).alias("t"), p.alias("p"), (F.col("size") - p).alias("rest")), "shown")
-        several = shown.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-        met = written(shown.join(several.select("key", "m"), "key"), "met")
-        final = met.where((F.col("m") <= SMALL_GROUP) | (F.col("t") <= 0))
-        found.append(_listed(final.select("key", F.col("b").alias("id"), F.col("n_b").alias("n"), "comp", "t", "rest"), percent))
-        rows = met.where(F.col("m") > SMALL_GROUP).select("a", "b", "n_b", "comp", "t", "key", "p")
-        if rows.isEmpty():
-            return reduce(DataFrame.union, found)
-
-
-def _met_inside(members: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that can be linked by what they share inside their centre.
-
-    A pair needs common >= percent / (100 + percent) * (n_x + n_y), so for x only sizes n_y up to this come into question.
+def forest(pairs: np.ndarray, comp: np.ndarray) -> list[tuple[int, int]]:
+    """Of the pairs (of places) those that join components (of places) which no earlier one has joined."""
+    root: dict[int, int] = {}
+
+    def find(c: int) -> int:
+        while (up := root.get(c, c)) != c:
+            root[c] = root.get(up, up)
+            c = up
+        return c
+
+    out = []
+    for i, j in pairs.tolist():
+        a, b = find(int(comp[i])), find(int(comp[j]))
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            out.append((i, j))
+    return out
+
+
+def _met_in_blocks(members: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join the components of members (a, b, comp, n, inside, own) of the same centre.
+
+    Texts that link differ in size by a factor of 100 / percent at most, so they are in the same class of sizes or in neighbouring ones.
     """
-    most = F.floor((100 + percent) * F.col("common") / F.lit(percent)) - F.col("n_b")
-    least = F.ceil(F.col("n_b") * percent / F.lit(100))
-    near = members.where("comp <> comp_c").where(least <= F.least(most, F.col("n_a") - 1)).withColumn("s", F.sequence(least, F.least(most, F.col("n_a") - 1)))
-    near = near.select("a", F.col("b").alias("x"), F.col("n_b").alias("nx"), F.col("comp").alias("cx"), F.explode("s").alias("size"))
-    other = members.select("a", F.col("b").alias("y"), F.col("n_b").alias("size"), F.col("comp").alias("cy"), F.col("common").alias("iy"))
-    inside = near.join(other, ["a", "size"]).where("cx <> cy").where((100 + percent) * F.col("iy") >= percent * (F.col("nx") + F.col("size")))
-    return inside.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+    def meet(table):
+        ids, comp, n = (table.column(c).to_numpy() for c in ("b", "comp", "n"))
+        block = table.column("block").to_numpy()
+        common = shared_shingles(table.column("inside").to_pylist(), list(_lists(table.column("own").combine_chunks())))
+        linked = ((100 + percent) * common >= percent * (n[:, None] + n[None, :])) & (comp[:, None] != comp[None, :])
+        one = len(np.unique(block)) == 1
+        pairs = np.argwhere(np.triu(linked & (one | (block[:, None] != block[None, :])), 1))
+        found = forest(pairs, comp)
+        x, y = np.array([ids[i] for i, _ in found], np.int64), np.array([ids[j] for _, j in found], np.int64)
+        return pa.table({"a": pa.array(np.minimum(x, y)), "b": pa.array(np.maximum(x, y))})
+
+    # a hair wider than the factor, so that rounding puts no pair two classes apart
+    size = F.floor(F.ln(F.col("n").cast("double")) / float(np.log(100 / percent) * (1 + 1e-9))).cast("int") if percent < 100 else F.lit(0)
+    classed = members.withColumn("s", size)
+    weight = F.octet_length("inside") + 8 * F.size("own").cast("long")
+    blocks = classed.groupBy("a", "s").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum(weight) / BLOCK_BYTES)).cast("int").alias("k"))
+    blocks = written(blocks, "blocks")
+    held = blocks.select("a", F.col("s").alias("s1"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("i"))
+    with_ = blocks.select(F.col("a").alias("a2"), F.col("s").alias("s2"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("j"))
+    meets = held.join(with_, (F.col("a") == F.col("a2")) & ((F.col("s2") == F.col("s1")) & (F.col("j") >= F.col("i")) | (F.col("s2") == F.col("s1") + 1))).select("a", "s1", "i", "s2", "j")
+    sides = F.array_distinct(F.array(F.struct(F.col("s1").alias("s"), F.col("i").alias("block")), F.struct(F.col("s2").alias("s"), F.col("j").alias("block"))))
+    asked = meets.select("*", F.explode(sides).alias("own_block")).select("a", "own_block.*", F.struct("s1", "i", "s2", "j").alias("meet"))
+    dealt = classed.join(blocks, ["a", "s"]).withColumn("block", F.pmod(F.xxhash64("b"), F.col("k")).cast("int"))
+    rows = dealt.join(asked, ["a", "s", "block"]).select("a", "meet", "b", "comp", "n", "inside", "own", (F.col("s") * (1 << 20) + F.col("block")).alias("block"))
+    return rows.groupBy("a", "meet").applyInArrow(meet, "a long, b long")
 
 
 def class_links(reps: DataFrame, sets_of, percent: int) -> DataFrame:
@@ -245,32 +285,31 @@ def class_links(reps: DataFrame, sets_of, percent: int) -> DataFrame:
     ``sets_of``: from a table of ids (id) to their full sets (id, items).
     """
     bands = reps.select("id", "n", F.explode("bands").alias("key"))
-    shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    rows = written(bands.join(shared, "key"), "buckets")
+    shared = written(bands.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "shared-keys")
+    rows = written(bands.join(broadcast_if_small(shared, BROADCAST_KEYS), "key"), "buckets")
     sets = written(sets_of(rows.select("id").distinct()), "sets")
     degree = rows.groupBy("id").agg(F.sum("m").alias("degree"))
     best = F.max(F.struct("degree", (-F.col("id")).alias("i"))).alias("best")
     # written first, so that the join deals rows alone and a large bucket can be split
     centres = written(rows.join(degree, "id").groupBy("key").agg(best), "centres")
-    rows = written(rows.join(centres, "key").withColumn("c", -F.col("best.i")), "stars")
-    stars = rows.where("c <> id").select(F.col("c").alias("a"), F.col("id").alias("b")).distinct()
-    first = written(_compared(stars, sets).where(_linked(percent)).select("a", "b"), "star-links")
+    starred = written(rows.join(centres, "key").withColumn("c", -F.col("best.i")), "stars")
+    stars = written(starred.where("c <> id").select(F.col("c").alias("a"), F.col("id").alias("b")).distinct(), "star-pairs")
+    first = written(_compared(stars, sets, percent), "star-links")
 
     labels = written(components(first), "labels")
-    labelled = _labelled(rows.where("id <> c"), labels, "id", "comp")
-    ends = _labelled(rows, labels, "id", "comp").groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    labelled = _labelled(starred.where("id <> c"), labels, "id", "comp")
+    ends = _labelled(starred, labels, "id", "comp").groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     left = written(labelled.join(ends.where("lo <> hi").select("key"), "key"), "left")
-    small = left.where(F.col("m") <= SMALL_BUCKET).select("key", "id", "n", "comp", F.lit(0).alias("t"), F.lit(0).alias("rest"))
+    small = written(_listed(left.where(F.col("m") <= SMALL_BUCKET), percent), "listed-pairs")
 
     # any text can be the centre of what is left of a bucket: the best one that its members have met serves many buckets at once
     large = left.where(F.col("m") > SMALL_BUCKET)
     met = large.join(large.groupBy("id").agg(F.max("best").alias("met")), "id").groupBy("key").agg((-F.max("met")["i"]).alias("a"))
     met = written(large.join(met, "key").where("a <> id").select("a", F.col("id").alias("b"), "comp").distinct(), "met-centres")
-    centres = _labelled(met.select("a").distinct(), labels, "a", "comp_c")
-    compared = _compared(met, sets, F.array_except("items_b", "items_a").alias("own"))
-    members = written(_dealt(compared, centres), "members")
-    pairs = _listed(small, percent).union(_met_outside(members, percent)).union(_met_inside(members, percent)).distinct()
-    return written(first.union(_compared(pairs, sets).where(_linked(percent)).select("a", "b")), "links")
+    members = written(_split_by_centre(_paired(met, sets)), "members")
+    links = written(first.union(_compared(small, sets, percent)).union(_met_in_blocks(members, percent)), "links")
+    discard(shared, rows, sets, centres, starred, stars, first, left, small, met, members)
+    return links
 
 
 def classes(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

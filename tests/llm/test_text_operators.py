@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from sparkfactor.llm import langid, neardup, packing, pieces, quality, token_files, tokenizing, toxicity
-from sparkfactor.llm.common import bounded_sample
+from sparkfactor.llm.common import bounded_sample, written
 
 BYTE, WORD, PIECE = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"))
 ODD = ["", " ", "  ", "a  b", " a", "a ", "\n a", "a \n b", "a\n\n  b\t c", "don't 's", "x <|endoftext|> y", "é ́x", "a.", "É. ß,", "x\x1cy  z", "foo\n bar\nbaz.", None]
@@ -191,7 +191,7 @@ def test_posterior_knows_which_rules_err(spark):
 @pytest.mark.parametrize("small", [0, 32])
 def test_near_duplicates(spark, odd_docs, no_docs, small, monkeypatch):
     monkeypatch.setattr(neardup, "SMALL_BUCKET", small)
-    monkeypatch.setattr(neardup, "SMALL_GROUP", small)
+    monkeypatch.setattr(neardup, "BLOCK_ROWS", small + 7)
     rng = random.Random(11)
     vocabulary = [f"w{i}" for i in range(300)]
     base = [rng.choice(vocabulary) for _ in range(120)]
@@ -220,6 +220,47 @@ def test_near_duplicates(spark, odd_docs, no_docs, small, monkeypatch):
         assert neardup.near_duplicates(no_docs).count() == 0
 
 
+def excerpts(n, blocks=50, share=0.72):
+    """``n`` excerpts of one text, each with the same share of its blocks of 20 words; every two are candidates, few are linked."""
+    rng = random.Random(12)
+    text = [[f"w{rng.randrange(100_000)}" for _ in range(20)] for _ in range(blocks)]
+    docs = [(i, " ".join(w for k in sorted(rng.sample(range(blocks), int(share * blocks))) for w in text[k])) for i in range(n)]
+    return docs + [(n, " ".join(w for b in text for w in b))]
+
+
+def test_excerpts_of_one_text(spark, monkeypatch):
+    """The rows of all tables but the blocks' own grow with the excerpts, not with their pairs, and links are those of brute force."""
+    rows = {}
+    for n in (150, 400, 800):
+        docs, seen = excerpts(n), rows.setdefault(n, {})
+
+        def counted(df, name, seen=seen):
+            out = written(df, name)
+            seen[name] = max(seen.get(name, 0), out.count())
+            return out
+
+        monkeypatch.setattr(neardup, "written", counted)
+        got = neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), 2, 80).collect()
+        if n == 150:
+            assert {r.doc_id: r.component_id for r in got} == brute_components(docs, 2, 80)[0]
+    for name in ("star-pairs", "listed-pairs", "met-centres", "members", "links"):
+        assert rows[800][name] <= 3 * rows[400][name] + 10, (name, rows)
+    assert sum(rows[800].values()) < 800 * 250
+
+
+def test_shared_shingles_and_forest():
+    rng = np.random.default_rng(13)
+    centre, others = np.arange(100, dtype=np.int64), np.arange(1000, 1030, dtype=np.int64)
+    sets = [np.union1d(rng.choice(centre, rng.integers(0, 100), replace=False), rng.choice(others, rng.integers(0, 10), replace=False)) for _ in range(30)]
+    own = [np.setdiff1d(s, centre) for s in sets]
+    got = neardup.shared_shingles([np.packbits(np.isin(centre, s)).tobytes() for s in sets], own)
+    expected = np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])
+    assert (got == expected)[~np.eye(30, dtype=bool)].all()
+    pairs = np.array([(i, j) for i in range(12) for j in range(i + 1, 12)])
+    found = neardup.forest(pairs, np.array([0, 0, 1, 2, 3, 3, 4, 5, 6, 7, 8, 8]))
+    assert len(found) == 8 and neardup.forest(pairs[:0], np.zeros(3)) == []
+
+
 def test_sketch_fills_and_estimates():
     rng = np.random.default_rng(2)
     for n in (1, 2, 7, 100, 5000):
