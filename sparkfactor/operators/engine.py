@@ -15,6 +15,7 @@ from ..config import GPConfig
 from ..functions.kernels import tied_rank
 from ..plans.ir import parse
 from . import scores
+from .fronts import trimmed
 from .genetic import Individual, crossover, init_population, mutate
 from .population import migration_targets
 
@@ -65,20 +66,14 @@ class ParetoHoF:
         self.size, self.members = size, []
 
     def update(self, individuals: list[Individual]) -> None:
+        """Admits all that none dominates, and then trims once: a newcomer that is trimmed has still removed what it dominates."""
         for ind in individuals:
             same = lambda m, i=ind: (m.pps, m.rre, m.complexity) == (i.pps, i.rre, i.complexity)
             if not np.isfinite(ind.fitness) or any(dominates(m, ind) or same(m) for m in self.members):
                 continue
             self.members = [m for m in self.members if not dominates(ind, m)] + [ind]
-            while len(self.members) > self.size:
-                self._trim()
-
-    def _trim(self) -> None:
-        """Of the closest pair the one of lower pps goes."""
-        gap = lambda a, b: (a.pps - b.pps) ** 2 + (a.rre - b.rre) ** 2 + ((a.complexity - b.complexity) / max(a.complexity, b.complexity, 1)) ** 2
-        pairs = ((gap(a, b), i, j) for i, a in enumerate(self.members) for j, b in enumerate(self.members) if i < j)
-        _, i, j = min(pairs)
-        self.members.pop(i if self.members[i].pps <= self.members[j].pps else j)
+        kept = trimmed([m.pps for m in self.members], [m.rre for m in self.members], [m.complexity for m in self.members], self.size)
+        self.members = [self.members[i] for i in kept]
 
     def summary(self) -> dict:
         own = self.members

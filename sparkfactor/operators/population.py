@@ -13,8 +13,6 @@ from ..sources.shared import written
 
 #: Bytes of fingerprints that are broadcast at once.
 BLOCK_BYTES = 32 << 20
-#: A complexity's members are dealt to so many tasks for a first front.
-PARTS = 64
 
 
 def knn_novelty(population: DataFrame, k: int, archive: DataFrame | None = None, ind_id: str = "ind_id", behavior: str = "behavior", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -60,40 +58,6 @@ def knn_novelty(population: DataFrame, k: int, archive: DataFrame | None = None,
     return own.select("ind_id").join(scores, "ind_id", "left").select("ind_id", F.coalesce("novelty", F.lit(0.0)).alias("novelty"))
 
 
-def _unbeaten(members: DataFrame, *by: str) -> DataFrame:
-    """Of each group with one complexity the members that none of it dominates, by running maxima."""
-    above = W.partitionBy("complexity", *by).orderBy(F.desc("pps"), F.desc("rre")).rowsBetween(W.unboundedPreceding, -1)
-    return members.withColumn("__best", F.max("rre").over(above)).where("__best is null or rre > __best").drop("__best")
-
-
-def pareto_front(members: DataFrame, arrival: str = "ind_id") -> DataFrame:
-    """Members (pps and rre high, complexity low) that none dominates; of equal ones the first.
-
-    Within a complexity running maxima leave a front, first in parts. What a lower complexity dominates is found by a sweep for each
-    node of a binary tree over the complexities: a member stands in the nodes above its own and asks those that cover all below it.
-    """
-    w = W.partitionBy("pps", "rre", "complexity").orderBy(arrival)
-    first = members.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
-    parts = _unbeaten(first.withColumn("__part", F.pmod(F.xxhash64("pps", "rre"), F.lit(PARTS))), "__part").drop("__part")
-    fronts = written(_unbeaten(parts), "fronts")
-    levels = written(fronts.select("complexity").distinct(), "complexities")
-    top = max(1, levels.count())
-    place = levels.withColumn("__at", F.row_number().over(W.orderBy("complexity")))
-    # the nodes of a Fenwick tree: up adds the lowest bit, down takes it away
-    lowest = lambda x: x.bitwiseAND(-x)
-    steps = F.sequence(F.lit(1), F.lit(top.bit_length() + 1))
-    up = F.aggregate(steps, F.array("__at"), lambda a, _: F.concat(a, F.array(F.element_at(a, -1) + lowest(F.element_at(a, -1)))))
-    down = F.aggregate(steps, F.array(F.col("__at") - 1), lambda a, _: F.concat(a, F.array(F.element_at(a, -1) - lowest(F.element_at(a, -1)))))
-    placed = fronts.join(place, "complexity")
-    stands = placed.select(F.explode(F.array_distinct(F.filter(up, lambda x: x <= top))).alias("__node"), "pps", "rre", F.lit(None).cast("long").alias("__id"))
-    asking = written(placed.withColumn("__id", F.monotonically_increasing_id()), "asking")
-    asks = asking.select(F.explode(F.array_distinct(F.filter(down, lambda x: x > 0))).alias("__node"), "pps", "rre", "__id")
-    over = W.partitionBy("__node").orderBy(F.desc("pps")).rangeBetween(W.unboundedPreceding, W.currentRow)
-    seen = stands.union(asks).withColumn("__best", F.max(F.when(F.col("__id").isNull(), F.col("rre"))).over(over))
-    beaten = seen.where("__id is not null and __best >= rre").select("__id").distinct()
-    return asking.join(beaten, "__id", "left_anti").select(*members.columns)
-
-
 def fitness(weights, novelty_weight: float, parsimony: float) -> Column:
     """Fitness of members (pps, rre, pfs, novelty, complexity) as a column; minus infinity where it isn't finite."""
     value = weights.pps * F.col("pps") + weights.rre * F.col("rre") + weights.pfs * F.col("pfs") + novelty_weight * F.col("novelty") - parsimony * F.col("complexity")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.registry import OPS
 from ..functions.ranking import grouped_tied_ranks, tied_ranks
 from ..functions.scope import GLOBAL, Scope
-from ..operators import metrics, population
+from ..operators import fronts, metrics, population
 from ..operators.combine import combine
 from ..sources.panel import date_cutoff, date_split, drop_missing, events_panel, forward_target, stack_assets, with_row_id
 from ..sources.shared import written
@@ -368,17 +368,43 @@ select ind_id, round(avg(d), 6) as novelty from (select ind_id, d from d qualify
 _MEMBERS = "(select p_partkey as ind_id, p_retailprice as pps, cast(p_partkey % 97 as double) as rre, p_size as complexity from part)"
 
 
-def pareto_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
-    members = part.select(F.col("p_partkey").alias("ind_id"), F.col("p_retailprice").alias("pps"), (F.col("p_partkey") % 97).cast("double").alias("rre"), F.col("p_size").alias("complexity"))
-    return population.pareto_front(members)
+    return part.select(F.col("p_partkey").alias("ind_id"), F.col("p_retailprice").alias("pps"), (F.col("p_partkey") % 97).cast("double").alias("rre"), F.col("p_size").alias("complexity"))
 
 
+_DOMINATES = "{o}.pps >= {m}.pps and {o}.rre >= {m}.rre and {o}.complexity <= {m}.complexity and ({o}.pps > {m}.pps or {o}.rre > {m}.rre or {o}.complexity < {m}.complexity)"
 add(
     "pareto_front",
-    pareto_query,
-    f"""with m as (select * from {_MEMBERS} qualify row_number() over (partition by pps, rre, complexity order by ind_id) = 1)
-select * from m where not exists (select 1 from m o where o.pps >= m.pps and o.rre >= m.rre and o.complexity <= m.complexity and (o.pps > m.pps or o.rre > m.rre or o.complexity < m.complexity))""",
+    lambda s, d: fronts.pareto_front(_members(s, d)),
+    f"""with m as (select * from {_MEMBERS} where isfinite(pps) and isfinite(rre) and complexity is not null qualify row_number() over (partition by pps, rre, complexity order by ind_id) = 1)
+select * from m where not exists (select 1 from m o where {_DOMINATES.format(o="o", m="m")})""",
+)
+
+HALL_SIZE, ARRIVALS = 12, 5
+
+
+def hall_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hall of fame after all parts have arrived in five batches; prices in thousands, so that all objectives weigh in the distances."""
+    members = _members(spark, sf_dir).withColumns({"pps": F.col("pps") / 1000, "rre": F.col("rre") / 97, "batch": F.col("ind_id") % ARRIVALS})
+    return fronts.hall_of_fame(members, HALL_SIZE).select("place", "ind_id", F.round("pps", 6).alias("pps"), F.round("rre", 6).alias("rre"), "complexity")
+
+
+_GAP = "pow(h[i].pps - h[j].pps, 2) + pow(h[i].rre - h[j].rre, 2) + pow((h[i].complexity - h[j].complexity) / cast(greatest(h[i].complexity, h[j].complexity, 1) as double), 2)"
+_CLOSEST = f"list_min(flatten(list_transform(range(1, len(h) + 1), lambda i: list_transform(range(i + 1, len(h) + 1), lambda j: {{'d': {_GAP}, 'i': i, 'j': j}}))))"
+add(
+    "hall_of_fame",
+    hall_query,
+    # one step lets a batch in, or trims one member of a hall that is too large
+    f"""with recursive m as (select ind_id, pps / 1000 as pps, rre / 97 as rre, complexity, ind_id % {ARRIVALS} as batch from {_MEMBERS} where isfinite(pps) and isfinite(rre) and complexity is not null),
+b as (select batch, list({{'ind_id': ind_id, 'pps': pps, 'rre': rre, 'complexity': complexity}} order by ind_id) as l from m group by batch),
+s(k, h) as (select 0::bigint, [{{'ind_id': 0::bigint, 'pps': 0::double, 'rre': 0::double, 'complexity': 0::int}}][1:0]
+  union all select case when len(h) > {HALL_SIZE} then k else k + 1 end, case when len(h) > {HALL_SIZE}
+    then list_filter(h, lambda x, n: n <> case when h[c.i].pps <= h[c.j].pps then c.i else c.j end)
+    else list_filter(list_concat(h, l), lambda x, n: len(list_filter(list_concat(h, l), lambda o, w: ({_DOMINATES.format(o="o", m="x")}) or (w < n and o.pps = x.pps and o.rre = x.rre and o.complexity = x.complexity))) = 0) end
+  from (select k, h, case when len(h) > {HALL_SIZE} then {_CLOSEST} end as c from s) left join b on b.batch = k where k < {ARRIVALS} or len(h) > {HALL_SIZE})
+select cast(n as bigint) as place, x.ind_id as ind_id, round(x.pps, 6) as pps, round(x.rre, 6) as rre, x.complexity as complexity
+from (select unnest(range(1, len(h) + 1)) as n, unnest(h) as x from s where k = {ARRIVALS} and len(h) <= {HALL_SIZE})""",
 )
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from sparkfactor.config import GPConfig
 from sparkfactor.functions import ranking
 from sparkfactor.functions.kernels import tied_rank
-from sparkfactor.operators import engine, oos, population, scores
+from sparkfactor.operators import engine, fronts, oos, population, scores
 from sparkfactor.operators.combine import combine
 from sparkfactor.operators.genetic import Individual
 from sparkfactor.plans.compiler import compile_forest
@@ -152,10 +152,10 @@ def test_front_equals_brute_force(spark):
         triples = {r[1:] for r in rows}
         beats = lambda a, b: a != b and a[0] >= b[0] and a[1] >= b[1] and a[2] <= b[2]
         expected = sorted(t for t in triples if not any(beats(o, t) for o in triples))
-        got = population.pareto_front(spark.createDataFrame(rows, "ind_id long, pps double, rre double, complexity int"))
+        got = fronts.pareto_front(spark.createDataFrame(rows, "ind_id long, pps double, rre double, complexity int"))
         assert sorted((r.pps, r.rre, r.complexity) for r in got.collect()) == expected
         assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
-    assert population.pareto_front(spark.createDataFrame([], "ind_id long, pps double, rre double, complexity int")).count() == 0
+    assert fronts.pareto_front(spark.createDataFrame([], "ind_id long, pps double, rre double, complexity int")).count() == 0
 
 
 def test_novelty_in_blocks(spark):

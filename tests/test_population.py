@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkfactor.config import GPConfig
-from sparkfactor.operators import engine, population
+from sparkfactor.operators import engine, fronts, population
 from sparkfactor.operators.combine import combine
 from sparkfactor.operators.genetic import Individual
 from sparkfactor.plans.ir import variable
@@ -35,7 +35,7 @@ def test_dominance_and_front(spark):
     rows = [(i, float(rng.integers(8)), float(rng.integers(8)), int(rng.integers(1, 6))) for i in range(120)]
     hof = engine.ParetoHoF(1000)
     hof.update([ind(p, r, c, 1.0) for _, p, r, c in rows])
-    front = population.pareto_front(spark.createDataFrame(rows, "ind_id long, pps double, rre double, complexity int")).collect()
+    front = fronts.pareto_front(spark.createDataFrame(rows, "ind_id long, pps double, rre double, complexity int")).collect()
     assert {(r.pps, r.rre, r.complexity) for r in front} == {(m.pps, m.rre, m.complexity) for m in hof.members} and len(front) == len(hof.members)
     small = engine.ParetoHoF(3)
     small.update([ind(p, r, c, 1.0) for _, p, r, c in rows] + [ind(9, 9, 1, float("-inf"))])
