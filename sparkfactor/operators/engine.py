@@ -6,7 +6,7 @@ NumPy kernels, and scores, fingerprints and period errors come back. All are sco
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import replace
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -15,44 +15,16 @@ from ..config import GPConfig
 from ..functions.kernels import tied_rank
 from ..plans.ir import parse
 from . import scores
+from .archive import NoveltyArchive
 from .fronts import trimmed
 from .genetic import Individual, crossover, init_population, mutate
+from .neighbours import distances
 from .population import migration_targets
 
 
-def _distances(a: np.ndarray, others: np.ndarray) -> np.ndarray:
-    return np.sqrt(((others.astype(float) - a.astype(float)) ** 2).sum(1))
-
-
 def knn_mean(a: np.ndarray, others: np.ndarray, k: int) -> float:
     """Mean distance to the min(k, n) nearest; 0 without any."""
-    return float(np.sort(_distances(a, others))[:k].mean()) if len(others) else 0.0
-
-
-@dataclass
-class NoveltyArchive:
-    """A bounded list of fingerprints; a new one is admitted if it is more novel than the members are among themselves."""
-
-    size: int
-    k: int
-    entries: list
-
-    def update(self, behaviors: list[np.ndarray]) -> None:
-        """Distances among the members are kept, so a candidate costs one row of them."""
-        apart = np.array([_distances(e, np.array(self.entries)) for e in self.entries]).reshape(len(self.entries), len(self.entries))
-        for b in behaviors:
-            n = len(self.entries)
-            near = _distances(b, np.array(self.entries)) if n else np.empty(0)
-            others = np.sort(apart + np.diag(np.full(n, np.inf)), axis=1)[:, : min(self.k, n - 1)]
-            own = others.mean(1) if n > 1 else np.zeros(n)
-            if n and float(np.sort(near)[: self.k].mean()) <= own.mean():
-                continue
-            if n >= self.size:
-                gone = int(own.argmin())
-                self.entries.pop(gone)
-                apart, near = np.delete(np.delete(apart, gone, 0), gone, 1), np.delete(near, gone)
-            self.entries.append(b)
-            apart = np.block([[apart, near[:, None]], [near[None, :], np.zeros((1, 1))]])
+    return float(np.sort(distances(np.asarray(a, float), others.astype(float)))[:k].mean()) if len(others) else 0.0
 
 
 def dominates(a: Individual, b: Individual) -> bool:
@@ -151,7 +123,7 @@ def run_gp(spark: SparkSession, x: np.ndarray, y: np.ndarray, cfg: GPConfig, log
     size = cfg.population_size // cfg.n_islands
     islands = [everyone[k * size : (k + 1) * size] for k in range(cfg.n_islands)]
     behavior_rows = master.permutation(len(y))[: min(cfg.behavior_sample_size, len(y))]
-    archive, hof, y_rank = NoveltyArchive(cfg.novelty_archive_size, cfg.novelty_k, []), ParetoHoF(cfg.hof_size), tied_rank(y)
+    archive, hof, y_rank = NoveltyArchive(cfg.novelty_archive_size, cfg.novelty_k), ParetoHoF(cfg.hof_size), tied_rank(y)
     elites = min(cfg.elite_count, size - 1)
     for generation in range(1, cfg.n_generations + 1):
         n_rows = max(1, int(len(y) * cfg.eval_subsample))

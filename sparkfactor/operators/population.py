@@ -1,61 +1,13 @@
-"""Relational operators over populations: distance, novelty, dominance, selection, islands and migration."""
+"""Relational operators over populations: fitness, fingerprints, selection, islands and migration."""
 
 from __future__ import annotations
 
-from functools import reduce
-
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.shared import written
 
-#: Bytes of fingerprints that are broadcast at once.
-BLOCK_BYTES = 32 << 20
-
-
-def knn_novelty(population: DataFrame, k: int, archive: DataFrame | None = None, ind_id: str = "ind_id", behavior: str = "behavior", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(ind_id, novelty): mean distance to the min(k, n) nearest other fingerprints and archive entries; 0 for an empty fingerprint.
-
-    Fingerprints of one length are comparable. All others come to a fingerprint in blocks of ``block_bytes`` at most, each broadcast for
-    one pass over the population; a pass keeps the k least distances of each, and these are merged.
-    """
-    spark = population.sparkSession
-    own = written(population.select(F.col(ind_id).alias("ind_id"), F.col(behavior).cast("array<double>").alias("a")), "fingerprints")
-    others = own.select(F.col("ind_id").alias("other"), F.col("a").alias("b"))
-    if archive is not None:
-        others = others.unionByName(archive.select(F.lit(None).cast(others.schema["other"].dataType).alias("other"), F.col(behavior).cast("array<double>").alias("b")))
-    others = written(others.where(F.size("b") > 0).withColumn("at", F.pmod(F.xxhash64("other", "b"), F.lit(1 << 30))), "others")
-    size = others.agg(F.coalesce(F.sum(8 * F.size("b") + 16), F.lit(0)).alias("n")).first().n
-    blocks, found = max(1, -(-size // block_bytes)), []
-    for block in range(blocks):
-        held: dict[int, tuple[list, list]] = {}
-        for r in others.where(F.col("at") % blocks == block).select("other", "b").collect():
-            ids, rows = held.setdefault(len(r.b), ([], []))
-            ids.append(r.other)
-            rows.append(r.b)
-        shared = spark.sparkContext.broadcast({n: (np.array(ids, object), np.array(rows, float)) for n, (ids, rows) in held.items()})
-
-        def run(frames, shared=shared):
-            import pandas as pd
-
-            for frame in frames:
-                out = []
-                for i, a in zip(frame.ind_id, frame.a, strict=True):
-                    ids, rows = shared.value.get(len(a), (np.empty(0, object), np.empty((0, len(a)))))
-                    d = np.sqrt(((rows - np.asarray(a, float)) ** 2).sum(1))[ids != i]
-                    out.append(np.sort(np.partition(d, k - 1)[:k] if len(d) > k else d))
-                yield pd.DataFrame({"ind_id": frame.ind_id, "d": out})
-
-        # a batch is a few hundred fingerprints, so a small population still goes to all tasks
-        kind = own.schema["ind_id"].dataType.simpleString()
-        near = own.where(F.size("a") > 0).repartition(spark.sparkContext.defaultParallelism).mapInPandas(run, f"ind_id {kind}, d array<double>")
-        found.append(near if blocks == 1 else written(near, "near"))
-    merged = reduce(DataFrame.union, found).groupBy("ind_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("d"))), 1, k).alias("d"))
-    mean = F.when(F.size("d") > 0, F.aggregate("d", F.lit(0.0), lambda s, v: s + v) / F.size("d"))
-    scores = merged.select("ind_id", mean.alias("novelty"))
-    return own.select("ind_id").join(scores, "ind_id", "left").select("ind_id", F.coalesce("novelty", F.lit(0.0)).alias("novelty"))
 
 
 def fitness(weights, novelty_weight: float, parsimony: float) -> Column:

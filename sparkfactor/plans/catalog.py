@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.registry import OPS
 from ..functions.ranking import grouped_tied_ranks, tied_ranks
 from ..functions.scope import GLOBAL, Scope
-from ..operators import fronts, metrics, population
+from ..operators import archive, fronts, metrics, neighbours, population
 from ..operators.combine import combine
 from ..sources.panel import date_cutoff, date_split, drop_missing, events_panel, forward_target, stack_assets, with_row_id
 from ..sources.shared import written
@@ -355,7 +355,7 @@ add("factor_report", report, _REPORT)
 
 def knn_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("ind_id"), F.col("embedding").alias("behavior"))
-    return _rounded(population.knn_novelty(own, 10), "ind_id")
+    return _rounded(neighbours.knn_novelty(own, 10), "ind_id")
 
 
 add(
@@ -365,6 +365,16 @@ add(
   from embeddings a join embeddings b on a.vec_id <> b.vec_id)
 select ind_id, round(avg(d), 6) as novelty from (select ind_id, d from d qualify row_number() over (partition by ind_id order by d) <= 10) group by ind_id""",
 )
+ARCHIVE_SIZE, ARCHIVE_K = 50, 5
+
+
+def archive_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an archive of 50 holds after all embeddings were offered in order."""
+    own = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("ind_id"), F.col("embedding").alias("behavior"))
+    return archive.novelty_archive(own, ARCHIVE_SIZE, ARCHIVE_K)
+
+
+add("novelty_archive", archive_query)
 _MEMBERS = "(select p_partkey as ind_id, p_retailprice as pps, cast(p_partkey % 97 as double) as rre, p_size as complexity from part)"
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from sparkfactor.config import GPConfig
 from sparkfactor.functions import ranking
 from sparkfactor.functions.kernels import tied_rank
-from sparkfactor.operators import engine, fronts, oos, population, scores
+from sparkfactor.operators import engine, fronts, neighbours, oos, population, scores
 from sparkfactor.operators.combine import combine
 from sparkfactor.operators.genetic import Individual
 from sparkfactor.plans.compiler import compile_forest
@@ -162,8 +162,8 @@ def test_novelty_in_blocks(spark):
     rng = np.random.default_rng(10)
     prints = rng.standard_normal((30, 3))
     df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(prints)] + [(50, [1.0])], "ind_id long, behavior array<double>")
-    whole = {r.ind_id: r.novelty for r in population.knn_novelty(df, 4).collect()}
-    blocks = {r.ind_id: r.novelty for r in population.knn_novelty(df, 4, block_bytes=200).collect()}
+    whole = {r.ind_id: r.novelty for r in neighbours.knn_novelty(df, 4).collect()}
+    blocks = {r.ind_id: r.novelty for r in neighbours.knn_novelty(df, 4, pivots=3, block_rows=4, chunk_rows=5).collect()}
     for i, p in enumerate(prints):
         assert np.isclose(whole[i], engine.knn_mean(p, np.delete(prints, i, 0), 4)) and np.isclose(blocks[i], whole[i])
     assert whole[50] == blocks[50] == 0.0
@@ -171,7 +171,7 @@ def test_novelty_in_blocks(spark):
 
 def test_archive_keeps_distances():
     rng = np.random.default_rng(11)
-    archive, plain = engine.NoveltyArchive(5, 2, []), []
+    archive, plain = engine.NoveltyArchive(5, 2), []
     for b in rng.standard_normal((40, 3)):
         own = [engine.knn_mean(e, np.array(plain[:i] + plain[i + 1 :]), 2) for i, e in enumerate(plain)]
         if not plain or engine.knn_mean(b, np.array(plain), 2) > np.mean(own):

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkfactor.config import GPConfig
-from sparkfactor.operators import engine, fronts, population
+from sparkfactor.operators import engine, fronts, neighbours, population
 from sparkfactor.operators.combine import combine
 from sparkfactor.operators.genetic import Individual
 from sparkfactor.plans.ir import variable
@@ -22,7 +22,7 @@ def test_knn_novelty(spark):
     prints = rng.standard_normal((20, 4)).astype(np.float32)
     df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(prints)] + [(99, [])], "ind_id long, behavior array<float>")
     archive = spark.createDataFrame([([0.0] * 4,)], "behavior array<float>")
-    got = {r.ind_id: r.novelty for r in population.knn_novelty(df, 3, archive).collect()}
+    got = {r.ind_id: r.novelty for r in neighbours.knn_novelty(df, 3, archive).collect()}
     for i, p in enumerate(prints):
         assert np.isclose(got[i], engine.knn_mean(p, np.concatenate([np.delete(prints, i, 0), np.zeros((1, 4))]), 3))
     assert got[99] == 0 and engine.knn_mean(prints[0], np.empty((0, 4)), 3) == 0
