@@ -621,6 +621,50 @@ select individual_rank, tree_idx, oos_pps, oos_ic, oos_rankic, oos_rre, tree_siz
 )
 
 
+#: A population as a generation has it: cross-sections inside trees, nested ones, all combinations, a tree twice.
+_POPULATION = (
+    (("momentum", "spread", "decayed"), (0.5, 0.3, 0.2), "weighted_sum"),
+    (("momentum", "mixed"), (0.5, 0.5), "vote"),
+    (("momentum", "spread"), (0.5, 0.5), "rank_average"),
+    (("ranked", "scored"), (0.5, 0.5), "weighted_sum"),
+    (("scored", "ranked", "ranked"), (0.4, 0.3, 0.3), "rank_average"),
+)
+
+
+def population_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every individual's scores on the whole events panel, in blocks of rows."""
+    from ..operators.evaluation import population_scores
+    from ..operators.genetic import Individual
+
+    panel = forward_target(events_panel(spark, sf_dir), 5, close="x1", target="simple_return")
+    own = [Individual(tuple(parse(_TREES[n]) for n in trees), weights, how) for trees, weights, how in _POPULATION]
+    out = population_scores(panel, own, FEATURES, block_rows=4096, digits=9)
+    return out.select("i", *(F.round(c, 4).alias(c) for c in ("pps", "ic", "rank_ic", "rre", "fitness")), "complexity")
+
+
+_ALL_TREES = tuple(_TREES)
+_POPULATION_ROWS = ", ".join(f"('i{k}', {k}, {_size(m[0])})" for k, m in enumerate(_POPULATION))
+add(
+    "population_scores",
+    population_query,
+    f"""with {PANEL.replace("panel as", "events_panel as", 1)},
+later as (select *, lead(x1, 5) over (partition by asset order by row_id) as ahead from events_panel),
+panel as (select row_number() over (order by row_id) - 1 as row_id, x1, x2, x3, x4, coalesce(ahead / nullif(x1, 0) - 1, 0.0) as y from later where ahead is not null),
+a as (select *, {rolling_sql("ts_delta", "x1", "", 3, "")} as m1, sqrt(abs(x1 * x3) + 1e-6) as m2, {rolling_sql("ts_sum", "x2", "", 5, "")} as m3, {rolling_sql("ts_max", "x1", "", 5, "")} as m from panel),
+b as (select *, {_ZS} as z from a),
+t as (select row_id, y, round({rolling_sql("ts_mean", "m1", "", 5, "")}, 9) as momentum, round({_TREE_STEPS["spread"][1]}, 9) as spread, round({_TREE_STEPS["mixed"][1]}, 9) as mixed,
+  round({rolling_sql("decay", "m2", "", 5, "")}, 9) as decayed, round({cross_sql("cs_rank", "m3", "")}, 9) as ranked, round({ELEMENT_SQL["safe_tanh"].format(x="z")}, 9) as scored from b),
+w as (select *, {", ".join(f"round({_member_sql(*m)}, 9) as i{k}" for k, m in enumerate(_POPULATION))} from t),
+long as ({" union all ".join(f"select 'i{k}' as name, i{k} as f, y from w" for k in range(len(_POPULATION)))}),
+r as (select name, f, y, rank() over (partition by name order by f) + (count(*) over (partition by name, f) - 1) / 2.0 as rf,
+  rank() over (partition by name order by y) + (count(*) over (partition by name, y) - 1) / 2.0 as ry from long),
+c as (select name, {corr_sql("f", "y")} as ic, {corr_sql("rf", "ry")} as rank_ic from r group by name), e as ({rre_sql("r", "rf", "name")}),
+p(name, i, complexity) as (values {_POPULATION_ROWS})
+select i, round(0.3 * ic + 0.7 * rank_ic, 4) as pps, round(ic, 4) as ic, round(rank_ic, 4) as rank_ic, round(rre, 4) as rre,
+  round(0.3 * (0.3 * ic + 0.7 * rank_ic) + 0.3 * rre - 0.001 * complexity, 4) as fitness, complexity from p join c using (name) join e using (name)""",
+)
+
+
 def gp_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The front of a small search over the whole events panel; the last generation follows PFS, constant tuning and a migration."""
     from ..config import GPConfig

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import itertools
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -66,8 +67,11 @@ def compile_forest(panel: DataFrame, trees: dict[str, Node], features: list[str]
     return scope.finished(df).drop(*(c for c in df.columns if c.startswith(prefix)))
 
 
-def evaluate(tree: Node, x: np.ndarray, constants: list[float] | None = None) -> np.ndarray:
-    """The tree on a matrix of rows and features; ``constants`` stand in for its own."""
+def evaluate(tree: Node, x: np.ndarray, constants: list[float] | None = None, cross: Callable | None = None) -> np.ndarray:
+    """The tree on a matrix of rows and features; ``constants`` stand in for its own.
+
+    ``cross(node, argument)``: gives a cross-sectional node where ``x`` isn't the whole cross-section; ``argument()`` is its argument here.
+    """
     left = iter(constants if constants is not None else tree.constants())
 
     def run(node: Node) -> np.ndarray:
@@ -75,6 +79,8 @@ def evaluate(tree: Node, x: np.ndarray, constants: list[float] | None = None) ->
             return x[:, node.feature - 1]
         if node.op is None:
             return np.full(len(x), next(left))
+        if cross is not None and lookup(node.op).tier == "cs":
+            return cross(node, lambda: run(node.children[0]))
         args = [run(c) for c in node.children]
         with np.errstate(all="ignore"):
             return np.asarray(lookup(node.op).kernel(*args, *([node.window] if node.window is not None else [])), float)
