@@ -4,7 +4,12 @@ Writers hide words by leetspeak ("1d10t"), spacing ("i d i o t", "i.d.i.o.t") an
 as the output of a noisy channel: each character gives a column of a lattice (itself, the letters that it may stand for, or nothing)
 and Viterbi picks the letters that a character trigram model of all documents finds likeliest. Every token with a letter and with a
 character that isn't one, or with a doubled letter, is read so, whatever its length; plain words also count as written. Of a token
-of single letters between separators ("y.o.u.i.d.i.o.t") each part may be a word, as of a run of single characters.
+of single letters between separators ("y.o.u.i.d.i.o.t") each part may be a word, as of a run of tokens that each are one character, repeated
+or not ("ii d ii oo t").
+
+The character model alone can't tell "loser" from "ioser" in "10$3r". So a token with such characters, or with a letter three times in a row, is also
+read through a trie of the words of the lexicon: a word is taken if its channel costs and ``KNOWN_WORD``, what any known word costs, are no more
+than what the likeliest letters cost. A character that may stand for a letter is hardly ever dropped (``DROPPED``).
 
 A restored word has the features word and first four, five and six letters. Their log odds of toxic against clean documents
 come from a bounded sample of labelled documents, ``PER_CLASS`` of each label. A logistic regression turns a document's strongest
@@ -21,6 +26,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -42,7 +48,11 @@ THRESHOLD = 0.3
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "*": "aeiou"}
 SEPARATORS = "._-*~'"
 EDGE = ".,;:!?()[]{}\"'`-_*"
-CACHED, CHUNK_CHARS, KNOWN_TOKENS = 40, 4_000_000, 600_000
+#: Of these the ones that can't stand for a letter nor join letters.
+PLAIN_EDGE = ".,;:?()[]{}\"'`"
+CACHED, CHUNK_CHARS, KNOWN_TOKENS = 40, 4_000_000, 300_000
+#: Log probabilities of dropping a separator, a character that may stand for a letter, and another one; of a word of the lexicon; and, for each letter, of a part of a spelt run that is one.
+SEPARATED, DROPPED, ODD_DROPPED, KNOWN_WORD, SPELT_LETTER = -0.2, -9.0, -3.0, -8.0, -1.1
 N = 27  # a word's border and 26 letters
 
 
@@ -74,16 +84,19 @@ class Speller:
         if ch.isascii() and ch.isalpha():
             k = ord(ch) - 96
             return [((k,), 0.0)] if run == 1 else [((k,), -1.5), ((k, k), 0.0)] if run == 2 else [((k,), -0.5), ((k, k), -0.7)]
-        out = [((), -0.2 if ch in SEPARATORS else -3.0)]
+        out = [((), SEPARATED if ch in SEPARATORS else DROPPED if ch in LEET else ODD_DROPPED)]
         for c in LEET.get(ch, ""):
             k, cost = ord(c) - 96, -0.3 - float(np.log(len(LEET[ch])))
             out += [((k,), cost), ((k, k), cost - 0.7)] if run > 1 else [((k,), cost)]
         return out
 
     def decode(self, token: str) -> str:
-        """The likeliest letters of a folded token."""
+        return self.decoded(token)[0]
+
+    def decoded(self, token: str) -> tuple[str, float]:
+        """The likeliest letters of a folded token, and their log probability."""
         best: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}  # letters are linked from the last one back
-        for m in re.finditer(r"(.)\1*", token, re.S):
+        for m in RUNS.finditer(token):
             columns = self._options(m[1], len(m[0]))
             after: dict[tuple[int, int], tuple[float, tuple]] = {}
             for (a, b), (score, letters) in best.items():
@@ -96,7 +109,7 @@ class Speller:
                         after[x, y] = (s, word)
             best = after
         top = max(s + self.log[a][b][0] for (a, b), (s, _) in best.items())
-        return max(_spelt(w) for (a, b), (s, w) in best.items() if s + self.log[a][b][0] == top)
+        return max(_spelt(w) for (a, b), (s, w) in best.items() if s + self.log[a][b][0] == top), top
 
     def words(self, token: str) -> list[tuple[str, bool]]:
         """The words that a token holds, in lower case, and whether each was restored; restored ones have no accents."""
@@ -118,7 +131,10 @@ class Speller:
 #: Runs of symbols at a token's ends are decoration; a single one may stand for a letter.
 HEAD, TAIL = re.compile(r"^[^\w\s]{2,}"), re.compile(r"[^\w\s]{2,}$")
 LETTER, DOUBLE = re.compile(r"[a-z]"), re.compile(r"(.)\1")
-#: Single characters, maybe repeated, with separators between them.
+#: What can be read as a letter, what must be, and a letter three times in a row.
+HOLDS, STANDS, TRIPLE = re.compile(r"[a-z0-9@$!|+*]"), re.compile(r"[0-9@$!|+*._~'-]"), re.compile(r"([a-z])\1\1")
+#: A character with its repeats, and single characters, maybe repeated, with separators between them.
+RUNS = re.compile(r"(.)\1*", re.S)
 SPELT = re.compile(r"([^\W_]|[@$!|+])\1*(?:[._\-*~']+([^\W_]|[@$!|+])\2*){2,}")
 
 
@@ -142,17 +158,84 @@ class Lexicon:
         self.plain: dict[str, float] = {}
         for f, s in odds.items():
             self.plain[fold(f)] = max(s, self.plain.get(fold(f), 0.0))
-        self.longest = max((len(f) - 1 for f in self.plain if f[0] == "w"), default=0)
+        own = [f[1:] for f in self.plain if f[0] == "w" and f[1:].isascii()]
+        self.longest = max(map(len, own), default=0)
+        #: The trie of whole words: every beginning of one.
+        self.begun = {w[:k] for w in own for k in range(len(w) + 1)} | {""}
+        #: How a word must begin to have any feature: with one of four letters, or it is one of three.
+        self.starts = {f[1:5] for f in (*self.plain, *odds)}
+
+    def may_hit(self, word: str) -> bool:
+        """Whether a word of letters, with doubled ones read as one or two, can have a feature. Exact, and cheaper than the lattice."""
+        found = {""}
+        for m in RUNS.finditer(word):
+            found = {(f + add)[:4] for f in found for add in ((m[1],) if len(m[0]) == 1 else (m[1], m[1] * 2))}
+            if all(len(f) == 4 for f in found):
+                break
+        return not self.starts.isdisjoint(found) or word[:4] in self.starts
 
     def score(self, token: str) -> float:
-        found = max(((self.plain if restored else self.odds).get(f, 0.0) for w, restored in self.speller.words(token) for f in features(w)), default=0.0)
+        core = token.strip(PLAIN_EDGE)
+        if core.isalpha():
+            low = core.lower()
+            folded = fold(low)
+            if folded.isascii() and low[:4] not in self.starts and not self.may_hit(folded):
+                return 0.0
+        found = max(((self.plain if restored else self.odds).get(f, 0.0) for w, restored in self.words(token) for f in features(w)), default=0.0)
         core = token.lower().strip(EDGE)
         return max(found, self.spaced(core)) if SPELT.fullmatch(core) else found
 
+    def words(self, token: str) -> list[tuple[str, bool]]:
+        """The speller's words and the lexicon's reading of the token."""
+        out = self.speller.words(token)
+        low = token.lower()
+        for whole in dict.fromkeys((TAIL.sub("", HEAD.sub("", low)).strip(EDGE), low.strip(EDGE), low.strip(PLAIN_EDGE + "-_"))):
+            folded = fold(whole)
+            if len(folded) > 2 and (STANDS.search(folded) or TRIPLE.search(folded)) and (word := self.reading(folded)):
+                out.append((word, True))
+        return out
+
+    def _step(self, states: dict[str, float], m: re.Match) -> dict[str, float]:
+        """From beginnings of words and their costs to those after one more run of a character."""
+        after: dict[str, float] = {}
+        options = [("".join(chr(96 + k) for k in add), cost) for add, cost in self.speller._options(m[1], len(m[0]))]
+        for begun, cost in states.items():
+            for add, more in options:
+                word = begun + add
+                if word in self.begun and cost + more > after.get(word, -np.inf):
+                    after[word] = cost + more
+        return after
+
+    def reading(self, token: str) -> str | None:
+        """The word of the lexicon that a folded token stands for, if one is likelier than what the character model finds."""
+        states = {"": 0.0}
+        for m in RUNS.finditer(token):
+            states = self._step(states, m)
+            if not states:
+                return None
+        words = [(cost, w) for w, cost in states.items() if "w" + w in self.plain]
+        if not words:
+            return None
+        cost, word = max(words)
+        likeliest, score = self.speller.decoded(token)
+        return word if word == likeliest or cost + KNOWN_WORD >= score else None
+
     def spaced(self, letters: str) -> float:
         """A run of single characters may hold several words, so each part of it is looked up as a word."""
-        word = self.speller.decode(fold(letters))
-        return max((self.plain.get("w" + word[i : i + n], 0.0) for i in range(len(word)) for n in range(3, self.longest + 1) if i + n <= len(word)), default=0.0)
+        folded = fold(letters)
+        word = self.speller.decode(folded)
+        found = max((self.plain.get("w" + word[i : i + n], 0.0) for i in range(len(word)) for n in range(3, self.longest + 1) if i + n <= len(word)), default=0.0)
+        runs = list(RUNS.finditer(folded))
+        for first in range(len(runs)):
+            states = {"": 0.0}
+            for m in runs[first:]:
+                states = self._step(states, m)
+                if not states:
+                    break
+                found = max([found, *(self.plain.get("w" + w, 0.0) for w, cost in states.items() if len(w) > 3 and cost >= SPELT_LETTER * len(w))])
+                # what is still empty begins at the next character
+                states.pop("", None)
+        return found
 
     def scores(self, tokens: list[str]) -> np.ndarray:
         out = list(map(self.known.get, tokens))
@@ -178,8 +261,11 @@ def chunks(texts: pa.Array) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray,
 
 
 def spaced_runs(bounds: np.ndarray, index: np.ndarray, tokens: list[str]) -> list[tuple[int, str]]:
-    """(text, letters) for three or more single characters in a row; the last may carry a punctuation mark."""
-    single = np.array([len(t) == 1 for t in tokens], bool)[index] if tokens else np.zeros(0, bool)
+    """(text, letters) for three or more tokens of one character in a row, repeated or not; the last may carry a punctuation mark.
+
+    A repeated character is given three times, which the channel reads as one letter or two.
+    """
+    single = np.array([t != "" and t == t[0] * len(t) for t in tokens], bool)[index] if tokens else np.zeros(0, bool)
     out, doc = [], np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     three = np.flatnonzero(single[:-2] & single[1:-1] & single[2:] & (doc[:-2] == doc[2:])) if len(single) > 2 else []
     end = -1
@@ -190,8 +276,11 @@ def spaced_runs(bounds: np.ndarray, index: np.ndarray, tokens: list[str]) -> lis
         while end < len(index) and doc[end] == doc[i] and single[end]:
             end += 1
         tail = tokens[index[end]] if end < len(index) and doc[end] == doc[i] else ""
-        run = "".join(tokens[k] for k in index[i:end]) + (tail[0] if len(tail) == 2 and tail[1] in EDGE else "")
-        out.append((int(doc[i]), run))
+        last = tail[:-1] if len(tail) > 1 and tail[-1] in EDGE and tail[:-1] == tail[0] * (len(tail) - 1) else ""
+        own = [tokens[k] for k in index[i:end]] + [last]
+        run = "".join(t if len(t) < 2 else t[0] * 3 for t in own)
+        if HOLDS.search(fold(run.lower())):
+            out.append((int(doc[i]), run.lower()))
     return out
 
 
@@ -322,13 +411,24 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, doc_id:
     return Model(speller, _odds(kept, toxic, clean, (0, 1)), w)
 
 
+#: The lexicon of the model that this worker scores with; what it knows of tokens serves its next tasks too.
+_HELD: dict[str, Lexicon] = {}
+
+
+def _lexicon(key: str, model: Model) -> Lexicon:
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = Lexicon(model.speller, model.odds)
+    return _HELD[key]
+
+
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = (), text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``keep`` columns, score and predicted for each row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        lexicon = Lexicon(m.speller, m.odds)
+        lexicon = _lexicon(key, m)
         for batch in batches:
             p = m.probability(measured(batch.column(batch.num_columns - 1), [lexicon]))
             columns = [*batch.columns[:-1], pa.array(p), pa.array((p >= threshold).astype(np.int32))]
