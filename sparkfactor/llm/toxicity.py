@@ -189,7 +189,8 @@ class Lexicon:
         """The speller's words and the lexicon's reading of the token."""
         out = self.speller.words(token)
         low = token.lower()
-        for whole in dict.fromkeys((TAIL.sub("", HEAD.sub("", low)).strip(EDGE), low.strip(EDGE), low.strip(PLAIN_EDGE + "-_"))):
+        bare = TAIL.sub("", HEAD.sub("", low))
+        for whole in dict.fromkeys((bare.strip(EDGE), low.strip(EDGE), bare.strip(PLAIN_EDGE + "-_"))):
             folded = fold(whole)
             if len(folded) > 2 and (STANDS.search(folded) or TRIPLE.search(folded)) and (word := self.reading(folded)):
                 out.append((word, True))
