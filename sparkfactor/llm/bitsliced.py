@@ -7,8 +7,8 @@ added with carry-save adders, three bitmaps to a sum and a carry, many at a time
 scores of all rows of the block, sliced by bit. The k best rows are selected from the most significant slice down; rows that tie
 at the boundary are resolved by their id, and the scores of the selected rows are read back from the slices, so all is exact.
 
-Blocks of rows stay where they are: the queries come to them in groups of ``GROUP_BYTES`` at most, each broadcast for one pass over the
-index. A block's k best of a query are merged by rank.
+Rows are dealt to blocks and written once. The queries come to the blocks where they lie, in groups of ``GROUP_BYTES`` at most, each
+broadcast for one pass over the index without an exchange. A block's k best of a query are merged by rank.
 
 Defined cases: rows whose vector is null, empty, or holds a null or non-finite component, and rows without an id, take no part.
 Queries and rows of different length don't meet. Components may be of any size: values and scores beyond 64 bits are exact Python
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-BLOCK_ROWS, GROUP_BYTES, LONG = 1 << 15, 16 << 20, 1 << 63
+BLOCK_ROWS, LEAST_ROWS, GROUP_BYTES, LONG = 1 << 15, 1 << 10, 16 << 20, 1 << 63
 
 
 def quantised(vector: Column, scale: int = 256) -> Column:
@@ -184,7 +184,10 @@ def build_index(vectors: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
             yield block(dim)
 
     schema = pa.schema([("block", pa.int64()), ("dim", pa.int32()), ("n", pa.int32()), ("bits", pa.int32()), ("ids", pa.binary()), ("least", pa.string()), ("slices", pa.binary())])
-    n = max(1, -(-vectors.count() // block_rows))
+    count = vectors.count()
+    # smaller blocks where there are few, so that each task has its own
+    block_rows = min(block_rows, max(LEAST_ROWS, -(-count // (2 * vectors.sparkSession.sparkContext.defaultParallelism))))
+    n = max(1, -(-count // block_rows))
     kinds = "block long, dim int, n int, bits int, ids binary, least string, slices binary"
     return written(vectors.select("vec_id", "v").repartition(n).mapInArrow(run, kinds), "bit-slices")
 
@@ -192,11 +195,8 @@ def build_index(vectors: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
 def search(index: DataFrame, queries: DataFrame, k: int, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` best rows of the index for each query (query_id, v)."""
     spark = index.sparkSession
-    n_blocks, (n_queries, n_values) = index.count(), queries.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("v")), F.lit(0))).first()
+    n_queries, n_values = queries.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("v")), F.lit(0))).first()
     n_groups = max(1, -(-8 * (n_queries + n_values) // group_bytes))
-    # few blocks are met by several tasks, each with a part of the queries
-    parts = max(1, -(-2 * spark.sparkContext.defaultParallelism // max(1, n_blocks)))
-    blocks = index.select("*", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")).repartition(max(1, n_blocks * parts), "block", "part")
     dealt, found = queries.select("query_id", "v").withColumn("g", F.pmod(F.xxhash64("query_id"), F.lit(n_groups))), []
     for g in range(n_groups):
         asked = spark.sparkContext.broadcast([(r.query_id, np.array(r.v)) for r in dealt.where(F.col("g") == g).select("query_id", "v").collect()])
@@ -205,12 +205,12 @@ def search(index: DataFrame, queries: DataFrame, k: int, group_bytes: int = GROU
             for batch in batches:
                 for row in batch.to_pylist():
                     block = BitSlices.from_row(row["dim"], row["bits"], row["ids"], row["least"], row["slices"])
-                    best = [(q, i, s) for q, v in asked.value[row["part"] :: parts] if len(v) == row["dim"] for i, s in block.top(integers([v])[0], k, q)]
+                    best = [(q, i, s) for q, v in asked.value if len(v) == row["dim"] for i, s in block.top(integers([v])[0], k, q)]
                     q, i, s = zip(*best, strict=True) if best else ((), (), ())
                     scores = pa.array([max(-LONG, min(LONG - 1, x)) for x in s], pa.int64())
                     yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(i, pa.int64()), scores, pa.array(map(order_key, s), pa.binary())], names=["query_id", "vec_id", "score", "key"])
 
-        found.append(written(blocks.mapInArrow(run, "query_id long, vec_id long, score long, key binary"), "near"))
+        found.append(written(index.mapInArrow(run, "query_id long, vec_id long, score long, key binary"), "near"))
         asked.unpersist()
     best = W.partitionBy("query_id").orderBy(F.desc("key"), "vec_id")
     return reduce(DataFrame.union, found).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -11,8 +11,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sparkfactor.llm import chat
+from sparkfactor.llm import bitsliced, chat
 from sparkfactor.llm.bitsliced import BitSlices, build_index, digits, order_key, search, usable
+from sparkfactor.llm.common import written
 
 CODES = {"system": 1, "user": 2, "assistant": 3}
 
@@ -136,6 +137,22 @@ def test_search(spark):
     assert search(build_index(rows.limit(0)), asked, 5).count() == search(build_index(rows), asked.limit(0), 5).count() == 0
 
 
+def test_index_is_dealt_once(spark, monkeypatch):
+    """No group of queries shuffles the index again."""
+    plans = []
+
+    def seen(df, name):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return written(df, name)
+
+    rows = usable(spark.createDataFrame([(i, [math.sin(i), math.cos(i)]) for i in range(200)], "vec_id long, embedding array<double>"))
+    index = build_index(rows, block_rows=50)
+    monkeypatch.setattr(bitsliced, "written", seen)
+    assert search(index, rows.select(F.col("vec_id").alias("query_id"), "v"), 2, group_bytes=1000).count() == 400
+    near = [p for n, p in plans if n == "near"]
+    assert len(near) > 3 and not any("Exchange" in p for p in near)
+
+
 def test_order_of_scores():
     scores = sorted([0, 1, -1, 255, 256, -255, -256, 1 << 63, -(1 << 63), 10**40, -(10**40)])
     assert sorted(scores, key=order_key) == scores
