@@ -30,7 +30,11 @@ def cs_rank(df: DataFrame, v: str, out: str, scope: Scope) -> DataFrame:
     if scope.kind == "panel":
         w = W.partitionBy(scope.date)
         return df.withColumn(out, F.row_number().over(w.orderBy(v, scope.order)) / F.count(F.lit(1)).over(w))
-    return average_ranks(df, {v: out}, scope)
+    n, copies = df.agg(F.count(F.lit(1)), F.count(F.when(F.col(HALO), 1))).first() if HALO in df.columns else (df.count(), 0)
+    if copies:
+        return average_ranks(df, {v: out}, scope)
+    # no row stands twice, so rows are numbered where they are
+    return positions(df, [v, scope.order], "_pos").withColumn(out, F.col("_pos") / F.lit(n)).drop("_pos")
 
 
 def average_ranks(df: DataFrame, signals: dict[str, str], scope: Scope, mean: str | None = None) -> DataFrame:

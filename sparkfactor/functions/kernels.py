@@ -41,6 +41,44 @@ BINARY = {
 }
 
 
+#: Values of windows that are laid out at once.
+LAID_OUT = 1 << 22
+
+
+def _in_runs(f):
+    """``f`` over runs of windows, so that what it lays out stays bounded whatever the window."""
+
+    def op(w):
+        step = max(1, LAID_OUT // w.shape[1])
+        return np.concatenate([f(w[k : k + step]) for k in range(0, len(w), step)])
+
+    return op
+
+
+def _weighted(v, d):
+    """The linearly weighted mean by one convolution."""
+    out = np.zeros(len(v))
+    if d <= len(v):
+        with np.errstate(all="ignore"):
+            out[d - 1 :] = np.convolve(np.asarray(v, float), np.arange(d, 0, -1.0), "valid") / (d * (d + 1) / 2)
+    return out
+
+
+def _extreme(f):
+    """Running maxima or minima of windows in a few passes over the rows: each window is the end of one block of ``d`` rows and the beginning of the next."""
+
+    def op(v, d):
+        out = np.zeros(len(v))
+        if d <= len(v):
+            x = np.asarray(v, float)
+            x = np.concatenate([x, np.repeat(x[-1:], -len(x) % d)]).reshape(-1, d)
+            ahead, behind = f.accumulate(x, axis=1).ravel(), f.accumulate(x[:, ::-1], axis=1)[:, ::-1].ravel()
+            out[d - 1 :] = f(behind[: len(v) - d + 1], ahead[d - 1 : len(v)])
+        return out
+
+    return op
+
+
 def _rolled(f):
     """``f`` of the windows' matrix, behind zeros for the rows without a full window."""
 
@@ -83,11 +121,11 @@ TS_UNARY = {
     "ts_delta": _delta,
     "ts_mean": _rolled(lambda w: w.mean(1)),
     "ts_stddev": _rolled(_std),
-    "ts_rank": _rolled(lambda w: (w <= w[:, -1:]).mean(1)),
-    "ts_max": _rolled(lambda w: w.max(1)),
-    "ts_min": _rolled(lambda w: w.min(1)),
+    "ts_rank": _rolled(_in_runs(lambda w: (w <= w[:, -1:]).mean(1))),
+    "ts_max": _extreme(np.maximum),
+    "ts_min": _extreme(np.minimum),
     "ts_sum": _rolled(lambda w: w.sum(1)),
-    "decay": _rolled(lambda w: w @ np.arange(1.0, w.shape[1] + 1) / (w.shape[1] * (w.shape[1] + 1) / 2)),
+    "decay": _weighted,
 }
 TS_BINARY = {"ts_corr": _rolled(_corr), "ts_cov": _rolled(_cov)}
 

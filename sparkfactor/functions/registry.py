@@ -12,12 +12,18 @@ TIERS = ("unary", "binary", "ts_unary", "ts_binary", "cs")
 
 @dataclass(frozen=True)
 class OpSpec:
-    """``column``: f(*columns) for element-wise, f(*columns, d, scope) for rolling, f(df, name, out, scope) for cross-sections."""
+    """``column``: f(*columns) for element-wise, f(*columns, d, scope) for rolling, f(df, name, out, scope) for cross-sections.
+
+    Element-wise and rolling operators may have a kernel alone; then the kernel runs over Arrow batches. ``most_window``: beyond this window the
+    kernel takes the place of a Column form whose plan grows with the window. ``searched``: whether the search draws it by default.
+    """
 
     name: str
     tier: str
     kernel: Callable
-    column: Callable
+    column: Callable | None
+    most_window: int | None = None
+    searched: bool = True
 
     @property
     def arity(self) -> int:
@@ -31,6 +37,10 @@ class OpSpec:
     def elementwise(self) -> bool:
         return self.tier in ("unary", "binary")
 
+    def by_kernel(self, window: int | None) -> bool:
+        """Whether the compiler runs the kernel in a stage of its own."""
+        return self.column is None or (self.most_window is not None and window is not None and window > self.most_window)
+
     @property
     def financial(self) -> bool:
         return not self.elementwise
@@ -39,13 +49,18 @@ class OpSpec:
 OPS: dict[str, OpSpec] = {}
 
 
-def register_op(name: str, tier: str, kernel: Callable, column: Callable) -> OpSpec:
-    """Adds an operator for trees, kernels and Columns; a name can't be taken twice."""
+def register_op(name: str, tier: str, kernel: Callable, column: Callable | None = None, most_window: int | None = None, searched: bool = True) -> OpSpec:
+    """Adds an operator for trees, kernels and Columns; a name can't be taken twice. A cross-section needs a Column form.
+
+    A kernel takes arrays of a series in order (and the window) and gives one value a row. A rolling one may look back window rows at most.
+    """
     if tier not in TIERS:
         raise ValueError(f"unknown tier {tier}")
     if name in OPS:
         raise ValueError(f"operator {name} exists")
-    OPS[name] = OpSpec(name, tier, kernel, column)
+    if column is None and tier == "cs":
+        raise ValueError("a cross-sectional operator needs a Column form")
+    OPS[name] = OpSpec(name, tier, kernel, column, most_window, searched)
     return OPS[name]
 
 
@@ -57,7 +72,7 @@ for _tier, _kernels, _module in (
     ("cs", kernels.CROSS, cross_section),
 ):
     for _name, _kernel in _kernels.items():
-        register_op(_name, _tier, _kernel, getattr(_module, "absolute" if _name == "abs" else _name))
+        register_op(_name, _tier, _kernel, getattr(_module, "absolute" if _name == "abs" else _name), rolling.MOST_LAGS if _name in ("ts_rank", "decay") else None)
 
 
 def lookup(name: str) -> OpSpec:
@@ -76,4 +91,4 @@ def validate_ops(names: list[str], tier: str | None = None) -> list[str]:
 
 
 def names(tier: str) -> list[str]:
-    return [o.name for o in OPS.values() if o.tier == tier]
+    return [o.name for o in OPS.values() if o.tier == tier and o.searched]

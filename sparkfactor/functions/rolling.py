@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from .scope import Scope
 
+#: ``ts_rank`` and ``decay`` take a lag column for each row of the window up to this window; wider ones run by their kernels.
+MOST_LAGS = 32
+
 
 def _full(scope: Scope, d: int, value: Column) -> Column:
     return F.when(scope.number() >= d, value).otherwise(F.lit(0.0))

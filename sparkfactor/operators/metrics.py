@@ -76,9 +76,9 @@ def rolling_rank_ic(df: DataFrame, n_periods: int, f: str = "f", y: str = "y", o
     df = written(df.select(order, f, y), "signal")
     if n_periods < 2 or df.count() // n_periods < 2:
         return df.limit(0).select(F.lit(0).cast("long").alias("period"), F.lit(0.0).alias("rank_ic"))
-    cut = periods(df, n_periods, order).select("period", f, y)
-    ranked = tied_ranks(tied_ranks(cut, f, "_rf", ["period"]), y, "_ry", ["period"])
-    return ranked.groupBy("period").agg(guarded_corr(F.col("_rf"), F.col("_ry")).alias("rank_ic"))
+    cut = written(periods(df, n_periods, order).select(F.col("period").cast("string").alias("period"), f, y), "periods")
+    ranked = grouped_tied_ranks(grouped_tied_ranks(cut, "period", f, "_rf"), "period", y, "_ry")
+    return ranked.groupBy(F.col("period").cast("long").alias("period")).agg(guarded_corr(F.col("_rf"), F.col("_ry")).alias("rank_ic"))
 
 
 def icir(df: DataFrame, n_periods: int, f: str = "f", y: str = "y", order: str = "row_id") -> DataFrame:

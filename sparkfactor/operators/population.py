@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..sources.shared import written
+from ..functions.ranking import positions
+from ..sources.shared import discard, written
 
 
 
@@ -16,6 +17,13 @@ def fitness(weights, novelty_weight: float, parsimony: float) -> Column:
     return F.when(F.isnan(value) | (F.abs(value) == float("inf")) | value.isNull(), F.lit(float("-inf"))).otherwise(value)
 
 
+def novelty_weight(generation: Column, weight: float, n_generations: int) -> Column:
+    """The novelty bonus's weight as a column: constant up to three quarters of the run, then linear to 0."""
+    start = int(0.75 * n_generations)
+    left = F.greatest(F.lit(0.0), 1 - (generation - start) / F.lit(float(max(1, n_generations - start))))
+    return F.when(generation <= start, F.lit(weight)).otherwise(weight * left)
+
+
 def fingerprint_rows(panel: DataFrame, size: int, order: str = "row_id") -> DataFrame:
     """The ``size`` rows (place from 0, order) of least MD5 of their number: the fixed rows that all fingerprints are taken on."""
     chosen = panel.select(order, F.md5(F.col(order).cast("string").cast("binary")).alias("__m")).orderBy("__m").limit(size)
@@ -64,8 +72,8 @@ def islands(population: DataFrame, n_islands: int, order: str = "ind_id") -> Dat
     n = population.count()
     if n % n_islands:
         raise ValueError("the population doesn't divide by the islands")
-    place = F.row_number().over(W.orderBy(order)) - 1
-    return population.withColumn("island", (F.floor(place / (n // n_islands)) + 1).cast("int"))
+    placed = positions(population, [order], "_pos")
+    return placed.withColumn("island", (F.floor((F.col("_pos") - 1) / (n // n_islands)) + 1).cast("int")).drop("_pos")
 
 
 def migration_targets(n: int, topology: str, rng=None) -> list[int]:
@@ -89,7 +97,7 @@ def migrate(population: DataFrame, targets: list[int], m: int) -> DataFrame:
     """
     spark = population.sparkSession
     now = population.select("island", F.row_number().over(W.partitionBy("island").orderBy("ind_id")).alias("slot"), "ind_id", "fitness", F.col("island").cast("int").alias("origin"))
-    now = written(now, "before-migration")
+    now = start = written(now, "before-migration")
     best = F.row_number().over(W.partitionBy("island").orderBy(F.desc("fitness"), "slot"))
     sent = now.withColumn("place", best).where(F.col("place") <= m).select(F.col("island").alias("source"), "place", F.col("ind_id").alias("new_id"), F.col("fitness").alias("new_fitness"))
     rounds: list[dict[int, int]] = []
@@ -103,5 +111,7 @@ def migrate(population: DataFrame, targets: list[int], m: int) -> DataFrame:
         coming = sent.join(route, "source").select("target", "place", "new_id", "new_fitness", "source")
         worst = now.withColumn("worst", F.row_number().over(W.partitionBy("island").orderBy("fitness", "slot")))
         both = worst.join(coming, (F.col("island") == F.col("target")) & (F.col("worst") == F.col("place")), "left")
-        now = both.select("island", "slot", F.coalesce("new_id", "ind_id").alias("ind_id"), F.coalesce("new_fitness", "fitness").alias("fitness"), F.coalesce("source", "origin").cast("int").alias("origin"))
+        before, now = now, written(both.select("island", "slot", F.coalesce("new_id", "ind_id").alias("ind_id"), F.coalesce("new_fitness", "fitness").alias("fitness"), F.coalesce("source", "origin").cast("int").alias("origin")), "migrated")
+        if before is not start:
+            discard(before)
     return now.drop("slot")

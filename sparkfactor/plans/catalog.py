@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.registry import OPS
+from ..functions.registry import OPS, register_op
 from ..functions.ranking import grouped_tied_ranks, tied_ranks
 from ..functions.scope import GLOBAL, Scope
 from ..operators import archive, fronts, metrics, neighbours, population
@@ -123,6 +124,56 @@ for _op in OPS.values():
             add(_op.name + _suffix, _tree_query(_tree, _scope), _sql(f"({_expr}) * 1000.0" if _scale else _expr))
 
 
+# powers of 0, to negative exponents as well: infinite, and NaN with a sign
+for _name in ("safe_pow", "signed_power"):
+    _x, _y = "(x3 - 12)", "((x2 - 50) * 0.02)"
+    add(f"{_name}_of_zero", _tree_query(parse(f"{_name}(safe_sub(x3, 12.0), safe_mul(safe_sub(x2, 50.0), 0.02))"), GLOBAL), _sql(ELEMENT_SQL[_name].format(x=_x, y=_y)))
+
+#: A window as long as a year of trading days, in plans that don't grow with it.
+WIDE = 250
+
+
+def wide_sql(op: str, d: int, part: str) -> str:
+    """``decay`` without a lag for each row of the window; the others as for any window."""
+    if op != "decay":
+        return rolling_sql(op, "x1", "x1", d, part)
+    frame = f"({part} order by row_id rows between {d - 1} preceding and current row)"
+    return f"case when row_number() over ({part} order by row_id) < {d} then 0.0 else list_sum(list_transform(list(x1) over {frame}, lambda v, i: v * i)) / {d * (d + 1) / 2} end"
+
+
+for _name in ("ts_rank", "decay", "ts_max", "ts_min"):
+    add(f"{_name}_{WIDE}", _tree_query(call(_name, variable(1), window=WIDE), GLOBAL), _sql(wide_sql(_name, WIDE, "")))
+for _name in ("ts_rank", "decay"):
+    add(f"{_name}_40_panel", _tree_query(call(_name, variable(1), window=40), BY_DAY), _sql(wide_sql(_name, 40, "partition by asset")))
+
+
+def median_kernel(v: np.ndarray, d: int) -> np.ndarray:
+    """An operator as a user adds one, with a kernel alone: the median of the last ``d`` rows, 0 before there are so many."""
+    out = np.zeros(len(v))
+    if d <= len(v):
+        out[d - 1 :] = np.median(np.lib.stride_tricks.sliding_window_view(v, d), axis=1)
+    return out
+
+
+def _added_op(scope: Scope):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        if "ts_median" not in OPS:
+            register_op("ts_median", "ts_unary", median_kernel, searched=False)
+        return _tree_query(parse("safe_sub(ts_mean(x1, d=3), ts_median(ts_delta(x1, d=2), d=15))"), scope)(spark, sf_dir)
+
+    return run
+
+
+def _median_sql(part: str) -> str:
+    delta = f"(select *, {rolling_sql('ts_delta', 'x1', '', 2, part)} as m from panel)"
+    middle = f"case when row_number() over ({part} order by row_id) < 15 then 0.0 else median(m) over ({part} order by row_id rows between 14 preceding and current row) end"
+    return f"with {PANEL} select row_id, round({rolling_sql('ts_mean', 'x1', '', 3, part)} - {middle}, 6) as f from {delta}"
+
+
+add("added_op", _added_op(GLOBAL), _median_sql(""))
+add("added_op_panel", _added_op(BY_DAY), _median_sql("partition by asset"))
+
+
 # ---- metrics over a signal and the five-step target ----------------------------------------------------------------------------
 
 _MEAN = rolling_sql("ts_mean", "x1", "x1", WINDOW, "")
@@ -527,13 +578,14 @@ add("fitness", fitness_query, f"select ind_id, round(0.3 * pps + 0.3 * rre + 0.3
 
 
 def schedule_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The novelty weight 0.3 over 100 generations."""
-    from ..operators.scores import novelty_weight
-
-    return spark.createDataFrame([(g, round(novelty_weight(0.3, g, 100), 6)) for g in range(1, 101)], "generation int, weight double")
+    """Every part as a member of one of 110 generations, the last ten behind the planned end: its novelty bonus of weight 0.3."""
+    part, generation = spark.read.parquet(f"{sf_dir}/part.parquet"), F.col("p_partkey") % 110 + 1
+    weight = population.novelty_weight(generation, 0.3, 100)
+    return part.select(F.col("p_partkey").alias("ind_id"), generation.alias("generation"), F.round(weight, 6).alias("weight"), F.round(weight * F.col("p_retailprice") / 500, 6).alias("bonus"))
 
 
-add("novelty_schedule", schedule_query, "select cast(g as integer) as generation, round(case when g <= 75 then 0.3 else 0.3 * greatest(0, 1 - (g - 75) / 25.0) end, 6)::double as weight from range(1, 101) t(g)")
+_WEIGHT = "case when g <= 75 then 0.3 else 0.3 * greatest(0, 1 - (g - 75) / 25.0) end"
+add("novelty_schedule", schedule_query, f"select ind_id, g as generation, round({_WEIGHT}, 6)::double as weight, round({_WEIGHT} * price / 500, 6)::double as bonus from (select p_partkey as ind_id, p_partkey % 110 + 1 as g, p_retailprice as price from part)")
 
 
 def fingerprint_query(spark: SparkSession, sf_dir: str) -> DataFrame:
