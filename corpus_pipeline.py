@@ -11,22 +11,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkfactor.llm import langid, neardup, packing, quality
-from sparkfactor.llm.common import crc32_of_id, table, written
+from sparkfactor.llm.common import broadcast_if_small, crc32_of_id, table, written
 from sparkfactor.llm.queries import tokenizer_file
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A document whose language is less certain than this is rejected.
 LEAST_CERTAIN = 0.5
+#: Up to so many ids of documents that go, some 16 MB, are broadcast.
+BROADCAST_IDS = 1_000_000
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that pass the base test and that the weak-supervision posterior finds good."""
+    """Keeps the documents that pass the base test and that the weak-supervision posterior finds good.
+
+    A null, empty or wordless text fails the base test and goes. Texts of any length are judged whole, row by row, so rows that share a
+    doc_id, or have none, are judged apart. An empty table stays empty.
+    """
     docs = docs.select(*COLUMNS)
     return quality.judge(written(quality.measures(docs, keep=COLUMNS[1:]), "measures")).where("kept").select(*COLUMNS)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents whose language is known with some certainty. Learns from documents of this input that aren't held out."""
+    """Keeps the documents whose language is known with some certainty. Learns from documents of this input that aren't held out.
+
+    A null text, or one without a letter, has no language and goes. Rows without doc_id or lang aren't learned from, but are judged. Texts of any length are
+    judged whole. An empty table stays empty.
+    """
     docs = docs.select(*COLUMNS)
     model = langid.fit(docs.where(F.coalesce(crc32_of_id(F.col("doc_id")) % 3 != 1, F.lit(False))))
     named = langid.predict(docs, model, COLUMNS)
@@ -36,21 +46,31 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of least doc_id of each class of near copies, over 5-word shingles at similarity 0.8.
 
-    Rows without doc_id or without a word stay. Where a doc_id comes with several texts each is judged by its own; of rows that share
+    Rows without doc_id or without a word stay, null and empty texts among them. Texts of any length are compared whole, and an empty table
+    stays empty. Where a doc_id comes with several texts each is judged by its own; of rows that share
     doc_id and shingles one stays, the least.
     """
     docs = docs.select(*COLUMNS)
-    kept = written(neardup.classes(docs, shingle=5, percent=80).where("kept and doc_id is not null").select("doc_id", "print").distinct(), "kept")
-    repeated = written(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "repeated")
-    once = docs.join(kept, "doc_id", "left_semi").join(repeated, "doc_id", "left_anti")
-    several = neardup.printed(docs.join(repeated, "doc_id", "left_semi"), shingle=5)
+    named = docs.where("doc_id is not null")
+    judged = written(neardup.classes(named, shingle=5, percent=80).select("doc_id", "print", "kept"), "judged")
+    repeated = written(judged.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "repeated")
+    # the documents that go are few, so that mostly their ids go to the texts and no text is shuffled
+    gone = written(judged.where("not kept").select("doc_id").union(repeated).distinct(), "gone")
+    once = named.join(broadcast_if_small(gone, BROADCAST_IDS), "doc_id", "left_anti")
+    again = broadcast_if_small(repeated)
+    several = neardup.printed(named.join(again, "doc_id", "left_semi"), shingle=5)
+    kept = judged.where("kept").join(again, "doc_id", "left_semi").select("doc_id", "print").distinct()
     least = several.join(kept, ["doc_id", "print"], "left_semi").groupBy("doc_id", "print").agg(F.min(F.struct(*COLUMNS[1:])).alias("r")).select("doc_id", "r.*")
     wordless = several.where("print is null").select(*COLUMNS)
-    return once.union(least).union(wordless).union(docs.where("doc_id is null")).select(*COLUMNS)
+    return once.select(*COLUMNS).union(least.select(*COLUMNS)).union(wordless).union(docs.where("doc_id is null"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into sequences of 2048 tokens; a row for each piece."""
+    """Packs what is left into sequences of 2048 tokens; a row for each piece.
+
+    A null or empty text is its end token alone; a text of more than 2048 tokens is cut. Rows with one doc_id, or none, are documents of their
+    own. An empty table gives no rows.
+    """
     return packing.pack(docs.select(*COLUMNS), tokenizer_file("word_bpe_49k.json"), end_id=0, max_len=2048)
 
 
