@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from ..functions.registry import OPS, register_op
 from ..functions.ranking import grouped_tied_ranks, tied_ranks
 from ..functions.scope import GLOBAL, Scope
-from ..operators import archive, fronts, metrics, neighbours, population
+from ..config import GPConfig
+from ..operators import archive, forest, fronts, metrics, neighbours, population
 from ..operators.combine import combine
 from ..sources.panel import date_cutoff, date_split, drop_missing, events_panel, forward_target, stack_assets, with_row_id
 from ..sources.shared import written
@@ -717,9 +718,105 @@ select i, round(0.3 * ic + 0.7 * rank_ic, 4) as pps, round(ic, 4) as ic, round(r
 )
 
 
+# ---- trees as rows ---------------------------------------------------------------------------------------------------------------
+
+#: A tree for every part; its key says how deep it may be and whether it grows. The defaults of a search draw from all operators.
+_FOREST_CFG, _FOREST_SEED = GPConfig(min_depth=1, max_depth=4), 7
+_ROOTS = "select p_partkey as tree, cast(p_partkey % 5 as int) as max_depth, p_partkey % 2 = 0 as grow from part"
+
+
+def _forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("p_partkey")
+    roots = spark.read.parquet(f"{sf_dir}/part.parquet").select(key.alias("tree"), (key % 5).cast("int").alias("max_depth"), (key % 2 == 0).alias("grow"))
+    return forest.random_trees(roots, _FOREST_CFG, len(FEATURES), _FOREST_SEED, _FOREST_CFG.max_depth)
+
+
+def _quoted(values) -> str:
+    return f"[{', '.join(repr(v) for v in values)}]"
+
+
+def _draw_sql(key: str) -> str:
+    return f"((('0x' || substr(md5({key}), 1, 13))::bigint + 0.5) / {1 << 52}::double)"
+
+
+def _gauss_sql(key: str) -> str:
+    u = [f"((('0x' || substr(md5({key}), {at}, 13))::bigint + 0.5) / {1 << 52}::double)" for at in (1, 14)]
+    return f"sqrt(-2 * ln({u[0]})) * cos(2 * pi() * {u[1]})"
+
+
+def _forest_sql() -> str:
+    """``nodes`` as ``forest.random_trees`` draws them; used in a WITH RECURSIVE list."""
+    c = _FOREST_CFG
+    u = lambda what: _draw_sql(f"'{_FOREST_SEED}-' || tree || '-' || path || '-{what}'")
+    pick = lambda values, what: f"({_quoted(values)})[cast(floor({u(what)} * {len(values)}) as int) + 1]"
+    elementary, financial = [*c.unary_ops, *c.binary_ops], [*c.ts_unary_ops, *c.ts_binary_ops, *c.cs_ops]
+    two, rolling_ops = [o for o in (*elementary, *financial) if OPS[o].arity == 2], [o for o in financial if OPS[o].rolling]
+    leaf = f"(max_depth <= depth or (depth >= {c.min_depth} and grow and {u('leaf')} < 0.5))"
+    op = f"case when {leaf} then null when {u('kind')} < {c.fin_op_prob} then {pick(financial, 'op')} else {pick(elementary, 'op')} end"
+    value = _gauss_sql(f"'{_FOREST_SEED}-' || tree || '-' || path || '-value'")
+    return f"""drawn(tree, max_depth, grow, path, depth, op) as (
+  select *, {op} from (select tree, max_depth, grow, '' as path, 0 as depth from ({_ROOTS}))
+  union all select *, {op} from (select tree, max_depth, grow, path || c as path, depth + 1 as depth from drawn, (values ('0'), ('1')) cs(c) where op is not null and (c = '0' or list_contains({_quoted(two)}, op)))),
+nodes as (select tree, path, depth, op, case when list_contains({_quoted(rolling_ops)}, op) then {pick(c.ts_windows, "window")} end as "window",
+  case when op is null and {u("constant")} >= {c.const_prob} then cast(floor({u("feature")} * {len(FEATURES)}) as int) + 1 end as feature,
+  case when op is null and {u("constant")} < {c.const_prob} then {value} end as value from drawn),
+held as (select *, row_number() over (partition by tree order by path) - 1 as pos from nodes),
+iv as (select h.*, s.size, s.high - h.depth as height from held h join (select a.tree, a.path, count(*) as size, max(b.depth) as high from held a join held b on a.tree = b.tree and starts_with(b.path, a.path) group by all) s using (tree, path))"""
+
+
+def _shown(df: DataFrame, *more: str) -> DataFrame:
+    return df.select("tree", "path", "depth", "op", "window", "feature", F.round("value", 6).alias("value"), *more)
+
+
+_SHOWN = "tree, path, depth, op, \"window\", feature, round(value, 6) as value"
+add("random_forest_trees", lambda s, d: _shown(_forest(s, d)), f"with recursive {_forest_sql()} select {_SHOWN} from nodes")
+add(
+    "tree_intervals",
+    lambda s, d: forest.intervals(_forest(s, d)).select("tree", "pos", "depth", "size", "height", "op"),
+    f"with recursive {_forest_sql()} select tree, pos, depth, size, height, op from iv",
+)
+
+
+def crossover_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every odd part's tree crossed with its successor's."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey")
+    pairs = part.where("p_partkey % 2 = 1").select(F.col("p_partkey").alias("a"), (F.col("p_partkey") + 1).alias("b")).join(part.select(F.col("p_partkey").alias("b")), "b")
+    return _shown(forest.crossover(written(_forest(spark, sf_dir), "forest"), pairs.select("a", "b"), _FOREST_CFG.max_depth, _FOREST_SEED))
+
+
+_TRY = lambda side: _draw_sql(f"'{_FOREST_SEED}-' || a || '-' || b || '-' || nth || '-{side}'")
+add(
+    "crossover_pairs",
+    crossover_query,
+    f"""with recursive {_forest_sql()},
+pairs as (select o.p_partkey as a, e.p_partkey as b from part o join part e on e.p_partkey = o.p_partkey + 1 where o.p_partkey % 2 = 1),
+sized as (select a, b, x.size as size_a, y.size as size_b, unnest([1, 2, 3]) as nth from pairs join iv x on x.tree = a and x.path = '' join iv y on y.tree = b and y.path = ''),
+tries as (select *, cast(floor({_TRY("a")} * size_a) as bigint) as pos_a, cast(floor({_TRY("b")} * size_b) as bigint) as pos_b from sized),
+fit as (select a, b, nth, x.path as at_a, y.path as at_b from tries join iv x on x.tree = a and x.pos = pos_a join iv y on y.tree = b and y.pos = pos_b
+  where x.depth + y.height <= {_FOREST_CFG.max_depth} and y.depth + x.height <= {_FOREST_CFG.max_depth} qualify row_number() over (partition by a, b order by nth) = 1),
+sp as (select a as tree, at_a as at, b as donor, at_b as donor_at from fit union all select b, at_b, a, at_a from fit),
+new as (select n.tree, n.path, n.op, n."window", n.feature, n.value from nodes n left join sp on sp.tree = n.tree where sp.at is null or not starts_with(n.path, sp.at)
+  union all select sp.tree, sp.at || substr(n.path, len(sp.donor_at) + 1), n.op, n."window", n.feature, n.value from nodes n join sp on sp.donor = n.tree where starts_with(n.path, sp.donor_at))
+select tree, path, cast(len(path) as integer) as depth, op, "window", feature, round(value, 6) as value from new""",
+)
+_WHAT = _draw_sql(f"'{_FOREST_SEED}-' || tree || '-what'")
+_POOLS = ([*_FOREST_CFG.unary_ops, *_FOREST_CFG.cs_ops], list(_FOREST_CFG.binary_ops), list(_FOREST_CFG.ts_unary_ops), list(_FOREST_CFG.ts_binary_ops))
+_OTHER_OP = " ".join(f"when list_contains({_quoted(p)}, op) then list_filter({_quoted(p)}, lambda o: o <> op)[cast(floor({_WHAT} * {len(p) - 1}) as int) + 1]" for p in _POOLS)
+_OTHER = f"(cast(floor({_WHAT} * {len(FEATURES) - 1}) as int) + 1)"
+_STEP = _gauss_sql(f"'{_FOREST_SEED}-' || tree || '-step'")
+add(
+    "point_mutation",
+    lambda s, d: _shown(forest.point_mutation(written(_forest(s, d), "forest"), _FOREST_CFG, len(FEATURES), _FOREST_SEED)),
+    f"""with recursive {_forest_sql()},
+hits as (select tree, cast(floor({_draw_sql(f"'{_FOREST_SEED}-' || tree || '-node'")} * size) as bigint) as hit from iv where path = '')
+select tree, path, depth, case when pos = hit and op is not null then case {_OTHER_OP} end else op end as op, "window",
+  case when pos = hit and feature is not null then {_OTHER} + cast({_OTHER} >= feature as int) else feature end as feature,
+  round(case when pos = hit then value + 0.1 * ({_STEP}) else value end, 6) as value from iv join hits using (tree)""",
+)
+
+
 def gp_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The front of a small search over the whole events panel; the last generation follows PFS, constant tuning and a migration."""
-    from ..config import GPConfig
     from ..operators.engine import panel_matrix, run_gp
 
     panel = forward_target(events_panel(spark, sf_dir), 5, close="x1", target="simple_return")
