@@ -32,6 +32,7 @@ from ..sources.shared import discard, written
 from .genetic import Individual
 from .metrics import LEAST_SD
 from .population import fitness
+from .scores import simplex
 
 BLOCK_ROWS = 100_000
 BETA, BINS = 0.3, 10
@@ -242,3 +243,34 @@ def population_scores(panel: DataFrame, individuals: list[Individual], features:
 def _with_fitness(scores: DataFrame, weights: FitnessWeights | None, parsimony: float) -> DataFrame:
     own = scores.withColumns({"pfs": F.lit(0.0), "novelty": F.lit(0.0)})
     return own.withColumn("fitness", fitness(weights or FitnessWeights(), 0.0, parsimony)).drop("pfs", "novelty")
+
+
+def tuned_constants(panel: DataFrame, trees: list[Node], features: list[str], y: str = "y", order: str = "row_id", most: int = 200, block_rows: int = BLOCK_ROWS) -> list[Node]:
+    """The trees with the constants that Nelder-Mead finds best by pps on the whole panel; a tree without any, or where none are better, stays.
+
+    All simplexes step together: one round asks for the points of all of them, and one evaluation of the population answers. Those that
+    have ended ask for nothing more, so the rounds are those of the longest.
+    """
+
+    def losses(own: list[Node]) -> list[float]:
+        found = population_scores(panel, [Individual((t,), (1.0,), "weighted_sum") for t in own], features, y, order, block_rows=block_rows)
+        return [-r.pps for r in found.select("i", "pps").orderBy("i").collect()]
+
+    running = {k: simplex(np.array(t.constants()), most) for k, t in enumerate(trees) if t.constants()}
+    before = dict(zip(running, losses([trees[k] for k in running]) if running else [], strict=True))
+    asked, best = {k: next(s) for k, s in running.items()}, dict(enumerate(trees))
+    while asked:
+        points = [(k, p) for k, own in asked.items() for p in own]
+        values = losses([trees[k].with_constants(p.tolist()) for k, p in points])
+        answers: dict[int, list[float]] = {}
+        for (k, _), v in zip(points, values, strict=True):
+            answers.setdefault(k, []).append(v)
+        for k, own in answers.items():
+            try:
+                asked[k] = running[k].send(own)
+            except StopIteration as done:
+                del asked[k]
+                point, value = done.value
+                if np.isfinite(point).all() and value < before[k]:
+                    best[k] = trees[k].with_constants(point.tolist())
+    return [best[k] for k in range(len(trees))]

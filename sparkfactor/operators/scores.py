@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Generator
+
 import numpy as np
 
 from ..functions.kernels import CROSS, tied_rank
@@ -87,34 +89,45 @@ def novelty_weight(weight: float, generation: int, n_generations: int) -> float:
     return weight * max(0.0, 1 - (generation - start) / max(1, n_generations - start))
 
 
-def nelder_mead(f, start: np.ndarray, most: int = 200, x_tol: float = 1e-5, f_tol: float = 1e-6) -> tuple[np.ndarray, float]:
-    """The simplex method of Nelder and Mead (1965)."""
+def simplex(start: np.ndarray, most: int = 200, x_tol: float = 1e-5, f_tol: float = 1e-6) -> Generator[list[np.ndarray], list[float], tuple[np.ndarray, float]]:
+    """The simplex method of Nelder and Mead (1965): yields points, is sent their values, and returns the best point and its value."""
     n = len(start)
-    simplex = [np.array(start, float)] + [np.array(start, float) + (0.05 * (abs(start[k]) or 0.05) + 0.1) * np.eye(n)[k] for k in range(n)]
-    values = [f(p) for p in simplex]
+    points = [np.array(start, float)] + [np.array(start, float) + (0.05 * (abs(start[k]) or 0.05) + 0.1) * np.eye(n)[k] for k in range(n)]
+    values = yield points
     for _ in range(most):
         order = np.argsort(values, kind="stable")
-        simplex, values = [simplex[i] for i in order], [values[i] for i in order]
-        if max(np.abs(p - simplex[0]).max() for p in simplex[1:]) < x_tol and abs(values[-1] - values[0]) <= f_tol * (abs(values[0]) + f_tol):
+        points, values = [points[i] for i in order], [values[i] for i in order]
+        if max(np.abs(p - points[0]).max() for p in points[1:]) < x_tol and abs(values[-1] - values[0]) <= f_tol * (abs(values[0]) + f_tol):
             break
-        centre = np.mean(simplex[:-1], axis=0)
-        step = centre - simplex[-1]
-        reflected = f(centre + step)
+        centre = np.mean(points[:-1], axis=0)
+        step = centre - points[-1]
+        (reflected,) = yield [centre + step]
         if reflected < values[0]:
-            further = f(centre + 2 * step)
-            simplex[-1], values[-1] = (centre + 2 * step, further) if further < reflected else (centre + step, reflected)
+            (further,) = yield [centre + 2 * step]
+            points[-1], values[-1] = (centre + 2 * step, further) if further < reflected else (centre + step, reflected)
         elif reflected < values[-2]:
-            simplex[-1], values[-1] = centre + step, reflected
+            points[-1], values[-1] = centre + step, reflected
         else:
             inner = centre + 0.5 * step if reflected < values[-1] else centre - 0.5 * step
-            held = f(inner)
+            (held,) = yield [inner]
             if held < min(reflected, values[-1]):
-                simplex[-1], values[-1] = inner, held
+                points[-1], values[-1] = inner, held
             else:
-                simplex = [simplex[0]] + [simplex[0] + 0.5 * (p - simplex[0]) for p in simplex[1:]]
-                values = [values[0]] + [f(p) for p in simplex[1:]]
+                points = [points[0]] + [points[0] + 0.5 * (p - points[0]) for p in points[1:]]
+                values = [values[0], *(yield points[1:])]
     k = int(np.argmin(values))
-    return simplex[k], values[k]
+    return points[k], values[k]
+
+
+def nelder_mead(f, start: np.ndarray, most: int = 200, x_tol: float = 1e-5, f_tol: float = 1e-6) -> tuple[np.ndarray, float]:
+    """The least value of ``f`` that ``simplex`` finds from ``start``."""
+    steps = simplex(start, most, x_tol, f_tol)
+    points = next(steps)
+    while True:
+        try:
+            points = steps.send([f(p) for p in points])
+        except StopIteration as done:
+            return done.value
 
 
 def tuned(tree: Node, x: np.ndarray, y: np.ndarray, y_rank: np.ndarray) -> Node:

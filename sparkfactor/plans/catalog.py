@@ -828,3 +828,34 @@ def gp_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 add("gp_search", gp_search)
+
+
+def search_oos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From a search on the rows up to the 70 % date to the scores of its front's members on the rows behind it."""
+    from ..operators.engine import panel_matrix, run_gp
+    from ..operators.oos import evaluate_oos
+
+    panel = forward_target(events_panel(spark, sf_dir), 5, close="x1", target="simple_return")
+    train, test = date_split(panel, 0.7, "day")
+    front = run_gp(spark, *panel_matrix(train, FEATURES, "y"), SEARCH_CFG).members
+    unseen = written(with_row_id(test.withColumnRenamed("row_id", "event"), ["event"]), "unseen")
+    return evaluate_oos(unseen, front, FEATURES)[0]
+
+
+SEARCH_CFG = GPConfig(population_size=8, n_trees=2, max_depth=3, n_generations=2, elite_count=2, n_islands=2, behavior_sample_size=50, hof_size=5, lexicase_n_periods=5, const_opt_every_n_gens=2, migration_interval=1)
+add("search_oos", search_oos)
+
+
+def tuned_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Constants of two trees tuned on the whole events panel for a few steps, all simplexes at once."""
+    from ..operators.evaluation import tuned_constants
+
+    panel = forward_target(events_panel(spark, sf_dir), 5, close="x1", target="simple_return")
+    trees = [parse(t) for t in TUNED_TREES]
+    found = tuned_constants(panel, trees, FEATURES, most=TUNED_STEPS)
+    rows = [(k, str(old), k2, before, after) for k, (old, new) in enumerate(zip(trees, found, strict=True)) for k2, (before, after) in enumerate(zip(old.constants(), new.constants(), strict=True))]
+    return spark.createDataFrame(rows, "tree int, start string, constant int, before double, after double")
+
+
+TUNED_TREES, TUNED_STEPS = ("safe_add(x1, safe_mul(5.0, x3))", "safe_sub(ts_mean(x1, d=5), safe_mul(0.5, safe_add(x2, 1.5)))"), 2
+add("tuned_constants", tuned_query)

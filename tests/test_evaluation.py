@@ -1,12 +1,17 @@
 """Population scores over blocks of rows against the kernels on the whole panel."""
 
+import datetime
+import json
+
 import numpy as np
 import pytest
 
 from sparkfactor.functions.kernels import tied_rank
-from sparkfactor.operators import scores
-from sparkfactor.operators.evaluation import cross_rounds, population_scores
+from sparkfactor.operators import engine, scores
+from sparkfactor.operators.evaluation import cross_rounds, population_scores, tuned_constants
 from sparkfactor.operators.genetic import Individual
+from sparkfactor.plans import catalog
+from sparkfactor.plans.compiler import evaluate
 from sparkfactor.plans.ir import parse
 
 TREES = [
@@ -65,3 +70,42 @@ def test_rounds_go_from_the_inside_out():
     own = [Individual((parse(TREES[3]), parse(TREES[4])), (0.5, 0.5), "rank_average")]
     rounds = cross_rounds(own)
     assert [sorted((c.op, c.root) for c in r) for r in rounds] == [[("cs_rank", False), ("cs_zscore", False)], [("cs_scale", False), ("cs_winsorize", False)], [("cs_rank", True), ("cs_zscore", False)], [("cs_rank", True)]]
+
+
+def test_simplexes_together_equal_one_by_one(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(120, 3))
+    y = x[:, 0] + 0.2 * rng.normal(size=120)
+    panel = spark.createDataFrame([(i, *map(float, x[i]), float(y[i])) for i in range(120)], "row_id long, a double, b double, c double, y double")
+    trees = [parse(t) for t in ("safe_add(x1, safe_mul(10.0, x3))", "safe_sub(x1, safe_mul(0.5, safe_add(x2, 1.5)))", "x2")]
+    rank = tied_rank(y)
+    want = []
+    for t in trees:
+        loss = lambda c, t=t: -scores.pps(evaluate(t, x, list(c)), y, rank)
+        best = scores.nelder_mead(loss, np.array(t.constants()), most=4) if t.constants() else None
+        want.append(best[0].tolist() if best and best[1] < loss(t.constants()) else t.constants())
+    got = tuned_constants(panel, trees, ["a", "b", "c"], most=4, block_rows=50)
+    assert all(np.allclose(g.constants(), w, atol=1e-9) for g, w in zip(got, want, strict=True)) and got[2] == trees[2]
+    assert tuned_constants(panel, [], ["a"]) == []
+
+
+def test_search_to_unseen_rows(spark, tmp_path):
+    """The registered query against the search's own front, scored by the kernels on the rows behind the date."""
+    rng = np.random.default_rng(5)
+    n = 260
+    moments = [datetime.datetime(2024, 1, 1 + i // 20, tzinfo=datetime.timezone.utc) + datetime.timedelta(minutes=i) for i in range(n)]
+    rows = [(i, moments[i], i % 3, "click", float(rng.uniform(1, 9)), json.dumps({"k": int(rng.integers(100))})) for i in range(n)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    got = sorted(catalog.search_oos(spark, str(tmp_path)).collect(), key=lambda r: r["rank"])
+    panel = catalog.forward_target(catalog.events_panel(spark, str(tmp_path)), 5, close="x1", target="simple_return")
+    train, test = catalog.date_split(panel, 0.7, "day")
+    front = engine.run_gp(spark, *engine.panel_matrix(train, catalog.FEATURES, "y"), catalog.SEARCH_CFG).members
+    x, y = engine.panel_matrix(test, catalog.FEATURES, "y")
+    want = []
+    for m in front:
+        f = scores.combined(m.trees, m.weights, m.combination, x)
+        want.append((round(scores.pps(f, y, tied_rank(y)), 3), round(scores.corr(f, y), 3), round(scores.rre(f), 3), m.complexity))
+    assert len(got) == len(front) > 0
+    for r, w in zip(sorted((r.oos_pps, r.oos_ic, r.oos_rre, r.complexity) for r in got), sorted(want), strict=True):
+        assert np.allclose(r, w, atol=2e-3)
+    assert [r.oos_pps for r in got] == sorted((r.oos_pps for r in got), reverse=True)
