@@ -55,6 +55,7 @@ class GPConfig:
     lexicase_epsilon: float = 0.1
     optimize_constants: bool = True
     const_opt_every_n_gens: int = 5
+    const_opt_steps: int = 200
     parsimony: float = 0.001
     weights: FitnessWeights = field(default_factory=FitnessWeights)
     novelty_k: int = 10
@@ -96,7 +97,7 @@ class GPConfig:
         need(self.combination in ("weighted_sum", "rank_average", "vote"), "unknown combination")
         need(self.selection in ("tournament", "epsilon_lexicase"), "unknown selection")
         need(self.migration_topology in ("ring", "star", "random"), "unknown topology")
-        ints = (self.n_trees, self.n_generations, self.tournament_k, self.const_opt_every_n_gens, self.novelty_k, self.novelty_archive_size, self.behavior_sample_size, self.hof_size, self.migration_interval)
+        ints = (self.n_trees, self.n_generations, self.tournament_k, self.const_opt_every_n_gens, self.const_opt_steps, self.novelty_k, self.novelty_archive_size, self.behavior_sample_size, self.hof_size, self.migration_interval)
         need(min(ints) >= 1, "a count is below 1")
         for ops, tier in ((self.unary_ops, "unary"), (self.binary_ops, "binary"), (self.ts_unary_ops, "ts_unary"), (self.ts_binary_ops, "ts_binary"), (self.cs_ops, "cs")):
             validate_ops(list(ops), tier)

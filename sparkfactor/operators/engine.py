@@ -1,7 +1,7 @@
 """The island search. Spark evaluates; the driver, which sees only individuals and their scores, selects and breeds.
 
-A generation is one job: individuals go out by island as text, each task scores its share on a broadcast block of the panel with the
-NumPy kernels, and scores, fingerprints and period errors come back. All are scored anew, as each generation has its own block of rows.
+Scores, fingerprints and period errors of a generation come from a table of any size, block by block (``run_gp_panel``), or from a matrix that the
+caller holds and one broadcast carries (``run_gp``). All are scored anew, as each generation has its own range of rows.
 """
 
 from __future__ import annotations
@@ -10,12 +10,16 @@ from dataclasses import replace
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..config import GPConfig
 from ..functions.kernels import tied_rank
-from ..plans.ir import parse
+from ..plans.ir import Node, parse
+from ..sources.panel import with_row_id
+from ..sources.shared import written
 from . import scores
 from .archive import NoveltyArchive
+from .evaluation import BLOCK_ROWS, population_scores, population_steadiness, population_traits, tuned_constants
 from .fronts import trimmed
 from .genetic import Individual, crossover, init_population, mutate
 from .neighbours import distances
@@ -115,23 +119,101 @@ def fitness_of(ind: Individual, cfg: GPConfig, novelty_weight: float) -> float:
     return value if np.isfinite(value) else float("-inf")
 
 
+class MatrixScorer:
+    """Scores on a block of rows that one broadcast carries; its size is the caller's choice."""
+
+    def __init__(self, spark: SparkSession, x: np.ndarray, y: np.ndarray, cfg: GPConfig):
+        self.spark, self.x, self.y, self.cfg = spark, x, y, cfg
+        self.n_rows, self.n_features, self.y_rank = len(y), x.shape[1], tied_rank(y)
+
+    def score(self, individuals: list[Individual], rows: slice, behavior_rows: np.ndarray, generation: int) -> list[tuple]:
+        """(pps, rre, behavior, errors) of each individual."""
+        return [(p, r, b, e) for p, r, _, b, e in score_individuals(self.spark, individuals, self.x, self.y, rows, self.cfg, behavior_rows, set(), generation)]
+
+    def steadiness(self, individuals: list[Individual], rows: slice, behavior_rows: np.ndarray, generation: int) -> list[float]:
+        return [s for _, _, s, *_ in score_individuals(self.spark, individuals, self.x, self.y, rows, self.cfg, behavior_rows, set(range(len(individuals))), generation)]
+
+    def tuned(self, trees: list[Node]) -> list[Node]:
+        """The trees with tuned constants, each one a job of an executor."""
+        block, most = self.spark.sparkContext.broadcast((self.x, self.y, self.y_rank)), self.cfg.const_opt_steps
+
+        def run(frames):
+            for frame in frames:
+                yield frame.assign(tree=[str_exact(scores.tuned(parse(t), *block.value, most)) for t in frame.tree])
+
+        jobs = self.spark.createDataFrame([(k, str_exact(t)) for k, t in enumerate(trees)], "k int, tree string")
+        done = jobs.repartition(self.spark.sparkContext.defaultParallelism).mapInPandas(run, "k int, tree string").collect()
+        block.unpersist()
+        return [parse(r.tree) for r in sorted(done, key=lambda r: r.k)]
+
+
+class PanelScorer:
+    """Scores on a panel of any size, in blocks of rows; of it only individuals' scores, fingerprints and period errors reach the driver."""
+
+    def __init__(self, panel: DataFrame, features: list[str], y: str, cfg: GPConfig, order: str = "row_id", block_rows: int = BLOCK_ROWS):
+        self.cfg, self.block_rows, self.n_features = cfg, block_rows, len(features)
+        self.features = [f"x{k}" for k in range(1, len(features) + 1)]
+        own = panel.select(order, *(F.col(f).cast("double").alias(n) for f, n in zip(features, self.features, strict=True)), F.col(y).cast("double").alias("y"))
+        self.panel = written(with_row_id(own if order == "row_id" else own.withColumnRenamed(order, "_order"), [order if order == "row_id" else "_order"]), "search-panel")
+        self.n_rows = self.panel.count()
+
+    def _rows(self, rows: slice) -> DataFrame:
+        return self.panel.where((F.col("row_id") >= rows.start) & (F.col("row_id") < rows.stop))
+
+    def score(self, individuals: list[Individual], rows: slice, behavior_rows: np.ndarray, generation: int) -> list[tuple]:
+        found = population_scores(self._rows(rows), individuals, self.features, block_rows=self.block_rows)
+        seen = population_traits(self.panel, individuals, self.features, behavior_rows.tolist(), self.cfg.lexicase_n_periods, block_rows=self.block_rows)
+        if self.cfg.compat:
+            places = self.panel.sparkSession.createDataFrame(list(enumerate(behavior_rows.tolist())), "_place long, row_id long")
+            scattered = self.panel.join(F.broadcast(places), "row_id").drop("row_id").withColumnRenamed("_place", "row_id")
+            prints = population_traits(scattered, individuals, self.features, list(range(len(behavior_rows))), 1, block_rows=self.block_rows)
+            seen = seen.drop("behavior").join(prints.drop("errors"), "i")
+        done = found.select("i", "pps", "rre").join(seen, "i").collect()
+        return [(r.pps, r.rre, tuple(r.behavior), r.errors) for r in sorted(done, key=lambda r: r.i)]
+
+    def steadiness(self, individuals: list[Individual], rows: slice, behavior_rows: np.ndarray, generation: int) -> list[float]:
+        c = self.cfg
+        found = population_steadiness(self._rows(rows), individuals, self.features, n_copies=c.pfs_n_perturbations, noise=c.pfs_noise_scale, seed=c.seed * 100_000 + generation, block_rows=self.block_rows)
+        return [r.pfs for r in sorted(found.collect(), key=lambda r: r.i)]
+
+    def tuned(self, trees: list[Node]) -> list[Node]:
+        return tuned_constants(self.panel, trees, self.features, most=self.cfg.const_opt_steps, block_rows=self.block_rows)
+
+
 def run_gp(spark: SparkSession, x: np.ndarray, y: np.ndarray, cfg: GPConfig, log=None) -> ParetoHoF:
     """Searches factors on a matrix of rows in time order and a target; gives the front. The same seed gives the same front."""
+    return search(MatrixScorer(spark, x, y, cfg), cfg, log)
+
+
+def run_gp_panel(panel: DataFrame, features: list[str], y: str, cfg: GPConfig, order: str = "row_id", block_rows: int = BLOCK_ROWS, log=None) -> ParetoHoF:
+    """The same search on a table of any size; ``order`` must tell rows apart, features count from 1 in the order of ``features``.
+
+    It takes the steps of ``run_gp`` and gives its front, but for the noise of PFS, which is drawn row by row here.
+    """
+    return search(PanelScorer(panel, features, y, cfg, order, block_rows), cfg, log)
+
+
+def search(scorer: MatrixScorer | PanelScorer, cfg: GPConfig, log=None) -> ParetoHoF:
+    """The islands' generations; everything that reads rows is asked of ``scorer``."""
+    n = scorer.n_rows
+    if n == 0:
+        raise ValueError("no rows to search on")
     master = np.random.default_rng(np.random.SeedSequence([cfg.seed]))
     rngs = [np.random.default_rng(np.random.SeedSequence([cfg.seed, k + 1])) for k in range(cfg.n_islands)]
-    everyone = init_population(master, cfg, x.shape[1])
+    everyone = init_population(master, cfg, scorer.n_features)
     size = cfg.population_size // cfg.n_islands
     islands = [everyone[k * size : (k + 1) * size] for k in range(cfg.n_islands)]
-    behavior_rows = master.permutation(len(y))[: min(cfg.behavior_sample_size, len(y))]
-    archive, hof, y_rank = NoveltyArchive(cfg.novelty_archive_size, cfg.novelty_k), ParetoHoF(cfg.hof_size), tied_rank(y)
+    # drawn without a list of all rows
+    behavior_rows = master.choice(n, min(cfg.behavior_sample_size, n), replace=False)
+    archive, hof = NoveltyArchive(cfg.novelty_archive_size, cfg.novelty_k), ParetoHoF(cfg.hof_size)
     elites = min(cfg.elite_count, size - 1)
     for generation in range(1, cfg.n_generations + 1):
-        n_rows = max(1, int(len(y) * cfg.eval_subsample))
-        start = int(master.integers(len(y) - n_rows + 1))
+        n_rows = max(1, int(n * cfg.eval_subsample))
+        start = int(master.integers(n - n_rows + 1))
         steady = generation % cfg.const_opt_every_n_gens == 0
         flat = [ind for own in islands for ind in own]
         rows = slice(start, start + n_rows)
-        found = score_individuals(spark, flat, x, y, rows, cfg, behavior_rows, set(), generation)
+        found = scorer.score(flat, rows, behavior_rows, generation)
         errors = [np.array([e for *_, e in found[k * size : (k + 1) * size]]) for k in range(cfg.n_islands)]
         weight = cfg.weights.novelty if cfg.compat else scores.novelty_weight(cfg.weights.novelty, generation, cfg.n_generations)
         for k in range(cfg.n_islands):
@@ -139,51 +221,47 @@ def run_gp(spark: SparkSession, x: np.ndarray, y: np.ndarray, cfg: GPConfig, log
             prints = np.array([b for *_, b, _ in part])
             seen = np.array(archive.entries).reshape(len(archive.entries), prints.shape[1])
             own = []
-            for i, (ind, (p, r, s, b, _)) in enumerate(zip(islands[k], part, strict=True)):
+            for i, (ind, (p, r, b, _)) in enumerate(zip(islands[k], part, strict=True)):
                 novelty = knn_mean(prints[i], np.concatenate([np.delete(prints, i, 0), seen]), cfg.novelty_k)
-                ind = replace(ind, pps=p, rre=r, pfs=s, behavior=b, novelty=novelty if np.isfinite(novelty) else 0.0)
+                ind = replace(ind, pps=p, rre=r, pfs=0.0, behavior=b, novelty=novelty if np.isfinite(novelty) else 0.0)
                 own.append(replace(ind, fitness=fitness_of(ind, cfg, weight)))
             islands[k] = own
         if steady and cfg.weights.pfs > 0:
-            islands = _steadied(spark, islands, x, y, rows, cfg, behavior_rows, generation, elites, weight)
+            islands = _steadied(scorer, islands, cfg, rows, behavior_rows, generation, elites, weight)
         archive.update([np.array(ind.behavior) for own in islands for ind in own if np.isfinite(ind.behavior).all()])
         hof.update([ind for own in islands for ind in own])
         if log:
             best = max((ind for own in islands for ind in own), key=lambda i: i.fitness)
             log({"generation": generation, "best_fitness": best.fitness, "best_pps": max(i.pps for own in islands for i in own), "archive": len(archive.entries), "hof": len(hof.members)})
         if steady and cfg.optimize_constants:
-            islands = _tuned_elites(spark, islands, x, y, y_rank, elites)
-        islands = [_next_generation(rngs[k], own, errors[k], cfg, x.shape[1], elites) for k, own in enumerate(islands)]
+            islands = _tuned_elites(scorer, islands, elites)
+        islands = [_next_generation(rngs[k], own, errors[k], cfg, scorer.n_features, elites) for k, own in enumerate(islands)]
         if generation % cfg.migration_interval == 0:
             islands = migrated(islands, migration_targets(cfg.n_islands, cfg.migration_topology, master), max(1, int(np.ceil(size * cfg.migration_rate))))
     return hof
 
 
-def _steadied(spark: SparkSession, islands: list[list[Individual]], x, y, rows: slice, cfg: GPConfig, behavior_rows, generation: int, elites: int, weight: float) -> list[list[Individual]]:
+def _fittest(islands: list[list[Individual]], elites: int) -> list[tuple[int, int]]:
+    return [(k, i) for k, own in enumerate(islands) for i in sorted(range(len(own)), key=lambda i: -own[i].fitness)[:elites]]
+
+
+def _steadied(scorer, islands: list[list[Individual]], cfg: GPConfig, rows: slice, behavior_rows: np.ndarray, generation: int, elites: int, weight: float) -> list[list[Individual]]:
     """The fittest of each island, by their new scores, with PFS in their fitness."""
-    chosen = [(k, i) for k, own in enumerate(islands) for i in sorted(range(len(own)), key=lambda i: -own[i].fitness)[:elites]]
-    found = score_individuals(spark, [islands[k][i] for k, i in chosen], x, y, rows, cfg, behavior_rows, set(range(len(chosen))), generation)
+    chosen = _fittest(islands, elites)
+    found = scorer.steadiness([islands[k][i] for k, i in chosen], rows, behavior_rows, generation)
     out = [list(own) for own in islands]
-    for (k, i), (_, _, steady, *_) in zip(chosen, found, strict=True):
+    for (k, i), steady in zip(chosen, found, strict=True):
         ind = replace(out[k][i], pfs=steady)
         out[k][i] = replace(ind, fitness=fitness_of(ind, cfg, weight))
     return out
 
 
-def _tuned_elites(spark: SparkSession, islands: list[list[Individual]], x, y, y_rank, elites: int) -> list[list[Individual]]:
-    """The fittest of each island with tuned constants, tree by tree on the executors."""
-    block = spark.sparkContext.broadcast((x, y, y_rank))
-    jobs = [(k, i, t, str_exact(tree)) for k, own in enumerate(islands) for i in sorted(range(len(own)), key=lambda i: -own[i].fitness)[:elites] for t, tree in enumerate(own[i].trees) if tree.constants()]
-    if not jobs:
+def _tuned_elites(scorer, islands: list[list[Individual]], elites: int) -> list[list[Individual]]:
+    """The fittest of each island with tuned constants, tree by tree."""
+    places = [(k, i, t) for k, i in _fittest(islands, elites) for t, tree in enumerate(islands[k][i].trees) if tree.constants()]
+    if not places:
         return islands
-
-    def run(frames):
-        for frame in frames:
-            yield frame.assign(tree=[str_exact(scores.tuned(parse(t), *block.value)) for t in frame.tree])
-
-    kinds = "k int, i int, t int, tree string"
-    done = spark.createDataFrame(jobs, kinds).repartition(spark.sparkContext.defaultParallelism).mapInPandas(run, kinds).collect()
-    new = {(r.k, r.i, r.t): parse(r.tree) for r in done}
+    new = dict(zip(places, scorer.tuned([islands[k][i].trees[t] for k, i, t in places]), strict=True))
     return [[replace(ind, trees=tuple(new.get((k, i, t), tree) for t, tree in enumerate(ind.trees))) for i, ind in enumerate(own)] for k, own in enumerate(islands)]
 
 

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +25,12 @@ from pyspark.sql import functions as F
 
 from ..config import FitnessWeights
 from ..functions.kernels import CROSS
-from ..functions.ranking import _below, positions, tied_ranks
+from ..functions.ranking import _below, grouped_tied_ranks, positions, tied_ranks
 from ..plans.compiler import evaluate
 from ..plans.ir import Node
 from ..sources.shared import discard, written
 from .genetic import Individual
-from .metrics import LEAST_SD
+from .metrics import LEAST_SD, guarded_corr, normal_draw
 from .population import fitness
 from .scores import simplex
 
@@ -170,6 +170,22 @@ def _measured(blocks: DataFrame, crosses: list[Cross], known: Known, n: int, chu
     discard(parts)
 
 
+def _prepared(panel: DataFrame, individuals: list[Individual], features: list[str], y: str, order: str, block_rows: int, digits: int | None = None) -> tuple[DataFrame, int, int, Known]:
+    """Blocks with the ranks that the individuals' cross-sectional operators need, the number of rows, shares of jobs in a block, what is known."""
+    reach = max((t.reach for ind in individuals for t in ind.trees), default=0)
+    blocks, n = row_blocks(panel, features, y, order, reach, block_rows)
+    n_blocks = max(1, -(-n // max(block_rows, 1)))
+    chunks, width, known = max(1, -(-2 * panel.sparkSession.sparkContext.defaultParallelism // n_blocks)), len(features), Known()
+    for crosses in cross_rounds(individuals) if n else []:
+        ranks, others = [c for c in crosses if c.op == "cs_rank"], [c for c in crosses if c.op != "cs_rank"]
+        if others:
+            _measured(blocks, others, known, n, chunks)
+        if ranks:
+            blocks = _ranked(blocks, ranks, known, n, chunks, width, digits)
+            width += len(ranks)
+    return blocks, n, chunks, known
+
+
 def population_scores(panel: DataFrame, individuals: list[Individual], features: list[str], y: str = "y", order: str = "row_id", weights: FitnessWeights | None = None, parsimony: float = 0.001, block_rows: int = BLOCK_ROWS, digits: int | None = None) -> DataFrame:
     """(i, pps, ic, rank_ic, rre, complexity, fitness) of each individual, ``i`` its place in the list; fitness without novelty and PFS.
 
@@ -181,21 +197,11 @@ def population_scores(panel: DataFrame, individuals: list[Individual], features:
     kinds = "i int, pps double, ic double, rank_ic double, rre double, complexity int"
     if not individuals:
         return _with_fitness(spark.createDataFrame([], kinds), weights, parsimony)
-    trees = {t for ind in individuals for t in ind.trees}
-    blocks, n = row_blocks(panel, features, y, order, max((t.reach for t in trees), default=0), block_rows)
+    blocks, n, chunks, known = _prepared(panel, individuals, features, y, order, block_rows, digits)
     sizes = spark.createDataFrame([(i, ind.complexity) for i, ind in enumerate(individuals)], "i int, complexity int")
     if n < 2:
         zero = sizes.select("i", *(F.lit(0.0).alias(c) for c in ("pps", "ic", "rank_ic", "rre")), "complexity")
         return _with_fitness(zero, weights, parsimony)
-    n_blocks = -(-n // max(block_rows, 1))
-    chunks, width, known = max(1, -(-2 * spark.sparkContext.defaultParallelism // n_blocks)), len(features), Known()
-    for crosses in cross_rounds(individuals):
-        ranks, others = [c for c in crosses if c.op == "cs_rank"], [c for c in crosses if c.op != "cs_rank"]
-        if others:
-            _measured(blocks, others, known, n, chunks)
-        if ranks:
-            blocks = _ranked(blocks, ranks, known, n, chunks, width, digits)
-            width += len(ranks)
 
     def last(jobs, x, own, row, y_, ry):
         out: dict[str, list] = {c: [] for c in ("i", "v", "m", "sry", "f", "ff", "t", "tt", "ft")}
@@ -240,6 +246,101 @@ def population_scores(panel: DataFrame, individuals: list[Individual], features:
     return _with_fitness(out, weights, parsimony)
 
 
+def population_traits(panel: DataFrame, individuals: list[Individual], features: list[str], places: list[int], n_periods: int, y: str = "y", order: str = "row_id", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(i, behavior, errors) of each individual: its signal at the row numbers ``places`` (from 0, in their order), and the mean absolute error by period.
+
+    Periods are equal runs of rows, the last one takes the rest; with fewer rows than periods each row is one. A place may come more than
+    once; one that the panel doesn't have is left out. An empty panel gives empty arrays. Blocks emit a sum and a count for each period and the values
+    asked for, so what is shuffled grows with individuals times (blocks + places), not with rows.
+    """
+    if not individuals:
+        return panel.sparkSession.createDataFrame([], "i int, behavior array<float>, errors array<double>")
+    blocks, n, chunks, known = _prepared(panel, individuals, features, y, order, block_rows)
+    wanted = np.array(places, np.int64)
+    by_row = np.argsort(wanted, kind="stable")
+    periods_ = max(1, min(n_periods, n))
+    size = max(1, n // periods_)
+
+    def traits(jobs, x, own, row, y_, ry):
+        out: dict[str, list] = {c: [] for c in ("i", "place", "period", "v", "m")}
+        rows, target = row[own], y_[own]
+        period = np.minimum(rows // size, periods_ - 1)
+        held, at = np.unique(period, return_inverse=True)
+        low, high = np.searchsorted(wanted[by_row], (rows[0], rows[-1] + 1)) if len(rows) else (0, 0)
+        here = by_row[low:high]
+        for j in jobs:
+            f = known.combined(individuals[j], x, None)[own]
+            with np.errstate(all="ignore"):
+                off = np.bincount(at, np.abs(f - target), len(held))
+            out["i"] += [j] * (len(held) + len(here))
+            out["place"] += [None] * len(held) + here.tolist()
+            out["period"] += held.tolist() + [None] * len(here)
+            out["v"] += off.tolist() + f[wanted[here] - rows[0]].tolist()
+            out["m"] += np.bincount(at, minlength=len(held)).tolist() + [None] * len(here)
+        return pa.table({c: pa.array(o, t) for (c, o), t in zip(out.items(), (pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.int64()), strict=True)})
+
+    found = written(_over_blocks(blocks, len(individuals), chunks, traits, "i int, place int, period int, v double, m long"), "traits")
+    means = found.where("period is not null").groupBy("i", "period").agg((F.sum("v") / F.sum("m")).alias("v"))
+    in_order = lambda key: F.transform(F.array_sort(F.collect_list(F.struct(key, "v"))), lambda s: s["v"])
+    errors = means.groupBy("i").agg(in_order("period").alias("errors"))
+    prints = found.where("place is not null").groupBy("i").agg(in_order("place").cast("array<float>").alias("behavior"))
+    everyone = panel.sparkSession.range(len(individuals)).select(F.col("id").cast("int").alias("i"))
+    out = everyone.join(prints, "i", "left").join(errors, "i", "left")
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    out = written(out.select("i", F.coalesce("behavior", none("float")).alias("behavior"), F.coalesce("errors", none("double")).alias("errors")), "population-traits")
+    discard(found, blocks)
+    return out
+
+
+def population_steadiness(panel: DataFrame, individuals: list[Individual], features: list[str], order: str = "row_id", n_copies: int = 5, noise: float = 0.01, seed: int = 42, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(i, pfs) of each individual: the mean rank correlation of its signal with itself on noisy copies of the features.
+
+    Noise hangs on seed, copy, feature and row alone and follows each feature's spread. A signal that hardly varies or holds what isn't
+    finite scores 0, and so does a panel of fewer than two rows. Signals are ranked from counts of their values, in one pass for all.
+    """
+    spark = panel.sparkSession
+    if not individuals:
+        return spark.createDataFrame([], "i int, pfs double")
+    everyone = spark.range(len(individuals)).select(F.col("id").cast("int").alias("i"))
+    used = sorted({k for ind in individuals for t in ind.trees for k in t.features()})
+    spread = panel.agg(*(F.greatest(F.coalesce(F.stddev_samp(features[k - 1]), F.lit(0.0)), F.lit(LEAST_SD)).alias(f"s{k}") for k in used)).first() if used else {}
+    names, columns, moved = list(features), [F.col(f) for f in features], []
+    for copy in range(n_copies):
+        places = {}
+        for k in used:
+            normal = normal_draw(F.concat_ws("-", F.lit(seed), F.lit(copy), F.lit(k), F.col(order)))
+            columns.append((F.col(features[k - 1]) + normal * noise * spread[f"s{k}"]).alias(f"_x{k}_{copy}"))
+            names.append(f"_x{k}_{copy}")
+            places[k] = len(names)
+        moved.append(places)
+
+    def put(t: Node, places: dict[int, int]) -> Node:
+        return Node(t.op, tuple(put(c, places) for c in t.children), t.window, places.get(t.feature), t.value)
+
+    every = [ind for ind in individuals]
+    every += [replace(ind, trees=tuple(put(t, places) for t in ind.trees)) for places in moved for ind in individuals]
+    noisy = panel.select(order, *columns, F.lit(0.0).alias("_zero"))
+    blocks, n, chunks, known = _prepared(noisy, every, names, "_zero", order, block_rows)
+    if n < 2:
+        return everyone.select("i", F.lit(0.0).alias("pfs"))
+
+    def values(jobs, x, own, row, y_, ry):
+        found = [known.combined(every[j], x, None)[own] for j in jobs]
+        return pa.table({"k": np.repeat(np.array(jobs, np.int32), own.sum()), "row": np.tile(row[own], len(found)), "v": np.concatenate(found)})
+
+    long = written(_over_blocks(blocks, len(every), chunks, values, "k int, row long, v double"), "noisy-signals")
+    ranked = grouped_tied_ranks(long.select(F.col("k").cast("string").alias("name"), "row", "v"), "name", "v", "r")
+    k = F.col("name").cast("int")
+    by_row = ranked.select((k % len(individuals)).alias("i"), F.floor(k / len(individuals)).cast("int").alias("copy"), "row", "v", "r")
+    wide = by_row.groupBy("i", "row").agg(*(F.max(F.when(F.col("copy") == c, F.col("r"))).alias(f"r{c}") for c in range(n_copies + 1)), F.max(F.when(F.col("copy") == 0, F.col("v"))).alias("v"))
+    scores = [F.nanvl(guarded_corr(F.col("r0"), F.col(f"r{c}")), F.lit(0.0)) for c in range(1, n_copies + 1)]
+    sd = F.coalesce(F.stddev_samp("v"), F.lit(0.0))
+    odd = F.isnan(sd) | (sd < LEAST_SD) | (F.max(F.abs("v")) == float("inf"))
+    out = written(everyone.join(wide.groupBy("i").agg(F.when(odd, 0.0).otherwise(sum(scores) / n_copies).alias("pfs")), "i", "left").fillna(0.0), "steadiness")
+    discard(long, blocks)
+    return out
+
+
 def _with_fitness(scores: DataFrame, weights: FitnessWeights | None, parsimony: float) -> DataFrame:
     own = scores.withColumns({"pfs": F.lit(0.0), "novelty": F.lit(0.0)})
     return own.withColumn("fitness", fitness(weights or FitnessWeights(), 0.0, parsimony)).drop("pfs", "novelty")

@@ -130,11 +130,11 @@ def nelder_mead(f, start: np.ndarray, most: int = 200, x_tol: float = 1e-5, f_to
             return done.value
 
 
-def tuned(tree: Node, x: np.ndarray, y: np.ndarray, y_rank: np.ndarray) -> Node:
+def tuned(tree: Node, x: np.ndarray, y: np.ndarray, y_rank: np.ndarray, most: int = 200) -> Node:
     """The tree with the constants that Nelder-Mead finds best by pps; itself if there are none or none are better."""
     start = tree.constants()
     if not start:
         return tree
     loss = lambda c: -pps(evaluate(tree, x, list(c)), y, y_rank)
-    best, value = nelder_mead(loss, np.array(start))
+    best, value = nelder_mead(loss, np.array(start), most)
     return tree.with_constants(best.tolist()) if np.isfinite(best).all() and value < loss(start) else tree
