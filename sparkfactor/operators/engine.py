@@ -227,13 +227,13 @@ def search(scorer: MatrixScorer | PanelScorer, cfg: GPConfig, log=None) -> Paret
                 own.append(replace(ind, fitness=fitness_of(ind, cfg, weight)))
             islands[k] = own
         if steady and cfg.weights.pfs > 0:
-            islands = _steadied(scorer, islands, cfg, rows, behavior_rows, generation, elites, weight)
+            islands = _with_steadiness(scorer, islands, cfg, rows, behavior_rows, generation, elites, weight)
         archive.update([np.array(ind.behavior) for own in islands for ind in own if np.isfinite(ind.behavior).all()])
         hof.update([ind for own in islands for ind in own])
         if log:
             best = max((ind for own in islands for ind in own), key=lambda i: i.fitness)
             log({"generation": generation, "best_fitness": best.fitness, "best_pps": max(i.pps for own in islands for i in own), "archive": len(archive.entries), "hof": len(hof.members)})
-        if steady and cfg.optimize_constants:
+        if steady and cfg.optimize_constants and generation < cfg.n_generations:
             islands = _tuned_elites(scorer, islands, elites)
         islands = [_next_generation(rngs[k], own, errors[k], cfg, scorer.n_features, elites) for k, own in enumerate(islands)]
         if generation % cfg.migration_interval == 0:
@@ -245,7 +245,12 @@ def _fittest(islands: list[list[Individual]], elites: int) -> list[tuple[int, in
     return [(k, i) for k, own in enumerate(islands) for i in sorted(range(len(own)), key=lambda i: -own[i].fitness)[:elites]]
 
 
-def _steadied(scorer, islands: list[list[Individual]], cfg: GPConfig, rows: slice, behavior_rows: np.ndarray, generation: int, elites: int, weight: float) -> list[list[Individual]]:
+def _steadied(spark: SparkSession, islands: list[list[Individual]], x, y, rows: slice, cfg: GPConfig, behavior_rows: np.ndarray, generation: int, elites: int, weight: float) -> list[list[Individual]]:
+    """``_with_steadiness`` on a matrix."""
+    return _with_steadiness(MatrixScorer(spark, x, y, cfg), islands, cfg, rows, behavior_rows, generation, elites, weight)
+
+
+def _with_steadiness(scorer, islands: list[list[Individual]], cfg: GPConfig, rows: slice, behavior_rows: np.ndarray, generation: int, elites: int, weight: float) -> list[list[Individual]]:
     """The fittest of each island, by their new scores, with PFS in their fitness."""
     chosen = _fittest(islands, elites)
     found = scorer.steadiness([islands[k][i] for k, i in chosen], rows, behavior_rows, generation)

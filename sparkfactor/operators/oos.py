@@ -22,7 +22,7 @@ from ..sources.panel import date_split, forward_target, read_csv_assets, with_ro
 from ..sources.shared import written
 from . import metrics
 from .combine import combine
-from .engine import ParetoHoF, panel_matrix, run_gp
+from .engine import ParetoHoF, panel_matrix, run_gp, run_gp_panel
 from .genetic import Individual
 
 BETA, BINS = 0.3, 10
@@ -131,6 +131,12 @@ def overfit(member_rows: list) -> dict[str, float | None]:
     return {"train_pps": train, "oos_pps": test, "degradation": (train - test) / train * 100 if train > 0 else None}
 
 
+def overfit_table(members: DataFrame) -> DataFrame:
+    """``overfit`` of a members' table as one row: train_pps, oos_pps, degradation (null where the training mean isn't above 0)."""
+    train, test = (F.coalesce(F.avg(c), F.lit(0.0)) for c in ("train_pps", "oos_pps"))
+    return members.agg(train.alias("train_pps"), test.alias("oos_pps")).withColumn("degradation", F.when(F.col("train_pps") > 0, (F.col("train_pps") - F.col("oos_pps")) / F.col("train_pps") * 100))
+
+
 def table_text(rows: list, columns: list[str], most: int | None = None) -> str:
     """A plain table; ``most``: so many rows are shown."""
     shown = rows if most is None else rows[:most]
@@ -165,17 +171,20 @@ class Discovery:
     text: str
 
 
-def discover(spark: SparkSession, csv_dir: str, out_dir: str, cfg: GPConfig, horizon: int = 5, train_fraction: float = 0.7, close: str = "close", time: str = "open_time", target: str = "reference", least_train: int = 50) -> Discovery:
+def discover(spark: SparkSession, csv_dir: str, out_dir: str, cfg: GPConfig, horizon: int = 5, train_fraction: float = 0.7, close: str = "close", time: str = "open_time", target: str = "reference", least_train: int = 50, block_rows: int | None = None) -> Discovery:
     """From a folder of assets to results: read, target, split by date, search on the training rows, score on the others, write.
 
-    Writes ``summary`` and ``trees`` as CSV and ``signals`` as Parquet, with a column for each member, to ``out_dir``. The training rows are the
-    block that the search holds in memory; the others may be of any size.
+    Writes ``summary`` and ``trees`` as CSV and ``signals`` as Parquet, with a column for each member, to ``out_dir``. The training rows are a
+    matrix that the search holds in memory, or with ``block_rows`` a table that it reads in blocks; the others may be of any size.
     """
     panel = with_row_id(read_csv_assets(spark, csv_dir, time, close), ["asset", "ts"])
     panel = written(forward_target(panel, horizon, close=close, target=target), "panel")
     features = [c for c in panel.columns if c not in ("asset", "ts", "row_id", "y")]
     train, test = date_split(panel, train_fraction, least_train=least_train)
-    front = run_gp(spark, *panel_matrix(train, features, "y"), cfg)
+    if block_rows is None:
+        front = run_gp(spark, *panel_matrix(train, features, "y"), cfg)
+    else:
+        front = run_gp_panel(train, features, "y", cfg, block_rows=block_rows)
     test = written(with_row_id(test.drop("row_id"), ["asset", "ts"]), "test-panel")
     members, trees = (written(df, "report") for df in evaluate_oos(test, front.members, features))
     write_csv(members.orderBy("rank"), f"{out_dir}/summary")

@@ -12,8 +12,8 @@ from ..functions.scope import GLOBAL, Scope
 from ..config import GPConfig
 from ..operators import archive, forest, fronts, metrics, neighbours, population
 from ..operators.combine import combine
-from ..sources.panel import date_cutoff, date_split, drop_missing, events_panel, forward_target, stack_assets, with_row_id
-from ..sources.shared import written
+from ..sources.panel import date_cutoff, date_split, drop_missing, events_panel, forward_target, read_csv_assets, stack_assets, with_row_id, write_csv_assets
+from ..sources.shared import fresh, written
 from .compiler import compile_forest
 from .ir import call, parse, variable
 
@@ -335,6 +335,22 @@ def date_split_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sums(train, "train").unionByName(sums(test, "test"))
 
 
+def csv_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events written as CSV assets, with missing cells, and read again; rows that miss any are gone."""
+    panel, k = events_panel(spark, sf_dir), F.col("row_id") % 50
+    gaps = F.when(k == 0, "NA").when(k == 1, "").when(k == 2, "null").when(k == 3, "NaN").otherwise(F.col("x1").cast("string"))
+    cells = panel.select("asset", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("open_time"), gaps.alias("close"), F.col("x2").cast("string").alias("x2"), F.col("row_id").cast("string").alias("row_id"))
+    folder = fresh(spark, "csv-assets")
+    write_csv_assets(cells, folder)
+    out = read_csv_assets(spark, folder, by_folder=True)
+    return out.select(F.col("row_id").cast("long").alias("row_id"), "asset", F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"), "close", "x2")
+
+
+add(
+    "csv_assets",
+    csv_query,
+    f"with {PANEL} select row_id, asset, epoch_us(ts) as micros, x1 as close, x2 from panel where row_id % 50 > 3 and x1 is not null and not isnan(x1) and x2 is not null",
+)
 add(
     "date_split",
     date_split_query,
@@ -674,6 +690,33 @@ select individual_rank, tree_idx, oos_pps, oos_ic, oos_rankic, oos_rre, tree_siz
 )
 
 
+def overfit_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The loss of mean pps from training to the scored rows."""
+    from ..operators.oos import overfit_table
+
+    found = overfit_table(_front_results(spark, sf_dir)[0])
+    return found.select(*(F.round(c, 4).alias(c) for c in found.columns))
+
+
+add(
+    "overfit_check",
+    overfit_query,
+    f"""{_OOS}, i(name, k, train_pps, complexity) as (values {_MEMBER_ROWS}), means as (select avg(train_pps::double) as tr, avg(oos_pps) as te from i join s using (name))
+select round(tr, 4) as train_pps, round(te, 4) as oos_pps, case when tr > 0 then round((tr - te) / tr * 100, 4) end as degradation from means""",
+)
+
+
+def traits_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean absolute error in seven periods of every individual of the population, in blocks of rows."""
+    from ..operators.evaluation import population_traits
+    from ..operators.genetic import Individual
+
+    panel = forward_target(events_panel(spark, sf_dir), 5, close="x1", target="simple_return")
+    own = [Individual(tuple(parse(_TREES[n]) for n in trees), weights, how) for trees, weights, how in _POPULATION]
+    found = population_traits(panel, own, FEATURES, [], 7, block_rows=4096)
+    return found.select("i", F.posexplode("errors").alias("period", "e")).select("i", "period", F.round("e", 4).alias("err"))
+
+
 #: A population as a generation has it: cross-sections inside trees, nested ones, all combinations, a tree twice.
 _POPULATION = (
     (("momentum", "spread", "decayed"), (0.5, 0.3, 0.2), "weighted_sum"),
@@ -697,17 +740,18 @@ def population_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL_TREES = tuple(_TREES)
 _POPULATION_ROWS = ", ".join(f"('i{k}', {k}, {_size(m[0])})" for k, m in enumerate(_POPULATION))
-add(
-    "population_scores",
-    population_query,
-    f"""with {PANEL.replace("panel as", "events_panel as", 1)},
+_POPULATION_SIGNALS = f"""with {PANEL.replace("panel as", "events_panel as", 1)},
 later as (select *, lead(x1, 5) over (partition by asset order by row_id) as ahead from events_panel),
 panel as (select row_number() over (order by row_id) - 1 as row_id, x1, x2, x3, x4, coalesce(ahead / nullif(x1, 0) - 1, 0.0) as y from later where ahead is not null),
 a as (select *, {rolling_sql("ts_delta", "x1", "", 3, "")} as m1, sqrt(abs(x1 * x3) + 1e-6) as m2, {rolling_sql("ts_sum", "x2", "", 5, "")} as m3, {rolling_sql("ts_max", "x1", "", 5, "")} as m from panel),
 b as (select *, {_ZS} as z from a),
 t as (select row_id, y, round({rolling_sql("ts_mean", "m1", "", 5, "")}, 9) as momentum, round({_TREE_STEPS["spread"][1]}, 9) as spread, round({_TREE_STEPS["mixed"][1]}, 9) as mixed,
   round({rolling_sql("decay", "m2", "", 5, "")}, 9) as decayed, round({cross_sql("cs_rank", "m3", "")}, 9) as ranked, round({ELEMENT_SQL["safe_tanh"].format(x="z")}, 9) as scored from b),
-w as (select *, {", ".join(f"round({_member_sql(*m)}, 9) as i{k}" for k, m in enumerate(_POPULATION))} from t),
+w as (select *, {", ".join(f"round({_member_sql(*m)}, 9) as i{k}" for k, m in enumerate(_POPULATION))} from t)"""
+add(
+    "population_scores",
+    population_query,
+    f"""{_POPULATION_SIGNALS},
 long as ({" union all ".join(f"select 'i{k}' as name, i{k} as f, y from w" for k in range(len(_POPULATION)))}),
 r as (select name, f, y, rank() over (partition by name order by f) + (count(*) over (partition by name, f) - 1) / 2.0 as rf,
   rank() over (partition by name order by y) + (count(*) over (partition by name, y) - 1) / 2.0 as ry from long),
@@ -718,6 +762,16 @@ select i, round(0.3 * ic + 0.7 * rank_ic, 4) as pps, round(ic, 4) as ic, round(r
 )
 
 
+_PERIOD = "least(row_id // ((select count(*) from w) // 7), 6)"
+add(
+    "population_errors",
+    traits_query,
+    f"""{_POPULATION_SIGNALS},
+long as ({" union all ".join(f"select {k} as i, cast({_PERIOD} as integer) as period, abs(i{k} - y) as e from w" for k in range(len(_POPULATION)))})
+select i, period, round(avg(e), 4) as err from long group by all""",
+)
+
+
 # ---- trees as rows ---------------------------------------------------------------------------------------------------------------
 
 #: A tree for every part; its key says how deep it may be and whether it grows. The defaults of a search draw from all operators.
@@ -830,14 +884,28 @@ def gp_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 add("gp_search", gp_search)
 
 
+def gp_search_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The front of a small search that reads the events panel in blocks; a generation follows PFS, constant tuning and a migration."""
+    from ..operators.engine import run_gp_panel
+
+    panel = forward_target(events_panel(spark, sf_dir), 5, close="x1", target="simple_return")
+    members = run_gp_panel(panel, FEATURES, "y", PANEL_CFG).members
+    rows = [(k, m.key, m.pps, m.rre, m.complexity) for k, m in enumerate(sorted(members, key=lambda m: (-m.pps, m.key)), 1)]
+    return spark.createDataFrame(rows, "rank int, trees string, pps double, rre double, complexity int")
+
+
+PANEL_CFG = GPConfig(population_size=8, n_trees=2, max_depth=3, n_generations=3, elite_count=2, n_islands=2, behavior_sample_size=100, hof_size=6, lexicase_n_periods=5, const_opt_every_n_gens=2, const_opt_steps=1, pfs_n_perturbations=2, migration_interval=2)
+add("gp_search_panel", gp_search_panel)
+
+
 def search_oos(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From a search on the rows up to the 70 % date to the scores of its front's members on the rows behind it."""
-    from ..operators.engine import panel_matrix, run_gp
+    from ..operators.engine import run_gp_panel
     from ..operators.oos import evaluate_oos
 
     panel = forward_target(events_panel(spark, sf_dir), 5, close="x1", target="simple_return")
     train, test = date_split(panel, 0.7, "day")
-    front = run_gp(spark, *panel_matrix(train, FEATURES, "y"), SEARCH_CFG).members
+    front = run_gp_panel(train, FEATURES, "y", SEARCH_CFG).members
     unseen = written(with_row_id(test.withColumnRenamed("row_id", "event"), ["event"]), "unseen")
     return evaluate_oos(unseen, front, FEATURES)[0]
 

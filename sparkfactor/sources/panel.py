@@ -25,18 +25,35 @@ def drop_missing(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return df.withColumns(clean).na.drop("any", subset=columns)
 
 
-def read_csv_assets(spark: SparkSession, folder: str, time: str = "open_time", close: str = "close") -> DataFrame:
+def read_csv_assets(spark: SparkSession, folder: str, time: str = "open_time", close: str = "close", by_folder: bool = False) -> DataFrame:
     """All CSV files of a folder, one asset each: asset, ts, and double features. Cells are read as text, so every null token counts.
 
-    Fails without files, with fewer than three columns, or where files differ in their columns.
+    ``by_folder``: the layout of ``write_csv_assets``, a folder of files for each asset. Fails without files, with fewer than three columns, or
+    where files differ in their columns.
     """
-    raw = spark.read.csv(f"{folder}/*.csv", header=True, inferSchema=False, enforceSchema=False)
-    if len(raw.columns) < 3 or time not in raw.columns or close not in raw.columns:
+    path = f"{folder}/asset=*" if by_folder else f"{folder}/*.csv"
+    raw = spark.read.option("basePath", folder).csv(path, header=True, inferSchema=False, enforceSchema=False)
+    columns = [c for c in raw.columns if not (by_folder and c == "asset")]
+    if len(columns) < 3 or time not in columns or close not in columns:
         raise ValueError(f"{folder}: needs {time}, {close} and another column")
-    name = F.regexp_extract(F.input_file_name(), r"([^/]+)\.csv$", 1)
-    clean = drop_missing(raw.withColumn("asset", name), raw.columns)
+    if by_folder:
+        # names of assets as they stand, not as numbers
+        kinds = ", ".join(f"`{c}` string" for c in [*columns, "asset"])
+        raw = spark.read.option("basePath", folder).csv(path, schema=kinds, header=True, enforceSchema=False)
+    else:
+        raw = raw.withColumn("asset", F.regexp_extract(F.input_file_name(), r"([^/]+)\.csv$", 1))
+    clean = drop_missing(raw, columns)
     order = F.coalesce(F.try_to_timestamp(F.col(time)), F.timestamp_millis(F.col(time).try_cast("long")))
-    return clean.select("asset", order.alias("ts"), *(F.col(c).cast("double").alias(c) for c in raw.columns if c != time))
+    return clean.select("asset", order.alias("ts"), *(F.col(c).cast("double").alias(c) for c in columns if c != time))
+
+
+def write_csv_assets(df: DataFrame, folder: str, time: str = "open_time") -> None:
+    """A panel with the column ``asset`` as CSV files with headers, a folder for each asset.
+
+    Rows are dealt by ranges of asset and time, so small assets share a task and a large one is cut into several files.
+    """
+    dealt = df.repartitionByRange("asset", time).sortWithinPartitions("asset", time)
+    dealt.write.mode("overwrite").partitionBy("asset").csv(folder, header=True, nullValue="", emptyValue="")
 
 
 def with_row_id(df: DataFrame, order: list[str]) -> DataFrame:

@@ -23,10 +23,15 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dirs[application]
 
 
+def fresh(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has used."""
+    return f"{shared_dir(spark)}/sparkfactor/{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and read from there, which cuts its lineage and fixes its rows."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/sparkfactor/{name}-{uuid.uuid4().hex}"
+    path = fresh(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -1,6 +1,8 @@
 """The search on a table in blocks of rows against the search on a matrix, and what it asks of the table against the kernels."""
 
+import datetime
 import hashlib
+import json
 
 import numpy as np
 import pytest
@@ -10,6 +12,7 @@ from sparkfactor.functions.kernels import tied_rank
 from sparkfactor.operators import engine, scores
 from sparkfactor.operators.evaluation import population_steadiness, population_traits
 from sparkfactor.operators.genetic import Individual
+from sparkfactor.plans import catalog
 from sparkfactor.plans.ir import parse
 
 TREES = [parse(t) for t in ("ts_mean(safe_mul(x1, x2), d=5)", "cs_rank(ts_delta(x1, d=3))", "cs_zscore(ts_mean(cs_rank(x2), d=3))", "safe_mul(x1, 0.0)", "x2")]
@@ -95,3 +98,35 @@ def test_an_empty_table_is_refused(spark):
     _, _, panel = data(spark, 2)
     with pytest.raises(ValueError, match="no rows"):
         engine.run_gp_panel(panel.limit(0), ["a", "b"], "y", CFG)
+
+
+class SameNoise(engine.MatrixScorer):
+    """The matrix scorer with PFS on the noise that a panel draws, made here from its definition."""
+
+    def steadiness(self, individuals, rows, behavior_rows, generation):
+        x, c, out = self.x[rows], self.cfg, []
+        seed, spread = c.seed * 100_000 + generation, np.maximum(x.std(axis=0, ddof=1), 1e-8)
+        noise = [np.array([[normal(f"{seed}-{copy}-{k + 1}-{rows.start + r}") for k in range(x.shape[1])] for r in range(len(x))]) for copy in range(c.pfs_n_perturbations)]
+        for ind in individuals:
+            base = scores.combined(ind.trees, ind.weights, ind.combination, x)
+            ok = np.isfinite(base).all() and base.std(ddof=1) >= 1e-8
+            moved = [scores.combined(ind.trees, ind.weights, ind.combination, x + c.pfs_noise_scale * spread * m) for m in noise] if ok else []
+            out.append(float(np.mean([scores.rank_corr(f, tied_rank(base)) for f in moved])) if ok else 0.0)
+        return out
+
+
+def test_registered_search_equals_a_search_on_the_matrix(spark, tmp_path):
+    """PFS, tuning and migration included, a generation behind them."""
+    c = catalog.PANEL_CFG
+    assert c.optimize_constants and max(c.const_opt_every_n_gens, c.migration_interval) < c.n_generations and c.n_islands > 1 and c.weights.pfs > 0
+    rng, n = np.random.default_rng(8), 240
+    start = datetime.datetime(2024, 1, 1, tzinfo=datetime.timezone.utc)
+    rows = [(i, start + datetime.timedelta(minutes=7 * i), i % 3, "click", float(rng.uniform(1, 9)), json.dumps({"k": int(rng.integers(100))})) for i in range(n)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    got = catalog.gp_search_panel(spark, str(tmp_path)).orderBy("rank").collect()
+    panel = catalog.forward_target(catalog.events_panel(spark, str(tmp_path)), 5, close="x1", target="simple_return")
+    want = engine.search(SameNoise(spark, *engine.panel_matrix(panel, catalog.FEATURES, "y"), c), c).members
+    assert len(got) == len(want) > 0
+    for r, w in zip(sorted((r.pps, r.rre, r.complexity) for r in got), sorted((m.pps, m.rre, m.complexity) for m in want), strict=True):
+        assert np.allclose(r, w, atol=1e-6)
+    assert [r.pps for r in got] == sorted((r.pps for r in got), reverse=True)
