@@ -15,6 +15,10 @@ No piece but runs of the blank mark holds that mark inside, so a text falls into
 are products of its parts' segmentations. That is checked when the file is read. Parts repeat, so each is solved once in a worker
 process, which keeps up to ``KNOWN_PARTS`` of them from task to task.
 
+Of the n best segmentations of a text all parts but n - 1 take their best one. So all new parts of a run go through the forward pass
+together, for their best segmentation and what the second best loses; the A-star search is for the parts that may deviate, and for
+those whose best isn't the only one.
+
 Defined cases: null and empty texts have no pieces: a count of 0 with score 0, and one segmentation that is empty. Rows that share
 a doc_id, or have none, are handled one by one. Other columns are ignored, whatever their names. An empty table gives no rows.
 """
@@ -38,8 +42,10 @@ from pyspark.sql import functions as F
 
 BLANK = "▁"
 UNKNOWN_PENALTY = 10.0
-#: Parts and segments of parts kept in a worker, the longest kept, and the characters that are handled in one go.
+#: Parts and searched parts kept in a worker, the longest kept, and the characters that are handled in one go.
 KNOWN_PARTS, KNOWN_SEGMENTS, LONGEST, CHUNK_CHARS = 500_000, 200_000, 60, 4_000_000
+#: Characters of the parts that go through the forward pass together.
+TOGETHER_CHARS = 1 << 17
 PART = re.compile(" +[^ ]*")
 score_of = itemgetter(0)
 
@@ -71,6 +77,15 @@ class Vocabulary:
         for p, (i, s) in self.pieces.items():
             self.automaton.add_word(p, (len(p), s, i))
         self.automaton.make_automaton()
+        self.sizes, self.scores = np.zeros(sp.get_piece_size() + 1, np.int64), np.zeros(sp.get_piece_size() + 1)
+        self.ids = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for p, (i, s) in self.pieces.items():
+            self.sizes[i], self.scores[i] = len(p), s
+            self.ids.add_word(p, i)
+        self.ids.make_automaton()
+        # the last place is what id -1 finds: an unknown character
+        self.sizes[-1], self.scores[-1] = 1, self.least
+        self.apart = next(c for c in map(chr, range(0x10FFFF, 0, -1)) if all(c not in p for p in self.pieces))
 
     def unknown_ids(self, ch: str) -> list[int]:
         return [self.bytes[b] for b in ch.encode("utf-8", "surrogatepass")] if self.bytes else [self.unknown]
@@ -108,6 +123,71 @@ class Vocabulary:
                     pieces[end] = pieces[start] + (1 if i >= 0 else len(self.unknown_ids(part[start])))
         return best[n], pieces[n]
 
+    def two_best(self, parts: list[str]) -> Iterator[tuple[float, float, bytes]]:
+        """For each part the best score, what the second best loses (infinite if there is none) and the best one's packed ids.
+
+        The places of all parts are numbered in one text, and the forward pass takes the places of one distance from their part's start
+        together. If the second best loses nothing, the ids are those of any of the best.
+        """
+        if not parts:
+            return
+        text = self.apart.join([*parts, ""])
+        size = np.fromiter(map(len, parts), np.int64, len(parts))
+        ends = np.cumsum(size + 1) - 1
+        begins = ends - size
+        met = np.fromiter(self.ids.iter(text), [("end", np.int64), ("id", np.int64)])
+        end, ids = met["end"] + 1, met["id"]
+        start = end - self.sizes[ids]
+        unknown = np.ones(len(text), bool)
+        unknown[ends] = False
+        unknown[start[self.sizes[ids] == 1]] = False
+        unknown = np.flatnonzero(unknown)
+        start, end, ids = np.concatenate([start, unknown]), np.concatenate([end, unknown + 1]), np.concatenate([ids, np.full(len(unknown), -1)])
+        depth = np.arange(len(text)) - np.repeat(begins, size + 1)
+        order = np.argsort(end, kind="stable")
+        order = order[np.argsort(depth[end[order]].astype(np.uint16), kind="stable")]
+        start, end, ids = start[order], end[order], ids[order]
+        score, levels = self.scores[ids], np.concatenate([[0], np.cumsum(np.bincount(depth[end], minlength=2))])
+        best, second, by = np.full(len(text), -np.inf), np.full(len(text), -np.inf), np.zeros(len(text), np.int64)
+        best[begins] = 0.0
+        for a, b in zip(levels[1:], levels[2:], strict=False):
+            place = end[a:b]
+            groups = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+            n = np.diff(groups, append=b - a)
+            first, other = best[start[a:b]] + score[a:b], second[start[a:b]] + score[a:b]
+            top, place = np.maximum.reduceat(first, groups), place[groups]
+            which = np.minimum.reduceat(np.where(first == np.repeat(top, n), np.arange(b - a), b - a), groups)
+            first[which] = -np.inf
+            best[place], second[place], by[place] = top, np.maximum.reduceat(np.maximum(first, other), groups), a + which
+        # from the ends back along the best edges
+        own, at, paths = np.arange(len(parts)), ends, []
+        while len(own):
+            edge = by[at]
+            paths.append((own, edge))
+            at = start[edge]
+            more = at > begins[own]
+            own, at = own[more], at[more]
+        lengths = np.zeros(len(parts), np.int64)
+        for own, _ in paths:
+            lengths[own] += 1
+        upto, path = np.cumsum(lengths), np.empty(lengths.sum(), np.int64)
+        for k, (own, edge) in enumerate(paths, 1):
+            path[upto[own] - k] = edge
+        packed = ids[path]
+        odd = np.flatnonzero(packed < 0)
+        if len(odd):
+            spelt = {c: self.unknown_ids(c) for c in {text[k] for k in start[path[odd]].tolist()}}
+            lists = [spelt[text[k]] for k in start[path[odd]].tolist()]
+            n = np.ones(len(path), np.int64)
+            n[odd] = list(map(len, lists))
+            stops = np.cumsum(n)
+            packed, upto = np.repeat(packed, n), stops[upto - 1]
+            packed[packed < 0] = [i for x in lists for i in x]
+        data, cuts = packed.astype("<u4").tobytes(), (4 * upto).tolist()
+        loss = best[ends] - second[ends]
+        for s, lost, a, b in zip(best[ends].tolist(), loss.tolist(), [0, *cuts], cuts, strict=False):
+            yield s, lost, data[a:b]
+
     def nbest(self, part: str, n: int) -> list[tuple[float, list[int]]]:
         """The ``n`` best segmentations, best first, by A-star from the end.
 
@@ -177,7 +257,7 @@ def vocabulary(path: str) -> Vocabulary:
 
 @lru_cache(maxsize=3)
 def known_parts(path: str, n: int) -> dict:
-    """What this process has solved: counts for ``n`` = 0, else the ``n`` best segmentations, with ``-n`` those of segments."""
+    """What this process has solved: counts for ``n`` = 0, else best segmentations, with ``-n`` the ``n`` best of parts and segments searched."""
     return {}
 
 
@@ -264,46 +344,61 @@ def segmentations(docs: DataFrame, model_path: str, n: int = 4, with_ids: bool =
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, known, solved_segments = vocabulary(model_path), known_parts(model_path, n), known_parts(model_path, -n)
-
-        def best_of(segment: str) -> tuple:
-            """The best of a segment, as (score, packed ids)."""
-            found = solved_segments.get(segment)
-            if found is None:
-                found = tuple((s, struct.pack(f"<{len(ids)}I", *ids)) for s, ids in words.nbest(segment, n))
-                if len(solved_segments) < KNOWN_SEGMENTS and len(segment) <= LONGEST:
-                    solved_segments[segment] = found
-            return found
+        words, known, searched = vocabulary(model_path), known_parts(model_path, n), known_parts(model_path, -n)
 
-        def solve(part: str) -> tuple[float, float, bytes, bytes]:
-            """Best score, loss of the second best, the best one's ids, and the others packed; small, as many are kept.
+        def best_of(part: str) -> tuple:
+            """The best of a part or segment, as (score, packed ids).
 
             A part's segmentations are products of its segments', of which the best are kept segment by segment.
             """
-            first, *more = words.segments(part)
-            every = best_of(first)
-            for segment in more:
-                other = best_of(segment)
-                if len(every) == len(other) == 1:
-                    every = ((every[0][0] + other[0][0], every[0][1] + other[0][1]),)
+            every = searched.get(part)
+            if every is None:
+                first, *more = words.segments(part)
+                if not more:
+                    every = tuple((s, struct.pack(f"<{len(ids)}I", *ids)) for s, ids in words.nbest(part, n))
                 else:
-                    every = sorted([(a + b, x + y) for a, x in every for b, y in other], key=score_of, reverse=True)[:n]
-            rest = b"".join([struct.pack("<dI", s, len(ids) // 4) + ids for s, ids in every[1:]])
-            s, ids = every[0]
-            return s, s - every[1][0] if rest else np.inf, ids, rest
-
-        def choices(solved: tuple) -> list[tuple[float, np.ndarray]]:
-            out, at, rest = [(solved[0], np.frombuffer(solved[2], "<u4"))], 0, solved[3]
-            while at < len(rest):
-                s, k = struct.unpack_from("<dI", rest, at)
-                out.append((s, np.frombuffer(rest, "<u4", k, at + 12)))
-                at += 12 + 4 * k
+                    every = best_of(first)
+                for segment in more:
+                    other = best_of(segment)
+                    if len(every) == len(other) == 1:
+                        every = ((every[0][0] + other[0][0], every[0][1] + other[0][1]),)
+                    else:
+                        every = sorted([(a + b, x + y) for a, x in every for b, y in other], key=score_of, reverse=True)[:n]
+                if len(searched) < KNOWN_SEGMENTS and len(part) <= LONGEST:
+                    searched[part] = every
+            return every
+
+        def solve(part: str) -> tuple[float, float, bytes]:
+            every = best_of(part)
+            return every[0][0], every[0][0] - every[1][0] if len(every) > 1 else np.inf, every[0][1]
+
+        def solved_parts(unique: list[str]) -> list[tuple[float, float, bytes]]:
+            """Best score, loss of the second best and the best one's packed ids of each part."""
+            out = list(map(known.get, unique))
+            new = [i for i, x in enumerate(out) if x is None]
+            short = [i for i in new if len(unique[i]) <= LONGEST]
+            upto = np.cumsum([len(unique[i]) for i in short])
+            first = 0
+            while first < len(short):
+                last = max(first + 1, int(np.searchsorted(upto, (upto[first - 1] if first else 0) + TOGETHER_CHARS, "right")))
+                some = short[first:last]
+                for i, x in zip(some, words.two_best([unique[i] for i in some]), strict=True):
+                    out[i] = x if x[1] > 0 else solve(unique[i])
+                first = last
+            for i in short[: max(0, KNOWN_PARTS - len(known))]:
+                known[unique[i]] = out[i]
+            for i in new:
+                if out[i] is None:
+                    out[i] = solve(unique[i])
             return out
 
+        def choices(part: str) -> list[tuple[float, np.ndarray]]:
+            return [(s, np.frombuffer(ids, "<u4")) for s, ids in best_of(part)]
+
         for batch in batches:
             doc = 0
             for bounds, index, unique in chunks(batch.column(1)):
-                solved = _solved(unique, known, solve)
+                solved = solved_parts(unique)
                 size = np.fromiter((len(x[2]) // 4 for x in solved), np.int64, len(solved))
                 pool, start = np.frombuffer(b"".join([x[2] for x in solved]), "<u4"), np.cumsum(size) - size
                 score, loss = (np.array([x[k] for x in solved], float) for k in (0, 1))
@@ -318,7 +413,7 @@ def segmentations(docs: DataFrame, model_path: str, n: int = 4, with_ids: bool =
                     few = np.flatnonzero(loose <= np.partition(loose, n - 2)[n - 2]) if 1 < n <= len(own) else np.arange(len(own))
                     few = few[np.argsort(loose[few], kind="stable")][: n - 1]
                     few = np.sort(few[np.isfinite(loose[few])])
-                    lists = [choices(solved[own[k]]) for k in few]
+                    lists = [choices(unique[own[k]]) for k in few]
                     first = sum(x[0][0] for x in lists)
                     for rank, (lost, choice) in enumerate(combined(lists, n), 1):
                         cuts, at = [], 0

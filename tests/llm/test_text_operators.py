@@ -2,6 +2,7 @@
 
 import random
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 from itertools import product
@@ -321,6 +322,33 @@ def test_nbest_is_exact():
         assert all((s, ids) in every for s, ids in got) and v.count(part)[0] == every[0][0]
 
 
+def test_forward_pass_of_many_parts_is_exact():
+    """Best score, loss of the second best and, where that isn't 0, the best one's ids, all parts in one go."""
+    v, rng = pieces.vocabulary(PIECE), random.Random(10)
+    parts = ["▁", "▁▁▁", "▁日x", "▁a\nb", "▁\U0010ffff", "▁\U0010ffff日é", "▁stéad"] + ["▁" + "".join(rng.choice("theandsionrwlé日,%") for _ in range(rng.randint(1, 9))) for _ in range(150)]
+    for part, (score, loss, ids) in zip(parts, v.two_best(parts), strict=True):
+        every = brute_segmentations(v, part)
+        assert score == every[0][0] and loss == (score - every[1][0] if len(every) > 1 else float("inf")), part
+        got = list(struct.unpack(f"<{len(ids) // 4}I", ids))
+        assert got == every[0][1] if loss else (score, got) in every, part
+    assert list(v.two_best([])) == []
+
+
+def test_only_parts_that_may_deviate_are_searched(spark, monkeypatch):
+    """A text of 400 different words: its 4 best segmentations differ in 3 parts, and no other is searched unless its best has an equal."""
+    rng, searched, nbest = random.Random(11), [], pieces.Vocabulary.nbest
+    monkeypatch.setattr(pieces.Vocabulary, "nbest", lambda self, part, n: searched.append(part) or nbest(self, part, n))
+    words = ["".join(rng.choice("theandsionrwl") for _ in range(rng.randint(5, 12))) for _ in range(400)]
+    held = type("Held", (), {"select": lambda self, *_: self, "mapInArrow": lambda self, run, _: run})()
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([1]), "text": pa.array([" ".join(words)])})
+    pieces.known_parts.cache_clear()
+    got = [r for b in pieces.segmentations(held, PIECE, 4)(iter([batch])) for r in b.to_pylist()]
+    v = pieces.vocabulary(PIECE)
+    assert [r["score"] for r in got] == best_sums([nbest(v, "▁" + w, 4) for w in words], 4)
+    equal = sum(len(x) > 1 and x[0][0] == x[1][0] for x in (nbest(v, "▁" + w, 2) for w in words))
+    assert len(searched) <= 4 * (3 + equal) < 100
+
+
 def test_counts_follow_the_tokenizer():
     from tokenizers.models import Unigram
 
