@@ -56,6 +56,27 @@ def test_archive_equals_one_by_one(spark, slack, margin, turns, first):
     assert archive.novelty_archive(frame.limit(0), 12, 3).count() == 0
 
 
+@pytest.mark.parametrize("size,k", [(1, 3), (2, 5), (3, 3), (5, 3)])
+def test_small_archive_equals_one_by_one(spark, size, k):
+    """Fewer than k entries, just k, and a few more, on a stream that spreads out and comes back."""
+    rng = np.random.default_rng(5)
+    prints = list(enumerate(rng.normal(size=(150, 4)) * np.concatenate([np.ones(70), np.linspace(1, 3, 50), np.ones(30)])[:, None]))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in prints], SCHEMA).repartition(3)
+    got = archive.novelty_archive(frame, size, k, turns=9, first=20).orderBy("place").collect()
+    assert [r.ind_id for r in got] == plain_archive(prints, size, k)
+
+
+def test_archive_that_stays_small_leaves_few_to_the_driver(spark, monkeypatch):
+    """On directions alone hardly more than k ever enter; all others are refused by executors, whatever the room."""
+    prints, turns, offer = np.random.default_rng(6).normal(size=(3000, 24)), [], archive.NoveltyArchive.offer
+    prints /= np.linalg.norm(prints, axis=1)[:, None]
+    monkeypatch.setattr(archive.NoveltyArchive, "offer", lambda self, b, name=None: turns.append(name) or offer(self, b, name))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(prints)], SCHEMA)
+    got = [r.ind_id for r in archive.novelty_archive(frame, 50, 5).orderBy("place").collect()]
+    assert got == plain_archive(list(enumerate(prints)), 50, 5) and len(got) < 9
+    assert len(turns) < archive.TURNS + 100
+
+
 def test_executors_leave_few_to_the_driver(spark):
     """Behind the first stretch nearly all fingerprints of a settled stream are refused without their turn."""
     rng = np.random.default_rng(3)
