@@ -77,6 +77,14 @@ def test_archive_that_stays_small_leaves_few_to_the_driver(spark, monkeypatch):
     assert len(turns) < archive.TURNS + 100
 
 
+def test_archive_over_ranges_equals_one_by_one(spark, monkeypatch):
+    """A stream that is put in order by ranges, not in one task."""
+    monkeypatch.setattr(archive, "ONE_TASK_ROWS", 50)
+    prints = list(enumerate(np.random.default_rng(7).normal(size=(300, 6))))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in reversed(prints)] + ODD, SCHEMA).repartition(3)
+    assert [r.ind_id for r in archive.novelty_archive(frame, 12, 3).orderBy("place").collect()] == plain_archive(prints, 12, 3)
+
+
 def test_executors_leave_few_to_the_driver(spark):
     """Behind the first stretch nearly all fingerprints of a settled stream are refused without their turn."""
     rng = np.random.default_rng(3)
