@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,12 +17,25 @@ SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
 
 
-def release(batches: Iterator) -> Iterator:
+#: Functions that drop what an operator keeps in its workers from task to task; a module adds its own when it is imported.
+drop_kept: list[Callable[[], None]] = []
+
+
+def release(batches: Iterator, keep: bool = False) -> Iterator:
     """The batches; when they end, the worker gives the memory that it has freed back to the system.
 
-    Workers live on between stages, so what one stage has freed but kept would add to the next one's peak.
+    Workers live on between stages, so what one stage has freed but kept would add to the next one's peak. What operators keep from
+    task to task goes before the first batch, unless the task is of one that uses it (``keep``).
     """
+    if not keep:
+        for drop in drop_kept:
+            drop()
+        _trim()
     yield from batches
+    _trim()
+
+
+def _trim() -> None:
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:

@@ -28,6 +28,8 @@ BITS, ORDERS = 15, (1, 2, 3)
 PER_LANGUAGE = 600
 EPOCHS, ALPHA, BETA, L1, L2 = 4, 2.0, 1.0, 0.02, 0.001
 UNKNOWN = "und"
+#: Rows that a worker hands back at once.
+BATCH_ROWS = 1000
 _FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
@@ -137,14 +139,17 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, doc_id: str = "doc_id
 def predict(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = (), text: str = "text") -> DataFrame:
     """``keep`` columns, lang_pred and score for each row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    letters = F.when(F.col(text).rlike(r"\p{L}"), F.col(text))
+    letters = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
+    # a text that is kept goes to the worker once
+    sent = list(keep) if text in keep else [*keep, text]
+    at_text, n_kept = sent.index(text), len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in batches:
+        for batch in (b.slice(first, BATCH_ROWS) for b in batches for first in range(0, b.num_rows, BATCH_ROWS)):
             lang, score = [], []
-            for t in batch.column(batch.num_columns - 1):
-                if m is None or not t.is_valid:
+            for t, known in zip(batch.column(at_text), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+                if m is None or not known:
                     lang.append(UNKNOWN)
                     score.append(0.0)
                     continue
@@ -152,11 +157,11 @@ def predict(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = (), te
                 p = _softmax((weighted(at, n, m.idf) @ m.weights[at] + m.bias) / m.temperature)
                 lang.append(m.languages[int(p.argmax())])
                 score.append(float(p.max()))
-            columns = [*batch.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64())]
+            columns = [*batch.columns[:n_kept], pa.array(lang, pa.string()), pa.array(score, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, "lang_pred", "score"])
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    return docs.select(*keep, letters.alias("_t")).mapInArrow(lambda batches: release(run(batches)), ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "lang_pred string", "score double"]))
+    return docs.select(*sent, letters.alias("_letters")).mapInArrow(lambda batches: release(run(batches)), ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "lang_pred string", "score double"]))
 
 
 def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:

@@ -106,7 +106,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, max_len: int
     fields = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("task", pa.int32()), ("nth", pa.int64())]
     schema = pa.schema(fields + [("ids", pa.list_(pa.int32()))] * with_ids)
     kinds = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long" + ", ids array<int>" * with_ids
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(lambda batches: release(cut(batches)), kinds)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(lambda batches: release(cut(batches), keep=True), kinds)
 
 
 def place(pieces: DataFrame, max_len: int = 2048) -> DataFrame:
@@ -116,7 +116,9 @@ def place(pieces: DataFrame, max_len: int = 2048) -> DataFrame:
     dealt = written(dealt, "lengths")
     counts = {r.length: r.n for r in dealt.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     runs, _ = best_fit_plan(counts, max_len)
-    plan = spark.createDataFrame(runs, "r_length long, r_first long, r_n long, r_each long, r_bin long, r_offset long")
+    # from Arrow, as a list would start a second set of Python workers that stay beside the first
+    columns = np.array(runs, np.int64).reshape(-1, len(Run._fields)).T
+    plan = spark.createDataFrame(pa.table({f"r_{name}": pa.array(c) for name, c in zip(Run._fields, columns, strict=True)}))
     earlier = W.partitionBy("length").orderBy("task").rowsBetween(W.unboundedPreceding, -1)
     before = dealt.select(F.col("task").alias("b_task"), F.col("length").alias("b_length"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     ranked = pieces.join(before, (F.col("task") == F.col("b_task")) & (F.col("length") == F.col("b_length"))).withColumn("rank", F.col("before") + F.col("nth"))

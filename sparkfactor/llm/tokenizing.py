@@ -17,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import drop_kept
+
 #: Fixed value: white space outside ASCII and the control characters that libraries class differently (an RE2 class body).
 ODD_SPACE = r"\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 #: Pieces kept, the longest piece that is kept, and the characters that are encoded in one go.
@@ -129,3 +131,6 @@ class CachedEncoder:
 def encoder(path: str) -> CachedEncoder:
     """One encoder for each Python worker and file."""
     return CachedEncoder(path)
+
+
+drop_kept.append(encoder.cache_clear)

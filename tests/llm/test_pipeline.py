@@ -9,11 +9,13 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
+from pyspark.sql import functions as F
 from test_text_operators import brute_components, crc
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from sparkfactor.llm import langid, quality
+from sparkfactor.llm import langid, packing, quality, tokenizing
+from sparkfactor.llm.common import release
 
 WORDS = {
     "en": "the river of stone and light in water under green paper house with a small bridge near that old road".split(),
@@ -121,3 +123,35 @@ def test_odd_tables(spark, odd_docs, no_docs, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         out = stage(spark, out, str(tmp_path))
         assert out.count() == 0
+
+
+def test_workers_drop_the_encoder(tmp_path):
+    """An operator that doesn't tokenise drops the encoder that packing has left in a worker; packing's own tasks keep it."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizing.encoder(path)
+    assert list(release(iter([1]), keep=True)) == [1] and tokenizing.encoder.cache_info().currsize == 1
+    assert list(release(iter([1, 2]))) == [1, 2] and tokenizing.encoder.cache_info().currsize == 0
+
+
+def test_language_id_sends_a_text_once(spark, tmp_path):
+    """Texts that are kept aren't sent a second time to be read, and rows come back in small batches, in order."""
+    docs = spark.createDataFrame(table(), "doc_id long, text string, lang string, source string, n_chars long")
+    model = langid.fit(docs)
+    many = docs.select("*", F.explode(F.sequence(F.lit(1), F.lit(20))).alias("k")).repartition(2).select(*corpus_pipeline.COLUMNS, "k")
+    named = langid.predict(many, model, (*corpus_pipeline.COLUMNS, "k"))
+    sent = named._jdf.queryExecution().analyzed().children().head().schema()
+    assert [f.dataType().simpleString() for f in map(sent.apply, range(sent.size()))].count("string") == 3
+    expected = {(r.doc_id, r.text): predicted(model, r.text) if re.search(r"[^\W\d_]", r.text or "") else ("und", 0.0) for r in docs.collect()}
+    rows = named.collect()
+    assert len(rows) == 20 * len(expected) and len({(r.doc_id, r.text, r.k) for r in rows}) == len(rows)
+    for r in rows:
+        lang, score = expected[r.doc_id, r.text]
+        assert r.lang_pred == lang and math.isclose(r.score, score, abs_tol=1e-4)
+
+
+def test_packing_starts_no_second_workers(spark):
+    """The plan of runs comes as Arrow data, not through an RDD of Python objects, which has workers of its own."""
+    pieces = spark.range(50).selectExpr("id as doc_id", "1 + id % 7 as length", "0 as task", "id div 7 as nth")
+    placed = packing.place(pieces, 16)
+    assert "ExistingRDD" not in placed._jdf.queryExecution().toString()
+    assert placed.count() == 50
