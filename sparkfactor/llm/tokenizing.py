@@ -1,8 +1,8 @@
 """Exact, cached encoding with a ``tokenizers`` model file.
 
 Most time of a BPE encoder goes to words that it has seen before. A text is cut where the model's own pre-tokenizer always
-cuts, the pieces' ids are kept in a bounded table, and only new pieces reach the library. Texts for which a cut could change
-the ids go to the library whole.
+cuts, the pieces' ids are kept in a bounded table, and new pieces are cut further into parts, of which only new ones reach the
+library, many in one text. Texts for which a cut could change the ids go to the library whole.
 """
 
 from __future__ import annotations
@@ -23,6 +23,12 @@ from .common import drop_kept
 ODD_SPACE = r"\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 #: Pieces kept, the longest piece that is kept, and the characters that are encoded in one go.
 CACHE_PIECES, CACHE_CHARS, CHUNK_CHARS = 400_000, 40, 4_000_000
+#: Letters in every version of Unicode that neither normal forms nor lower case take apart, and characters that never
+#: belong to the word before them.
+LETTER = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0132-\u0148\u014a-\u017e\u0400-\u0481]"
+BEHIND = r"[.,!?;:#&%*$|<>()\-\n]"
+#: What marks a cut within a piece (texts that hold it are encoded whole), and the parts that the library gets in one text.
+CUT, TOGETHER = "\0", 2_000
 
 
 class CachedEncoder:
@@ -42,8 +48,10 @@ class CachedEncoder:
         self.lowers = self.mode == "drop" and ('"Lowercase"' in norm or '"lowercase": true' in norm)
         special = [re.escape(t["content"]) for t in spec.get("added_tokens") or []]
         runs = [r"  ", r" [\t\n\v\f\r]", r"^ ", r" $"] if self.mode == "lead" else []
-        self.whole = "(?s)" + "|".join([f"[{ODD_SPACE}]", *special, *runs])
+        self.whole = "(?s)" + "|".join([f"[{ODD_SPACE}]", r"\x{0}", *special, *runs])
         self.cache: dict[str, bytes] = {}
+        self.solid = re.compile(" [^ ]+" if self.mode == "lead" else f"{LETTER}+").fullmatch
+        self.marks = self._marks(spec)
 
     @staticmethod
     def _mode(spec: dict) -> str:
@@ -64,25 +72,65 @@ class CachedEncoder:
     def _key(self, piece: str) -> str:
         return piece.lower() if self.lowers and piece.isascii() else piece
 
+    def _marks(self, spec: dict) -> np.ndarray | None:
+        """For each id if it is the first (``lead``) or last (``drop``) one of a word, where the vocabulary tells."""
+        suffix = spec["model"].get("end_of_word_suffix")
+        if self.mode == "none" or self.mode == "drop" and not suffix:
+            return None
+        vocab = self.tokenizer.get_vocab()
+        marks = np.zeros(max(vocab.values()) + 1, bool)
+        marks[[i for t, i in vocab.items() if (t.startswith("\u0120") if self.mode == "lead" else t.endswith(suffix))]] = True
+        return marks
+
+    def _cut(self, pieces: list[str]) -> pa.Array:
+        """The parts of each piece that are apart to the model: a word, what is behind it, and the word behind a single line end."""
+        cut = pc.replace_substring_regex(pa.array(pieces, pa.large_string()), f"({LETTER})({BEHIND})", f"\\1{CUT}\\2")
+        if self.mode == "lead":
+            # of several line ends the model takes the last one apart, but only before a word
+            cut = pc.replace_substring_regex(cut, rf"([^ \t\n\v\f\r]\n)({LETTER})", f"\\1{CUT}\\2")
+        return pc.split_pattern(cut, CUT)
+
+    def _together(self, parts: list[str]) -> list[bytes]:
+        """The ids of parts for which ``solid`` holds, encoded in one text and cut at the marks."""
+        joined = "".join(parts) if self.mode == "lead" else " ".join(parts)
+        ids = np.asarray(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, self.dtype)
+        at = np.flatnonzero(self.marks[ids])
+        if len(at) != len(parts):
+            return self._raw(parts)
+        ends = np.append(at, len(ids)) if self.mode == "lead" else np.append(0, at + 1)
+        raw, ends = ids.tobytes(), (ends * self.dtype.itemsize).tolist()
+        return [raw[i:j] for i, j in zip(ends, ends[1:], strict=False)]
+
+    def _new(self, parts: list[str]) -> dict[str, bytes]:
+        solid = [p for p in parts if self.solid(p)] if self.marks is not None else []
+        found = {}
+        for k in range(0, len(solid), TOGETHER):
+            run = solid[k : k + TOGETHER]
+            found.update(zip(run, self._together(run), strict=True))
+        alone = [p for p in parts if p not in found]
+        return found | dict(zip(alone, self._raw(alone), strict=True))
+
     def lookup(self, pieces: list[str]) -> list[bytes]:
-        """The ids of pieces. A full stop or comma behind a letter is a piece of its own to the model, so it is looked up apart."""
+        """The ids of pieces. New pieces are cut into parts, and only new parts reach the library."""
         cache = self.cache
         out = list(map(cache.get, pieces))
         new = [i for i, ids in enumerate(out) if ids is None]
         if not new:
             return out
-        parts = {}
-        for i in new:
-            p = pieces[i]
-            cut = len(p) > 1 and p[-1] in ".," and p[-2].isalpha()
-            parts[i] = (self._key(p[:-1] if cut else p), p[-1] if cut else "")
-        keys = list({k for pair in parts.values() for k in pair if k and k not in cache})
-        found = dict(zip(keys, self._raw(keys), strict=True)) | {"": b""}
-        for i, (k, tail) in parts.items():
-            out[i] = (found[k] if k in found else cache[k]) + (found[tail] if tail in found else cache[tail])
-            found[pieces[i]] = out[i]
+        cut = self._cut([pieces[i] for i in new])
+        coded = cut.flatten().dictionary_encode()
+        keys = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        keys = list(map(self._key, keys)) if self.lowers else keys
+        found = self._new(list(dict.fromkeys(k for k in keys if k not in cache)))
+        known = [found[k] if k in found else cache[k] for k in keys]
+        parts, ends = [known[i] for i in coded.indices.to_numpy().tolist()], cut.offsets.to_numpy().tolist()
+        for i, a, b in zip(new, ends, ends[1:], strict=False):
+            out[i] = parts[a] if b - a == 1 else b"".join(parts[a:b])
+        if len(cache) < CACHE_PIECES // 4:
+            # the first pieces hold the frequent ones; after them the room is for parts, from which others are put together
+            found |= {pieces[i]: out[i] for i in new}
         if len(cache) + len(found) <= CACHE_PIECES:
-            cache.update((k, ids) for k, ids in found.items() if k and len(k) <= CACHE_CHARS)
+            cache.update((k, ids) for k, ids in found.items() if len(k) <= CACHE_CHARS)
         return out
 
     def _regular(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -98,11 +146,9 @@ class CachedEncoder:
             unique = [" " + u for u in unique] + heads
         ids = self.lookup(unique)
         size = np.fromiter(map(len, ids), np.int64, len(ids)) // self.dtype.itemsize
-        pool, start = np.frombuffer(b"".join(ids), self.dtype), np.cumsum(size) - size
-        n = size[index]
-        ends = np.cumsum(n)
-        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(start[index] - (ends - n), n)
-        return pool[at], np.concatenate([[0], ends])[bounds]
+        held = np.empty(len(ids), object)
+        held[:] = ids
+        return np.frombuffer(b"".join(held[index].tolist()), self.dtype), np.concatenate([[0], np.cumsum(size[index])])[bounds]
 
     def encode(self, texts: pa.Array, chunk_chars: int = CHUNK_CHARS) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For runs of texts: the first one's number, the ids of the run, and the texts' bounds in them. Null texts are empty.

@@ -35,6 +35,36 @@ def test_cached_encoder_equals_the_library(path):
     assert found == [enc.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_new_pieces_reach_the_library_in_few_texts(path, monkeypatch):
+    rng = random.Random(2)
+    words = list({"".join(rng.choice("abcdeéñßж") for _ in range(9)) for _ in range(6000)})
+    texts = ["a " + " ".join(words[k : k + 50]) for k in range(0, len(words), 50)]
+    glued = ["a " + " ".join(f"{w}&&&, {w}." for w in words[k : k + 50]) for k in range(0, len(words), 50)]
+    lines = ["a " + " ".join(f"{w}.\n{w}! {w}.\n\n{w} {w}\n\t{w}" for w in words[k : k + 50]) for k in range(0, 1000, 50)]
+    monkeypatch.setattr(tokenizing, "CACHE_PIECES", 20_000)
+    enc, given = tokenizing.CachedEncoder(path), []
+    library = enc.tokenizer
+
+    class Counted:
+        def encode_batch_fast(self, some, **kw):
+            given.extend(some)
+            return library.encode_batch_fast(some, **kw)
+
+    enc.tokenizer = Counted()
+    for some, most in ((texts, 40), (glued, 40), (lines, 5000)):
+        given.clear()
+        found = [ids[a:b].tolist() for _, ids, bounds in enc.encode(pa.array(some, pa.string())) for a, b in zip(bounds, bounds[1:], strict=False)]
+        assert len(given) <= most
+        assert found == [library.encode(t, add_special_tokens=False).ids for t in some]
+
+
+def test_marks_that_do_not_fit_are_not_used():
+    enc = tokenizing.CachedEncoder(BYTE)
+    enc.marks[:] = False
+    assert [ids.tolist() for _, ids, _ in enc.encode(pa.array(["some new words. Here"]))] == [enc.tokenizer.encode("some new words. Here").ids]
+
+
 def test_elias_fano_round_trip():
     rng = np.random.default_rng(3)
     for values in ([], [0], [5], [0, 0, 0], np.sort(rng.integers(0, 10**9, 1000)), np.arange(300), [0, 2**40]):
