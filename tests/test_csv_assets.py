@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkfactor.operators.oos import MEMBER_KIND, overfit, overfit_table
+from sparkfactor.sources import panel
 from sparkfactor.sources.panel import read_csv_assets, write_csv_assets
 
 
@@ -27,6 +28,19 @@ def test_a_large_asset_is_several_files(spark, tmp_path):
     assert read_csv_assets(spark, f"{tmp_path}/b", by_folder=True).groupBy("asset").count().orderBy("asset").collect() == [("cold", 800), ("hot", 3200)]
 
 
+def test_many_assets_share_files(spark, tmp_path, monkeypatch):
+    """Beyond the bound no asset has a folder, and names and cells come back all the same."""
+    monkeypatch.setattr(panel, "ASSET_FOLDERS", 40)
+    odd = ["01", "a:b c", "x=y", "é/z", ' "q", +', "50%", "line\nend", "asset=1"]
+    rows = [(a, f"2024-01-{d:02d} 10:00:00", str(d * 1.5) if d != 3 else "NA", str(d)) for a in [*odd, *(f"s{k:03d}" for k in range(60))] for d in range(1, 6)]
+    for n, layout in ((5 * 40, 40), (len(rows), 0)):
+        folder = f"{tmp_path}/{layout}"
+        write_csv_assets(spark.createDataFrame(rows[:n], "asset string, open_time string, close string, volume string"), folder)
+        assert len(list(tmp_path.glob(f"{layout}/asset=*"))) == layout
+        got = read_csv_assets(spark, folder, by_folder=True).select("asset", F.date_format("ts", "dd").cast("int").alias("d"), "close", "volume").collect()
+        assert sorted(map(tuple, got)) == sorted((a, int(v), float(c), float(v)) for a, _, c, v in rows[:n] if c != "NA")
+
+
 def test_too_few_columns(spark, tmp_path):
     write_csv_assets(spark.createDataFrame([("a", "1", "2")], "asset string, open_time string, close string"), f"{tmp_path}/c")
     with pytest.raises(ValueError, match="another column"):
