@@ -1,11 +1,18 @@
 """Ranks by ranges of values, cut so small that ranges are many and crowded leading bits are split, against ranks of the whole."""
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from sparkfactor.functions.kernels import tied_rank
 from sparkfactor.operators import blocks as b
+from sparkfactor.operators import evaluation
+from sparkfactor.operators.genetic import Individual
 from sparkfactor.plans import catalog
+from sparkfactor.plans.ir import parse
+from sparkfactor.sources import shared
 
 
 def test_packed_integers_come_back():
@@ -16,6 +23,22 @@ def test_packed_integers_come_back():
     assert (np.diff(s) >= 0).all() and s[2] == s[3] and s[7] == s[8]
 
 
+def test_wide_records_stay_small(spark, monkeypatch):
+    """Noisy copies make rows wide, so their blocks have fewer rows; and a written table's row groups close by bytes, not after 100 records."""
+    sizes, pack = [], evaluation.panel_blocks
+    monkeypatch.setattr(evaluation, "panel_blocks", lambda *a: sizes.append(pack(*a)) or sizes[-1])
+    monkeypatch.setattr(b, "BLOCK_BYTES", 4000)
+    panel = spark.range(200).select(F.col("id").alias("row_id"), *(F.rand(k).alias(c) for k, c in enumerate("abcd")))
+    one = Individual((parse("safe_add(x1, safe_add(x2, safe_add(x3, x4)))"),), (1.0,), "rank_average")
+    assert evaluation.population_steadiness(panel, [one], list("abcd"), n_copies=5).first().pfs > 0.9
+    # 4 features, 20 noisy ones, 6 ranks of a member and its copies, and its own
+    assert [s.block_rows for s in sizes] == [4000 // (8 * 31)]
+    cells = lambda batches: (pa.record_batch({"cell": [np.random.default_rng(i.as_py()).bytes(4 << 20)]}) for batch in batches for i in batch.column(0))
+    large = shared.written(spark.range(0, 12, 1, 1).mapInArrow(cells, "cell binary"), "panel-blocks")
+    (file,) = large.inputFiles()
+    assert pq.ParquetFile(file.removeprefix("file://")).num_row_groups > 1 and large.agg(F.sum(F.length("cell"))).first()[0] == 12 * (4 << 20)
+
+
 @pytest.mark.parametrize("reach", [0, 6])
 def test_ranks_by_ranges(spark, reach):
     rng = np.random.default_rng(6)
