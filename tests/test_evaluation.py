@@ -2,13 +2,15 @@
 
 import datetime
 import json
+from dataclasses import replace
 
 import numpy as np
 import pytest
 
+from sparkfactor.config import GPConfig
 from sparkfactor.functions.kernels import tied_rank
-from sparkfactor.operators import engine, scores
-from sparkfactor.operators.evaluation import cross_rounds, population_scores, tuned_constants
+from sparkfactor.operators import blocks, engine, scores
+from sparkfactor.operators.evaluation import block_pps, cross_rounds, population_scores, target_ranked, tuned_constants
 from sparkfactor.operators.genetic import Individual
 from sparkfactor.plans import catalog
 from sparkfactor.plans.compiler import evaluate
@@ -89,6 +91,34 @@ def test_simplexes_together_equal_one_by_one(spark):
     assert tuned_constants(panel, [], ["a"]) == []
 
 
+@pytest.mark.parametrize("range_values", [20, 1 << 19])
+def test_pps_by_one_exchange_equals_kernels(spark, monkeypatch, range_values):
+    """Ranges of known and of sampled values, ties, values that aren't finite, crosses, few rows."""
+    monkeypatch.setattr(blocks, "RANGE_VALUES", range_values)
+    rng, n = np.random.default_rng(4), 300
+    x = np.column_stack([np.sort(rng.normal(size=n)), np.round(rng.normal(size=n), 1), rng.normal(size=n)])
+    x[[3, 70], 2] = np.inf, np.nan
+    y = np.round(x[:, 1] * 0.3 + rng.normal(size=n), 1)
+    panel = spark.createDataFrame([(i, *map(float, x[i]), float(y[i])) for i in range(n)], "row_id long, a double, b double, c double, y double")
+    trees = [parse(t) for t in ("x1", "safe_mul(x2, 2.0)", "x3", "safe_mul(x1, 0.0)", "safe_add(cs_rank(x2), ts_mean(x1, d=4))")]
+    own = replace(target_ranked(blocks.panel_blocks(panel, ["a", "b", "c"], "y", "row_id", 4, 31)), shared=True)
+    assert np.allclose(block_pps(own, trees), [scores.pps(evaluate(t, x), y, tied_rank(y)) for t in trees], atol=1e-9)
+    assert block_pps(own.slice(5, 6), trees[:2]) == [0.0, 0.0]
+
+
+def test_registered_tuning_takes_all_steps(spark, tmp_path):
+    """The registered query against the kernel with the steps that a search has by default."""
+    rng, n = np.random.default_rng(6), 200
+    start = datetime.datetime(2024, 1, 1, tzinfo=datetime.timezone.utc)
+    rows = [(i, start + datetime.timedelta(minutes=31 * i), i % 3, "click", float(rng.uniform(1, 9)), json.dumps({"k": int(rng.integers(100))})) for i in range(n)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    got = [r.after for r in catalog.tuned_query(spark, str(tmp_path)).orderBy("tree", "constant").collect()]
+    panel = catalog.forward_target(catalog.events_panel(spark, str(tmp_path)), 5, close="x1", target="simple_return")
+    x, y = engine.panel_matrix(panel, catalog.FEATURES, "y")
+    want = [c for t in catalog.TUNED_TREES for c in scores.tuned(parse(t), x, y, tied_rank(y), GPConfig().const_opt_steps).constants()]
+    assert np.allclose(got, want, rtol=1e-9) and got != [5.0, 0.5, 1.5]
+
+
 def test_search_to_unseen_rows(spark, tmp_path):
     """The registered query against the search's own front, scored by the kernels on the rows behind the date."""
     rng = np.random.default_rng(5)
