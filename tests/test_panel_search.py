@@ -115,6 +115,12 @@ class SameNoise(engine.MatrixScorer):
         return out
 
 
+def test_registered_search_tunes_and_perturbs_in_full():
+    """As many steps of tuning and noisy copies as a search has by default."""
+    for c in (catalog.PANEL_CFG, catalog.SEARCH_CFG):
+        assert (c.const_opt_steps, c.pfs_n_perturbations, c.eval_subsample) == (GPConfig().const_opt_steps, GPConfig().pfs_n_perturbations, GPConfig().eval_subsample)
+
+
 def test_registered_search_equals_a_search_on_the_matrix(spark, tmp_path):
     """PFS, tuning and migration included, a generation behind them."""
     c = catalog.PANEL_CFG
